@@ -1,0 +1,64 @@
+"""Queries of the core operators for training data: overlap of splits, near-duplicates, grouped splits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from loomspark.functions.messages import last_content
+from loomspark.operators.groupsplit import canonical_user, effective_id, effective_layer, linked_groups, split_groups
+from loomspark.operators.neardup import duplicate_pairs, near_duplicate_classes
+from loomspark.runtime import table
+
+SHARES = {"train": 80.0, "validation": 10.0, "test": 10.0}
+
+
+def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "raw_prompts").select("row_id", last_content(F.col("prompt_messages"), "user").alias("text"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = duplicate_pairs(near_duplicate_classes(_prompts(spark, sf_dir), "row_id", "text"), "row_id")
+    return pairs.select(F.col("row_a").alias("row_id_a"), F.col("row_b").alias("row_id_b"))
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per prompt with its class; copies aren't expanded into pairs."""
+    return near_duplicate_classes(_prompts(spark, sf_dir), "row_id", "text")
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    layer = effective_layer(F.col("source_layer"), F.col("file_layer"))
+    records = table(spark, sf_dir, "raw_prompts").select(
+        "row_id",
+        canonical_user(F.col("user_id")).alias("user_key"),
+        effective_id(F.col("id"), layer, F.col("prompt_hash")).alias("id_key"),
+        layer.alias("layer"),
+    )
+    return records, linked_groups(records, "row_id", ["user_key", "id_key"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir)[1].where("size > 1").select("row_id", F.col("first_row").alias("first_row_id"))
+
+
+def p5_split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and share of each split per layer."""
+    records, groups = _linked(spark, sf_dir)
+    grouped = groups.join(records, "row_id")
+    split = split_groups(grouped, "first_row", "layer", SHARES)
+    counts = grouped.join(split, "first_row").groupBy("layer", "split").agg(F.count("*").alias("rows"))
+    totals = counts.groupBy("layer").agg(F.sum("rows").alias("layer_rows"))
+    return counts.join(totals, "layer").select("layer", "split", "rows", (F.col("rows") / F.col("layer_rows")).alias("share"))
+
+
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of every prompt."""
+    records, groups = _linked(spark, sf_dir)
+    split = split_groups(groups.join(records, "row_id"), "first_row", "layer", SHARES)
+    return groups.join(split, "first_row").select("row_id", "split")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p5_found, p5_splits, p5_split_report)}
+
+#: p2 and p3 have no SQL: similarity joins of whole tables are too slow in it; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {}
