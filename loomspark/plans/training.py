@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomspark.functions.messages import last_content
+from loomspark.functions.messages import first_content, last_content
 from loomspark.operators.groupsplit import canonical_user, effective_id, effective_layer, linked_groups, split_groups
 from loomspark.operators.neardup import duplicate_pairs, near_duplicate_classes
+from loomspark.operators.overlap import split_overlaps
 from loomspark.runtime import table
 
 SHARES = {"train": 80.0, "validation": 10.0, "test": 10.0}
@@ -26,6 +27,26 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_prompts(spark, sf_dir), "row_id", "text")
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.when(F.col("split") == "train", False).when(F.col("split").isin("eval", "test"), True)
+    rows = table(spark, sf_dir, "split_rows").select("split_row_id", first_content(F.col("conversations"), "user").alias("text"), held.alias("held"))
+    return split_overlaps(rows, "split_row_id", "text", "held")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("held_row"), F.col("train_row")
+    return _overlaps(spark, sf_dir).select(F.least(a, b).alias("split_row_id_a"), F.greatest(a, b).alias("split_row_id_b"))
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split and source_layer: held-out rows, those that also stand in train, and their pairs."""
+    rows = table(spark, sf_dir, "split_rows").where(F.col("split").isin("eval", "test")).select(F.col("split_row_id").alias("held_row"), "split", "source_layer")
+    pairs = _overlaps(spark, sf_dir).groupBy("held_row").agg(F.count("*").alias("pairs"))
+    return rows.join(pairs, "held_row", "left").groupBy("split", "source_layer").agg(
+        F.count("*").alias("rows"), F.count("pairs").alias("overlapping_rows"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")
+    )
+
+
 def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     layer = effective_layer(F.col("source_layer"), F.col("file_layer"))
     records = table(spark, sf_dir, "raw_prompts").select(
@@ -58,7 +79,7 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.join(split, "first_row").select("row_id", "split")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p5_found, p5_splits, p5_split_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_classes, p5_found, p5_splits, p5_split_report)}
 
 #: p2 and p3 have no SQL: similarity joins of whole tables are too slow in it; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {}
