@@ -4,12 +4,62 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomspark.llm.defects import label_pairs, question_answer_pairs
+from loomspark.llm.lang import train_languages
 from loomspark.llm.packing import fill_report, pack
 from loomspark.llm.tokenize import canonical_language, encode, token_cube, with_token_counts
+from loomspark.llm.truncation import truncated_values
 from loomspark.operators.groupsplit import effective_layer
 from loomspark.runtime import table
 
 
+_ROLES = ("user", "assistant")
+
+
+def _truncated(spark: SparkSession, sf_dir: str, roles: tuple[str, ...]) -> DataFrame:
+    """Each message of the roles with what the terminal-context model of all messages says about its end."""
+    rows = table(spark, sf_dir, "regen_rows").select(F.col("regen_id").alias("row"), canonical_language(F.col("lang")).alias("lang"), "conversations")
+    said = F.filter(F.transform("conversations", lambda m, i: F.struct(i.cast("int").alias("pos"), m["role"].alias("role"), m["content"].alias("content"))), lambda m: m["role"].isin(*_ROLES))
+    exploded = rows.select("row", "lang", F.explode(F.filter(said, lambda m: m["role"].isin(*roles))).alias("m"))
+    values = exploded.select("row", F.col("m.pos").alias("pos"), F.col("m.role").alias("column"), "lang", F.col("m.content").alias("text"))
+    corpus = rows.select(F.transform(said, lambda m: m["content"]).alias("texts"))
+    # A sample holds its whole row, so what a limit of tokens cuts is the row's last message.
+    last = table(spark, sf_dir, "regen_rows").select("regen_id", (F.size("conversations") - 1).cast("int").alias("pos"))
+    tokens = table(spark, sf_dir, "sample_index").groupBy("regen_id").agg(F.max("seq_len").alias("length")).join(last, "regen_id")
+    return truncated_values(values, corpus, tokens.select(F.col("regen_id").alias("row"), "pos", F.lit("tokens").alias("unit"), "length"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).where("defect IS NOT NULL").select("regen_id", "msg_pos", "defect")
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "regen_rows")
+    sound = rows.where("status IS NULL OR status = 'success'")
+    contents = F.transform("conversations", lambda m: m["content"])
+    model = train_languages(rows.select(canonical_language(F.col("lang")).alias("lang"), contents.alias("texts")), "lang", "texts")
+    cut = _truncated(spark, sf_dir, ("assistant",)).where("cut").select(F.col("row").alias("regen_id"), F.col("pos").alias("msg_pos"), "cut")
+    pairs = question_answer_pairs(sound.select("regen_id", "conversations"), "regen_id", "conversations").join(cut, ["regen_id", "msg_pos"], "left")
+    return label_pairs(pairs, model)
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs per layer and defect; sound pairs have the defect ``none``."""
+    layers = table(spark, sf_dir, "regen_rows").select("regen_id", effective_layer(F.col("source_layer"), F.col("file_layer")).alias("layer"))
+    return _labelled(spark, sf_dir).join(layers, "regen_id").groupBy("layer", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("pairs"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _truncated(spark, sf_dir, _ROLES).where("cut").select(F.col("row").alias("regen_id"), F.col("pos").alias("msg_pos"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per layer and role: messages, those cut off, and their share."""
+    layers = table(spark, sf_dir, "regen_rows").select(F.col("regen_id").alias("row"), effective_layer(F.col("source_layer"), F.col("file_layer")).alias("layer"))
+    per = _truncated(spark, sf_dir, _ROLES).select("row", "column", "cut").join(layers, "row").groupBy("layer", F.col("column").alias("role"))
+    return per.agg(F.count("*").alias("messages"), F.count_if("cut").alias("cut_messages")).withColumn("share", F.col("cut_messages") / F.col("messages"))
+
+
 def p4_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of the message contents per layer, lang and domain, and how many are of rows that aren't in error."""
     rows = table(spark, sf_dir, "regen_rows").select(
@@ -44,7 +94,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(packed, budgets, "tokens")
 
 
-QUERIES = {f.__name__: f for f in (p4_budget, p7_ids, p8_containers, p8_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p4_budget, p6_found, p6_report, p7_ids, p8_containers, p8_fill)}
 
 #: Tokenisers and trained models have no SQL; tests hold them against public implementations and brute force.
 ORACLE_SQL: dict[str, str] = {}
