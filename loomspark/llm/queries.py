@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomspark.llm.defects import label_pairs, question_answer_pairs
 from loomspark.llm.lang import train_languages
 from loomspark.llm.packing import fill_report, pack
+from loomspark.llm.reading import reading_levels
 from loomspark.llm.tokenize import canonical_language, encode, token_cube, with_token_counts
 from loomspark.llm.truncation import truncated_values
 from loomspark.operators.groupsplit import effective_layer
@@ -94,7 +95,23 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(packed, budgets, "tokens")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p4_budget, p6_found, p6_report, p7_ids, p8_containers, p8_fill)}
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", canonical_language(F.col("lang")).alias("lang"))
+    model = train_languages(documents, "lang", "text")
+    return reading_levels(documents, table(spark, sf_dir, "level_labels"), "doc_id", "text", model)
+
+
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir).select("doc_id", F.col("detected").alias("lang"), "score", "level")
+
+
+def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and mean score per source, language of the text and level."""
+    sources = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return _levels(spark, sf_dir).join(sources, "doc_id").groupBy("source", F.col("detected").alias("lang"), "level").agg(F.count("*").alias("documents"), F.avg("score").alias("mean_score"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p4_budget, p6_found, p6_report, p7_ids, p8_containers, p8_fill, p9_levels, p9_profile)}
 
 #: Tokenisers and trained models have no SQL; tests hold them against public implementations and brute force.
 ORACLE_SQL: dict[str, str] = {}
