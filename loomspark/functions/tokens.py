@@ -13,12 +13,17 @@ from pyspark.sql import DataFrame, functions as F
 
 _CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿가-힯"
 _TOKEN = re.compile(f"([{_CJK}]+)|[^\\W_{_CJK}]+")
+has_cjk = re.compile(f"[{_CJK}]").search
+_WORDS = re.compile(r"[^\W_]+").findall
 
 
 def tokens(text: str) -> list[str]:
     """Lower-case words and numbers; runs of scripts without spaces give their overlapping pairs of characters."""
+    text = text.lower()
+    if text.isascii() or not has_cjk(text):
+        return _WORDS(text)
     out: list[str] = []
-    for m in _TOKEN.finditer(text.lower()):
+    for m in _TOKEN.finditer(text):
         run = m.group()
         if m.lastindex and len(run) > 2:
             out.extend(run[i : i + 2] for i in range(len(run) - 1))
