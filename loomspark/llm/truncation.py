@@ -22,37 +22,47 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from loomspark.functions.text import LOSS_PREFIX
 from loomspark.runtime import materialize
 
 FILTER_BITS = 2**28
 #: Lengths of the contexts: of the text itself, and of its shape (digits and capitalised words generalised).
-RAW, SHAPE = (3, 5, 8), (4, 7, 12, 18, 24)
-PAD = 32
+RAW, SHAPE = (5, 8), (7, 12, 20, 32)
+PAD = 40
 #: How often a context must have been seen to be asked: fewer times the longer it is.
-LEAST_SEEN = {3: 3, 5: 3, 8: 3, 4: 3, 7: 3, 12: 3, 18: 1, 24: 1}
+LEAST_SEEN = {5: 3, 8: 3, 7: 3, 12: 3, 20: 1, 32: 1}
 #: Names of what follows a context.
 END, INSIDE, MORE, LAST = 0, 1, 2, 3
-#: A value no longer than the longest context that stands as a whole value this often is complete.
-LEAST_WHOLE = 4
+#: A value of so few characters that stands as a whole value this often is complete.
+LEAST_WHOLE, WHOLE = 4, 24
 #: Log-odds of "more follows" from which a value counts as cut.
 THRESHOLD = 1.0
-_MARKS = re.compile(r"(?:<\|?[a-z_]+\|?>[a-z]*|<\|channel>thought\n<channel\|>|[\s​﻿])+$")
+_MARKS = re.compile(r"(?:<\|?[a-z_]+\|?>(?:thought|model|user)?|<\|channel>thought\n<channel\|>)$")
+_BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u2028\u2029\u202f\u2060\u3000\ufeff"
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]*")
 _DIGITS = re.compile(r"\d+")
 _STRING = re.compile(r'"(?:[^"\\]|\\.)*"')
-_SPACES = re.compile(r"[^\S\n]+")
+_SPACES = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
+#: A full stop after a number or a short word may be that of an ordinal or an abbreviation.
+_SHORT = re.compile(r"(?:\d|(?<![^\W\d_])[^\W\d_]{1,4})\.$")
 _CLOSING = "\"'»”’)]}」』）】*_`"
 _SENTENCE = ".!?。！？…"
 
 
 def stripped(text: str) -> str:
     """Without white space, invisible characters and turn markers at the end."""
-    return _MARKS.sub("", text)
+    t = text.rstrip(_BLANKS)
+    while t.endswith(">") or t.endswith(("thought", "model", "user")):
+        cut = _MARKS.sub("", t[-80:])
+        if len(cut) == len(t[-80:]):
+            break
+        t = (t[:-80] + cut).rstrip(_BLANKS)
+    return t
 
 
-def open_structure(text: str) -> bool | None:
+def open_structure(text: str, t: str | None = None) -> bool | None:
     """True: cut inside an object, list, string or fence. False: ends with a closed one. None: nothing to tell."""
-    t = stripped(text)
+    t = stripped(text) if t is None else t
     if not t:
         return None
     if t.endswith("�"):
@@ -80,13 +90,13 @@ def shape(text: str) -> str:
 
 
 def _cleaned(text: str) -> str:
-    return _SPACES.sub(" ", text)
+    return _SPACES.sub(" ", text.removeprefix(LOSS_PREFIX))
 
 
 class _Contexts:
     """Hashes of the last n characters at each position of an array of code points, by doubling."""
 
-    BASE = np.uint64(6364136223846793005)
+    BASE = 6364136223846793005
 
     def __init__(self, codes: np.ndarray):
         self.h = {1: (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)}
@@ -98,7 +108,7 @@ class _Contexts:
             a, b = self.of(n - k), self.of(k)
             with np.errstate(over="ignore"):
                 out = b.copy()
-                out[k:] += a[:-k] * np.uint64(pow(6364136223846793005, k, 1 << 64))
+                out[k:] += a[:-k] * np.uint64(pow(self.BASE, k, 1 << 64))
             self.h[n] = out
         return self.h[n]
 
@@ -116,14 +126,21 @@ _PADDING = "\0" * PAD
 _KINDS = [("raw", n) for n in RAW] + [("shape", n) for n in SHAPE]
 
 
-def ending_contexts(text: str) -> list[int]:
-    """Hashes of the contexts a value ends with, one for each length, as signed 64-bit integers."""
-    t = _cleaned(stripped(text))[-200:]
-    out = []
-    both = {"raw": _Contexts(_codes((_PADDING + _DIGITS.sub("0", t))[-PAD:])), "shape": _Contexts(_codes((_PADDING + shape(t))[-PAD:]))}
-    for k, (which, n) in enumerate(_KINDS):
-        out.append(_final(both[which].of(n)[-1:], k))
-    return np.concatenate(out).view(np.int64).tolist()
+def ending_contexts(texts: list[str]) -> np.ndarray:
+    """Hashes of the contexts that stripped values end with: a row per value, a column per context, as signed integers."""
+    if not texts:
+        return np.zeros((0, len(_KINDS)), np.int64)
+    out = np.zeros((len(texts), len(_KINDS)), np.uint64)
+    ends = [_cleaned(t[-200:]) for t in texts]
+    both = {"raw": [_DIGITS.sub("0", t) for t in ends], "shape": [shape(t) for t in ends]}
+    for which, values in both.items():
+        joined = "".join((_PADDING + t)[-PAD:] for t in values)
+        h = (_codes(joined).astype(np.uint64).reshape(len(texts), PAD) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        for k, (w, n) in enumerate(_KINDS):
+            if w == which:
+                powers = np.array([pow(_Contexts.BASE, j, 1 << 64) for j in range(n - 1, -1, -1)], np.uint64)
+                out[:, k] = _final((h[:, PAD - n :] * powers).sum(1, dtype=np.uint64), k)
+    return out.view(np.int64)
 
 
 def _following(codes: np.ndarray) -> np.ndarray:
@@ -134,7 +151,7 @@ def _following(codes: np.ndarray) -> np.ndarray:
     line, nul = c == 10, c == 0
     nxt = lambda x, k=1: np.concatenate([x[k:], np.zeros(k, bool)])
     after_blank = nxt(blank, 2) | nxt(nul, 2) | nxt(line, 2) | nxt(wide, 2)
-    end = nxt(line) | (nxt(mark) & (after_blank | nxt(c == 0x3002)))
+    end = nxt(line) | (nxt(mark) & (after_blank | nxt(c == 0x3002))) | (nxt(blank) & nxt(mark, 2))
     # After a full stop itself: the sentence ended unless a lower-case word or no blank follows.
     stop = mark & (nxt(line) | (nxt(blank) & ~nxt(low, 2)) | (nxt(wide) & (c != 46)))
     out = np.where(end | stop, END, np.where(word & nxt(word) & ~(wide | nxt(wide)), INSIDE, MORE)).astype(np.int8)
@@ -190,32 +207,36 @@ def _count(bits: np.ndarray):
     return run
 
 
+def ending_of(text: str, t: str) -> str:
+    """How a value ends, given what is left of it without blanks and markers."""
+    if not t:
+        return "nothing"
+    trailing, last = text.removeprefix(LOSS_PREFIX)[len(t) :], t[-1]
+    if trailing.startswith((" ", "\xa0")) and "\n" not in trailing and "<" not in trailing:
+        return "blank"
+    if trailing == "\n":
+        return "line"
+    if last in "!?。！？…":
+        return "mark"
+    if last == ".":
+        return "stop" if _SHORT.search(t[-12:]) else "mark"
+    return "open"
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        structure, ending, contexts, cjk = [], [], [], []
-        for text in batch.column(batch.num_columns - 1).to_pylist():
-            t = stripped(text)
-            s = open_structure(text)
-            trailing = text[len(t) :]
-            structure.append(s)
-            last = t[-1:] if t else ""
-            if not t:
-                ending.append("nothing")
-            elif trailing.startswith((" ", "\xa0")) and "\n" not in trailing and "<" not in trailing:
-                ending.append("blank")
-            elif trailing == "\n":
-                ending.append("line")
-            elif last in "!?。！？…":
-                ending.append("mark")
-            elif last == ".":
-                ending.append("stop")
-            else:
-                ending.append("open")
-            cjk.append(bool(last) and ord(last) >= 0x3040)
-            contexts.append(ending_contexts(text) if s is None and ending[-1] in ("open", "stop", "blank") else None)
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        left = [stripped(t).removeprefix(LOSS_PREFIX) for t in texts]
+        ending = [ending_of(text, t) for text, t in zip(texts, left)]
+        structure = [open_structure(text, t) for text, t in zip(texts, left)]
+        cjk = [bool(t) and ord(t[-1]) >= 0x3040 for t in left]
+        asked = [i for i, s in enumerate(structure) if s is None and ending[i] in ("open", "stop", "blank")]
+        contexts: list[list[int] | None] = [None] * len(texts)
+        for i, row in zip(asked, ending_contexts([left[i] for i in asked]).tolist()):
+            contexts[i] = row
         yield pa.record_batch(
-            [*batch.columns[:-1], pa.array(structure, pa.bool_()), pa.array(ending), pa.array(cjk), pa.array(contexts, pa.list_(pa.int64()))],
-            names=[*batch.schema.names[:-1], "open", "ending", "cjk", "contexts"],
+            [*batch.columns[:-1], pa.array([len(t) for t in left], pa.int32()), pa.array(structure, pa.bool_()), pa.array(ending), pa.array(cjk), pa.array(contexts, pa.list_(pa.int64()))],
+            names=[*batch.schema.names[:-1], "left", "open", "ending", "cjk", "contexts"],
         )
 
 
@@ -258,7 +279,7 @@ def truncated_values(
     v = values.where("text IS NOT NULL")
     described = materialize(
         v.select("row", "pos", "column", "lang", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), "text").mapInArrow(
-            _describe, "row long, pos int, column string, lang string, chars int, bytes int, open boolean, ending string, cjk boolean, contexts array<long>"
+            _describe, "row long, pos int, column string, lang string, chars int, bytes int, left int, open boolean, ending string, cjk boolean, contexts array<long>"
         )
     )
     wanted = described.where("contexts IS NOT NULL").select("row", "pos", F.posexplode("contexts").alias("kind", "context"))
@@ -299,6 +320,7 @@ def truncated_values(
     by_stop = F.log((stopped["more"] + stopped["inside"] + 0.5) / (stopped["ends"] + F.greatest(stopped["last"] - 1, F.lit(0)) + 0.5))
     odds = F.when(F.col("ending") == "stop", by_stop).otherwise(F.coalesce(by_form, F.log((raw["more"] + raw["inside"] + 0.5) / (raw["ends"] + 0.5))))
     scored = scored.withColumn("inside_odds", F.when(~F.col("cjk"), inside)).withColumn("odds", odds)
+    scored = materialize(scored.select("row", "pos", "column", "lang", "left", "open", "ending", "limit", "inside_odds", "odds", "as_whole"))
     # The threshold of a language and column moves with how common cut values are in it, within one nat of the column's.
     decided = scored.where("ending = 'open' AND open IS NULL AND odds IS NOT NULL")
     share = F.log((F.count_if(F.col("odds") > 0) + 1) / (F.count_if(F.col("odds") <= 0) + 1))
@@ -308,7 +330,7 @@ def truncated_values(
     scored = scored.withColumn("_lang", F.coalesce("lang", F.lit(""))).join(moved, ["column", "_lang"], "left").drop("_lang")
     threshold_here = F.lit(threshold) - F.coalesce("shift", F.lit(0.0))
     limit_bonus = F.when(F.col("limit") & (F.col("ending") == "open"), 1.5).otherwise(0.0)
-    whole = (F.col("chars") <= max(SHAPE)) & (F.col("as_whole") >= LEAST_WHOLE)
+    whole = (F.col("left") <= WHOLE) & (F.col("as_whole") >= LEAST_WHOLE)
     by_model = ((F.col("ending") != "stop") & (F.coalesce(F.col("inside_odds"), F.lit(-9.0)) > 2.0)) | (F.coalesce(F.col("odds"), F.when(F.col("limit"), 0.0).otherwise(-9.0)) + limit_bonus > threshold_here)
     cut = (
         F.when(F.col("open").isNotNull(), F.col("open"))
@@ -317,7 +339,7 @@ def truncated_values(
         .when(F.col("ending") == "blank", True)
         .when(whole, False)
         # So short a value stands alone; only half a word tells.
-        .when((F.col("chars") <= max(SHAPE)) & ~F.col("limit"), F.coalesce(F.col("inside_odds") > 2.0, F.lit(False)))
+        .when((F.col("left") <= WHOLE) & ~F.col("limit"), F.coalesce(F.col("inside_odds") > 2.0, F.lit(False)))
         .otherwise(by_model)
     )
     return scored.withColumn("cut", F.coalesce(cut, F.lit(False)))
