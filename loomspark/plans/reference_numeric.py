@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loomspark.functions import text as tx, vectors as vx
 from loomspark.operators import accept, anchors
+from loomspark.operators import payload
 from loomspark.operators.nearest import nearest_by_cosine
 from loomspark.runtime import table
 
@@ -263,4 +264,19 @@ def sample_lookup(spark, sf_dir):
     return s.join(r, "regen_id").select("sample_id", "regen_id", "messages", "seq_len")
 
 
+@query("SELECT vec_id, CAST(16 AS INT) AS seq_len, CAST(64 + 16 + 128 + 128 AS INT) AS nbytes, true AS same, true AS close FROM embeddings")
+def payload_round_trip(spark, sf_dir):
+    """Each vector as a sample of 16 tokens, through bytes and back; bfloat16 keeps 8 bits of the fraction."""
+    x = F.col("x")
+    rows = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice(x, i * 4 + 1, F.lit(4)))
+    ids = F.sequence(F.lit(0), F.lit(15))
+    s = _e(spark, sf_dir).select("vec_id", ids.alias("ids"), F.transform(ids, lambda i: i % 2).alias("mask"), rows.alias("h"), F.array(F.transform(rows, lambda r: F.slice(r, 1, 2)), F.transform(rows, lambda r: F.slice(r, 3, 2))).alias("kv"))
+    e = payload.encode_samples(s, "vec_id", "ids", "mask", "h", "kv")
+    n = F.octet_length("input_ids") + F.octet_length("loss_mask") + F.octet_length("last_hidden") + F.octet_length("kv")
+    d = payload.decode_samples(e, "vec_id", 2).join(e.select("vec_id", "seq_len", n.alias("nbytes")), "vec_id").join(_e(spark, sf_dir).select("vec_id", "x"), "vec_id")
+    off = F.zip_with(F.flatten("last_hidden"), "x", lambda a, b: F.abs(a - b) <= F.abs(b) / 128 + 1e-9)
+    again = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.concat(F.col("kv")[0][i], F.col("kv")[1][i])))
+    return d.select("vec_id", "seq_len", "nbytes", ((F.col("input_ids") == ids) & (again == F.flatten("last_hidden"))).alias("same"), F.forall(off, lambda v: v).alias("close"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "Window", "anchors", "tx"]
