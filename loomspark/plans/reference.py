@@ -234,9 +234,10 @@ def _jsonl_copy(spark, sf_dir):
     return path
 
 
-@query(f"""SELECT {_LAYER_SQL} AS layer, count(*) AS rows, count(*) FILTER (prompt_messages IS NULL) AS malformed, count(DISTINCT id) FILTER (id <> '') AS ids, CAST(coalesce(sum(len(prompt_messages)), 0) AS BIGINT) AS messages,
+@query(f"""SELECT {_LAYER_SQL} AS layer, count(*) AS rows, count(*) FILTER (coalesce(len(prompt_messages), 0) = 0) AS malformed, count(DISTINCT id) FILTER (id <> '') AS ids, CAST(coalesce(sum(len(prompt_messages)), 0) AS BIGINT) AS messages,
  CAST(sum(list_sum(list_transform(prompt_messages, lambda m: length(m.content)))) AS BIGINT) AS chars FROM raw_prompts GROUP BY 1""")
 def jsonl_round_trip(spark, sf_dir):
+    """An empty first list falls through to lists that aren't there, so a row without messages is malformed in a file."""
     lines = spark.read.text(f"{_jsonl_copy(spark, sf_dir)}/part=*").select(F.col("value").alias("line"), F.regexp_extract("_metadata.file_path", "/part=([^/]+)/", 1).alias("file_layer"), F.col("_metadata.file_name").alias("file"))
     r = jsonl.parse(lines)
     chars = F.aggregate("messages", F.lit(0).cast("bigint"), lambda a, m: a + F.coalesce(F.length(m["content"]), F.lit(0)))

@@ -51,16 +51,28 @@ def materialize(df: DataFrame) -> DataFrame:
     several later ones runs once. Parquet keeps column pruning and size statistics, which an RDD checkpoint loses.
     """
     path = f"{shared_dir(df.sparkSession)}/loom-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables this process has written and not removed.
+_WRITTEN: list[str] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table made by :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    jvm = spark.sparkContext._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/loom-" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(hadoop).delete(p, True)
+            _remove(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that :func:`materialize` has written in this process, once the results are written."""
+    while _WRITTEN:
+        _remove(spark, _WRITTEN.pop())
