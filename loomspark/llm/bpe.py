@@ -117,8 +117,6 @@ class Encoder:
 
     def learn(self, words: Iterable[str]) -> None:
         """Depth-first over the trie of the words not known yet: ``last`` and ``start`` are the path's states."""
-        if len(self.known) > self.remembered:
-            self.known.clear()
         rank, suffixes, compatible, whole = self.v.rank, self.v.suffixes, self.v.compatible, self.v.whole
         path, last, start = b"", [-1], [0]
         for data, word in sorted((w.encode(), w) for w in words if w not in self.known):
@@ -154,6 +152,8 @@ class Encoder:
         split, parts, sizes = self.split, [], []
         for text in texts:
             words = split(text) if text else []
+            if len(self.known) > self.remembered:
+                self.known.clear()
             self.learn(set(words).difference(self.known))
             data = b"".join(map(self.known.__getitem__, words))
             parts.append(data)

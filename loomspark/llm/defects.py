@@ -73,6 +73,9 @@ _KEYS = re.compile(r'"[A-Za-z_]+"\s*:')
 #: Share of an answer's bytes that a compressor may need beyond a frame's own when it knows the question.
 COPY_SHARE = 0.28
 COPY_OVERHEAD = 10
+COPY_LEVEL = 3
+#: … and of what a compressor needs that doesn't: an answer that repeats itself is no copy.
+COPY_GAIN = 0.5
 #: Least share of the question that a copy gives back.
 COPY_COVERS = 0.5
 #: A copy is at most so many times as long as its question, and an introduction.
@@ -104,9 +107,23 @@ def copied_share(question: str, answer: str) -> float:
     a, q = bare(answer).casefold().encode(), bare(question).casefold().encode()
     if not a or not COPY_COVERS * len(q) <= len(a) <= COPY_GROWS * len(q) + 60:
         return 1.0
+    if len(a) < 2 * COPY_OVERHEAD:  # too short to be compressed
+        return 0.0 if a in q else 1.0
     known = zstandard.ZstdCompressionDict(q, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    level = zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=False, write_dict_id=False)
-    return max(len(level.compress(a)) - COPY_OVERHEAD, 0) / len(a)
+    bytes_ = len(zstandard.ZstdCompressor(level=COPY_LEVEL, dict_data=known, write_content_size=False, write_dict_id=False).compress(a))
+    share = max(bytes_ - COPY_OVERHEAD, 0) / len(a)
+    if share <= COPY_SHARE and bytes_ - COPY_OVERHEAD > COPY_GAIN * len(_alone().compress(a)):
+        return 1.0
+    return share
+
+
+_ALONE: list = []
+
+
+def _alone():
+    if not _ALONE:
+        _ALONE.append(zstandard.ZstdCompressor(level=COPY_LEVEL, write_content_size=False))
+    return _ALONE[0]
 
 
 def asked_languages(question: str) -> set[str]:

@@ -1,4 +1,4 @@
-"""Language of a text by hashed character n-grams, trained on the corpus's own labels.
+"""Language of a text by hashed 4-grams of characters, trained on the corpus's own labels.
 
 The labels may be partly missing or wrong: every labelled text is counted, and the majority decides what an n-gram
 says. Names and keys that occur in all languages alike hence say nothing. The model is a table of fixed size.
@@ -25,24 +25,17 @@ def _letters() -> np.ndarray:
     return _LETTER[0]
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bins of the 3- and 4-grams ending at each character of the joined texts, and where each text begins in them."""
-    lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of the 4-grams of letters and blanks of the joined texts, and where each text begins in them."""
     lowered = [t.lower() for t in texts]
-    lowered = [x if len(x) == len(t) else "".join(c.lower()[:1] for c in t) for x, t in zip(lowered, texts)]
-    codes = np.frombuffer(("   " + "   ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.frombuffer((" " + "   ".join(lowered) + "   ").encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = np.where(_letters()[np.minimum(codes, 0xFFFF)], codes, 32).astype(np.uint64)
-    mix = np.uint64(0x9E3779B97F4A7C15)
     two = codes[:-1] * np.uint64(1_000_003) + codes[1:]
-    three = two[:-1] * np.uint64(1_000_003) + codes[2:]
     four = two[:-2] * np.uint64(1_000_003 * 1_000_003) + two[2:]
-    blank3 = (codes[1:-1] == 32) & ((codes[:-2] == 32) | (codes[2:] == 32))  # nothing but one letter or none
-    b3 = ((three * mix) >> np.uint64(48)).astype(np.int64)
-    b4 = (((four + np.uint64(7)) * mix) >> np.uint64(48)).astype(np.int64)
-    b3[blank3] = -1
-    b4[blank3[1:] | blank3[:-1]] = -1
-    starts = np.concatenate([[0], np.cumsum(lengths + 3)[:-1]]) if len(texts) else np.zeros(0, np.int64)
-    return b3, b4, starts
+    bins = ((four * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+    bins[(codes[1:-2] == 32) & (codes[2:-1] == 32)] = -1  # between words
+    starts = np.concatenate([[0], np.cumsum([len(t) + 3 for t in lowered])[:-1]]).astype(np.int64) if texts else np.zeros(0, np.int64)
+    return bins, starts
 
 
 @dataclass
@@ -55,11 +48,8 @@ class LanguageModel:
         out = np.zeros((len(texts), len(self.languages)), np.float32)
         for at in range(0, len(texts), 512):
             part = texts[at : at + 512]
-            b3, b4, starts = grams(part)
-            for b in (b3, b4):
-                if len(b):
-                    first = np.minimum(starts, len(b) - 1)
-                    out[at : at + len(part)] += np.add.reduceat(self.weights[b], first, axis=0)
+            bins, starts = grams(part)
+            out[at : at + len(part)] = np.add.reduceat(self.weights[bins], starts, axis=0)
         return out
 
     def detect(self, texts: list[str], margin: float = 4.0) -> tuple[list[str | None], np.ndarray]:
@@ -94,8 +84,8 @@ def train_languages(labelled: DataFrame, lang: str, text: str, least_share: floa
                 by.setdefault(label, []).extend([t for t in value if t] if many else [value])
             for label, texts in by.items():
                 for at in range(0, len(texts), 512):
-                    for b in grams(texts[at : at + 512])[:2]:
-                        held[label] += np.bincount(np.where(b < 0, BINS, b), minlength=BINS + 1)
+                    bins = grams(texts[at : at + 512])[0]
+                    held[label] += np.bincount(np.where(bins < 0, BINS, bins), minlength=BINS + 1)
         for label, counts in held.items():
             nz = np.flatnonzero(counts[:BINS])
             yield pa.record_batch(

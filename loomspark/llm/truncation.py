@@ -27,10 +27,10 @@ from loomspark.runtime import materialize
 
 FILTER_BITS = 2**28
 #: Lengths of the contexts: of the text itself, and of its shape (digits and capitalised words generalised).
-RAW, SHAPE = (5, 8), (7, 12, 20, 32)
+RAW, SHAPE = (6,), (8, 16, 32)
 PAD = 40
 #: How often a context must have been seen to be asked: fewer times the longer it is.
-LEAST_SEEN = {5: 3, 8: 3, 7: 3, 12: 3, 20: 1, 32: 1}
+LEAST_SEEN = {6: 3, 8: 3, 16: 2, 32: 1}
 #: Names of what follows a context.
 END, INSIDE, MORE, LAST = 0, 1, 2, 3
 #: A value of so few characters that stands as a whole value this often is complete.
@@ -229,14 +229,14 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = [stripped(t).removeprefix(LOSS_PREFIX) for t in texts]
         ending = [ending_of(text, t) for text, t in zip(texts, left)]
         structure = [open_structure(text, t) for text, t in zip(texts, left)]
-        cjk = [bool(t) and ord(t[-1]) >= 0x3040 for t in left]
+        cjk = [bool(t) and ord(t[-1]) >= 0x3000 for t in left]
         asked = [i for i, s in enumerate(structure) if s is None and ending[i] in ("open", "stop", "blank")]
         contexts: list[list[int] | None] = [None] * len(texts)
         for i, row in zip(asked, ending_contexts([left[i] for i in asked]).tolist()):
             contexts[i] = row
         yield pa.record_batch(
-            [*batch.columns[:-1], pa.array([len(t) for t in left], pa.int32()), pa.array(structure, pa.bool_()), pa.array(ending), pa.array(cjk), pa.array(contexts, pa.list_(pa.int64()))],
-            names=[*batch.schema.names[:-1], "left", "open", "ending", "cjk", "contexts"],
+            [*batch.columns[:-1], pa.array([len(t) for t in left], pa.int32()), pa.array([len(t) <= (8 if c else WHOLE) and " " not in t for t, c in zip(left, cjk)]), pa.array(structure, pa.bool_()), pa.array(ending), pa.array(cjk), pa.array(contexts, pa.list_(pa.int64()))],
+            names=[*batch.schema.names[:-1], "left", "single", "open", "ending", "cjk", "contexts"],
         )
 
 
@@ -279,7 +279,7 @@ def truncated_values(
     v = values.where("text IS NOT NULL")
     described = materialize(
         v.select("row", "pos", "column", "lang", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), "text").mapInArrow(
-            _describe, "row long, pos int, column string, lang string, chars int, bytes int, left int, open boolean, ending string, cjk boolean, contexts array<long>"
+            _describe, "row long, pos int, column string, lang string, chars int, bytes int, left int, single boolean, open boolean, ending string, cjk boolean, contexts array<long>"
         )
     )
     wanted = described.where("contexts IS NOT NULL").select("row", "pos", F.posexplode("contexts").alias("kind", "context"))
@@ -320,7 +320,7 @@ def truncated_values(
     by_stop = F.log((stopped["more"] + stopped["inside"] + 0.5) / (stopped["ends"] + F.greatest(stopped["last"] - 1, F.lit(0)) + 0.5))
     odds = F.when(F.col("ending") == "stop", by_stop).otherwise(F.coalesce(by_form, F.log((raw["more"] + raw["inside"] + 0.5) / (raw["ends"] + 0.5))))
     scored = scored.withColumn("inside_odds", F.when(~F.col("cjk"), inside)).withColumn("odds", odds)
-    scored = materialize(scored.select("row", "pos", "column", "lang", "left", "open", "ending", "limit", "inside_odds", "odds", "as_whole"))
+    scored = materialize(scored.select("row", "pos", "column", "lang", "left", "single", "open", "ending", "limit", "inside_odds", "odds", "as_whole"))
     # The threshold of a language and column moves with how common cut values are in it, within one nat of the column's.
     decided = scored.where("ending = 'open' AND open IS NULL AND odds IS NOT NULL")
     share = F.log((F.count_if(F.col("odds") > 0) + 1) / (F.count_if(F.col("odds") <= 0) + 1))
@@ -338,8 +338,8 @@ def truncated_values(
         .when(F.col("ending").isin("nothing", "mark", "line"), False)
         .when(F.col("ending") == "blank", True)
         .when(whole, False)
-        # So short a value stands alone; only half a word tells.
-        .when((F.col("left") <= WHOLE) & ~F.col("limit"), F.coalesce(F.col("inside_odds") > 2.0, F.lit(False)))
+        # A single word stands alone; only half of one tells.
+        .when(F.col("single") & ~F.col("limit"), F.coalesce(F.col("inside_odds") > 2.0, F.lit(False)))
         .otherwise(by_model)
     )
     return scored.withColumn("cut", F.coalesce(cut, F.lit(False)))
