@@ -82,4 +82,14 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_classes, p5_found, p5_splits, p5_split_report)}
 
 #: p2 and p3 have no SQL: similarity joins of whole tables are too slow in it; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: Groups by 64 rounds in which a row takes the least label of the rows it shares a key with.
+ORACLE_SQL: dict[str, str] = {
+    "p5_found": r"""WITH RECURSIVE r AS (SELECT row_id, lower(regexp_replace(user_id, '[\s\x{00a0}\x{200b}-\x{200d}\x{2060}\x{3000}\x{feff}_\-]+', '', 'g')) AS u,
+  coalesce(nullif(id, ''), coalesce(nullif(source_layer, ''), file_layer) || ':' || prompt_hash) AS i FROM raw_prompts),
+ k AS (SELECT row_id, 'u' || u AS key FROM r WHERE u NOT IN ('', '0', 'null', 'none', 'nil', 'nan', 'na', 'n/a', 'unknown', 'anonymous', 'anon', 'guest', 'undefined', 'nobody', 'test', '?')
+  UNION ALL SELECT row_id, 'i' || i FROM r WHERE i IS NOT NULL),
+ cc(step, row_id, lab) AS (SELECT 0, row_id, row_id FROM raw_prompts UNION ALL
+  SELECT step + 1, row_id, min(m) FROM (SELECT cc.step, cc.row_id, least(cc.lab, min(cc.lab) OVER (PARTITION BY coalesce(k.key, 'row' || cc.row_id))) AS m FROM cc LEFT JOIN k ON k.row_id = cc.row_id)
+   WHERE step < 64 GROUP BY step, row_id)
+ SELECT row_id, lab AS first_row_id FROM (SELECT row_id, lab, count(*) OVER (PARTITION BY lab) AS n FROM cc WHERE step = 64) WHERE n > 1""",
+}
