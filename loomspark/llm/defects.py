@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
@@ -56,6 +56,15 @@ REFUSALS = {
         r"許可されていません", r"許されていません", r"ご要望には(?:沿|応)", r"できかねます", r"申し上げられません", r"作成(?:は)?いたしません",
     ],
 }
+#: One of these stands in every refusal that the patterns know; the automaton of them rules most answers out.
+TRIGGERS = (
+    "i can", "i am ", "i'm ", "i won't", "i will not", "unable to", "i have to", "i must", "i need to", "rather not", "possible for me", "no entry", "no profile", "no answer", "no assessment", "something i ",
+    "beyond what", "my rules", "my guidelines", "my polic", "i decline", "i refuse",
+    "kann ich", "ich kann", "muss ich", "ich lehne", "ich muss", "möchte ich", "werde ich", "darf ich", "treffe ich", "nicht möglich", "ist mir", "meinen richtlinien",
+    "je ne ", "m'est ", "je n'", "je préfère", "je dois", "je me vois", "je refuse", "je décline", "mes règles", "mes directives", "mes consignes",
+    "no puedo", "no escribiré", "no redactaré", "no responderé", "no haré", "no daré", "no me ", "debo ", "tengo que", "prefiero no", "me niego", "no estoy", "me es imposible", "mis normas", "mis reglas", "mis directrices", "supera lo que", "no voy a",
+    "手伝い", "ません", "かね", "控え", "断り", "ご要望",
+)
 _REFUSAL = re.compile("|".join(p for ps in REFUSALS.values() for p in ps), re.I)
 #: Of a refusal of this length and more, a refusing phrase must stand near the beginning and take up a good part.
 REFUSAL_LENGTH = 420
@@ -79,7 +88,7 @@ COPY_GAIN = 0.5
 #: Least share of the question that a copy gives back.
 COPY_COVERS = 0.5
 #: A copy is at most so many times as long as its question, and an introduction.
-COPY_GROWS = 1.3
+COPY_GROWS, COPY_INTRODUCTION = 1.3, 80
 
 
 def bare(text: str) -> str:
@@ -90,11 +99,31 @@ def bare(text: str) -> str:
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
+    if len(answer) > 2000 and len(answer.strip()) > 2000:
+        return False
     t = bare(answer)
     return len(t) < 200 and bool(NOTHING.fullmatch(t))
 
 
+_AUTOMATON: list = []
+
+
+def _triggers():
+    if not _AUTOMATON:
+        a = ahocorasick.Automaton()
+        for t in TRIGGERS:
+            a.add_word(t, t)
+        a.make_automaton()
+        _AUTOMATON.append(a)
+    return _AUTOMATON[0]
+
+
 def is_refusal(answer: str) -> bool:
+    if len(answer) > 4 * REFUSAL_LENGTH:
+        return False
+    low = answer.replace("’", "'").lower()
+    if not any(True for _ in _triggers().iter(low)):
+        return False
     t = bare(answer).replace("’", "'")
     if len(t) > REFUSAL_LENGTH:
         return False
@@ -105,16 +134,22 @@ def is_refusal(answer: str) -> bool:
 def copied_share(question: str, answer: str) -> float:
     """Bytes per byte of the answer that a compressor needs which knows the question; 1 for one much shorter or longer."""
     a, q = bare(answer).casefold().encode(), bare(question).casefold().encode()
-    if not a or not COPY_COVERS * len(q) <= len(a) <= COPY_GROWS * len(q) + 60:
+    if not a or not COPY_COVERS * len(q) <= len(a) <= COPY_GROWS * len(q) + COPY_INTRODUCTION:
         return 1.0
     if len(a) < 2 * COPY_OVERHEAD:  # too short to be compressed
         return 0.0 if a in q else 1.0
     known = zstandard.ZstdCompressionDict(q, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    bytes_ = len(zstandard.ZstdCompressor(level=COPY_LEVEL, dict_data=known, write_content_size=False, write_dict_id=False).compress(a))
-    share = max(bytes_ - COPY_OVERHEAD, 0) / len(a)
-    if share <= COPY_SHARE and bytes_ - COPY_OVERHEAD > COPY_GAIN * len(_alone().compress(a)):
-        return 1.0
-    return share
+    knowing = zstandard.ZstdCompressor(level=COPY_LEVEL, dict_data=known, write_content_size=False, write_dict_id=False)
+
+    def share(part: bytes) -> float:
+        bytes_ = max(len(knowing.compress(part)) - COPY_OVERHEAD, 0)
+        x = bytes_ / len(part)
+        return 1.0 if x <= COPY_SHARE and bytes_ > COPY_GAIN * len(_alone().compress(part)) else x
+
+    whole = share(a)
+    if whole > COPY_SHARE and len(q) < len(a) <= len(q) + COPY_INTRODUCTION:
+        return min(whole, share(a[-len(q) :]))  # a short question after an introduction
+    return whole
 
 
 _ALONE: list = []
@@ -132,7 +167,9 @@ def asked_languages(question: str) -> set[str]:
 
 
 def language_text(text: str) -> str:
-    return _KEYS.sub(" ", bare(text))
+    if "<" in text or "`" in text:
+        text = bare(text)
+    return _KEYS.sub(" ", text) if '":' in text else text
 
 
 def label_pairs(pairs: DataFrame, model: LanguageModel, copy_share: float = COPY_SHARE, margin: float = 6.0) -> DataFrame:

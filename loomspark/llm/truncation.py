@@ -45,8 +45,8 @@ _STRING = re.compile(r'"(?:[^"\\]|\\.)*"')
 _SPACES = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
 #: A full stop after a number or a short word may be that of an ordinal or an abbreviation.
 _SHORT = re.compile(r"(?:\d|(?<![^\W\d_])[^\W\d_]{1,4})\.$")
-_CLOSING = "\"'»”’)]}」』）】*_`"
 _SENTENCE = ".!?。！？…"
+_ODD_SPACES = ("  ", "\t", "\r", "\x0b", "\x0c", "\xa0", "\u2002", "\u2003", "\u2009", "\u200a", "\u202f", "\u3000")
 
 
 def stripped(text: str) -> str:
@@ -90,7 +90,13 @@ def shape(text: str) -> str:
 
 
 def _cleaned(text: str) -> str:
-    return _SPACES.sub(" ", text.removeprefix(LOSS_PREFIX))
+    text = text.removeprefix(LOSS_PREFIX)
+    return text if not any(c in text for c in _ODD_SPACES) else _SPACES.sub(" ", text)
+
+
+def _zeros(codes: np.ndarray) -> np.ndarray:
+    """Digits are all alike."""
+    return np.where((codes >= 48) & (codes <= 57), np.uint32(48), codes)
 
 
 class _Contexts:
@@ -132,10 +138,11 @@ def ending_contexts(texts: list[str]) -> np.ndarray:
         return np.zeros((0, len(_KINDS)), np.int64)
     out = np.zeros((len(texts), len(_KINDS)), np.uint64)
     ends = [_cleaned(t[-200:]) for t in texts]
-    both = {"raw": [_DIGITS.sub("0", t) for t in ends], "shape": [shape(t) for t in ends]}
+    both = {"raw": ends, "shape": [shape(t) for t in ends]}
     for which, values in both.items():
         joined = "".join((_PADDING + t)[-PAD:] for t in values)
-        h = (_codes(joined).astype(np.uint64).reshape(len(texts), PAD) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        codes = _zeros(_codes(joined)) if which == "raw" else _codes(joined)
+        h = (codes.astype(np.uint64).reshape(len(texts), PAD) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         for k, (w, n) in enumerate(_KINDS):
             if w == which:
                 powers = np.array([pow(_Contexts.BASE, j, 1 << 64) for j in range(n - 1, -1, -1)], np.uint64)
@@ -143,66 +150,77 @@ def ending_contexts(texts: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _following(codes: np.ndarray) -> np.ndarray:
-    """What follows each position: END of a sentence or line, INSIDE a word, MORE, the text's LAST position, or -1."""
-    c = np.minimum(codes, 0xFFFF)
-    t = _TABLE()
-    word, mark, blank, low, wide = (t[c] >> k & 1 == 1 for k in range(5))
-    line, nul = c == 10, c == 0
-    nxt = lambda x, k=1: np.concatenate([x[k:], np.zeros(k, bool)])
-    after_blank = nxt(blank, 2) | nxt(nul, 2) | nxt(line, 2) | nxt(wide, 2)
-    end = nxt(line) | (nxt(mark) & (after_blank | nxt(c == 0x3002))) | (nxt(blank) & nxt(mark, 2))
-    # After a full stop itself: the sentence ended unless a lower-case word or no blank follows.
-    stop = mark & (nxt(line) | (nxt(blank) & ~nxt(low, 2)) | (nxt(wide) & (c != 46)))
-    out = np.where(end | stop, END, np.where(word & nxt(word) & ~(wide | nxt(wide)), INSIDE, MORE)).astype(np.int8)
-    out[nxt(line) & nxt(nul, 2)] = -1
-    out[nxt(nul)] = LAST
-    out[nul] = -1
-    return out
-
-
+_WORD, _MARK, _BLANK, _LOW, _WIDE, _LINE, _NUL, _DOT = (np.uint8(1 << k) for k in range(8))
 _T: list[np.ndarray] = []
 
 
-def _TABLE() -> np.ndarray:  # noqa: N802
+def _kinds() -> np.ndarray:
     if not _T:
-        bits = np.zeros(0x10000, np.uint8)
+        t = np.zeros(0x10000, np.uint8)
         for i in range(0x10000):
             ch = chr(i)
             wide = 0x3040 <= i <= 0x30FF or 0x3400 <= i <= 0x9FFF or 0xAC00 <= i <= 0xD7AF
-            bits[i] = (ch.isalnum() or ch == "¤") | (ch in _SENTENCE) << 1 | (ch.isspace() and ch != "\n") << 2 | ch.islower() << 3 | wide << 4
-        _T.append(bits)
+            flags = [ch.isalnum() or ch == "¤", ch in _SENTENCE, ch.isspace() and ch != "\n", ch.islower(), wide, ch == "\n", i == 0, ch == "."]
+            t[i] = sum(1 << k for k, f in enumerate(flags) if f)
+        _T.append(t)
     return _T[0]
 
 
+def _following(codes: np.ndarray) -> np.ndarray:
+    """What follows each position: END of a sentence or line, INSIDE a word, MORE, the text's LAST position, or -1."""
+    f = _kinds()[np.minimum(codes, 0xFFFF)]
+    f1, f2 = np.zeros_like(f), np.zeros_like(f)
+    f1[:-1], f2[:-2] = f[1:], f[2:]
+    over = (f2 & (_BLANK | _NUL | _LINE | _WIDE)) != 0
+    wide_stop = (f1 & (_MARK | _DOT)) == _MARK  # marks of wide scripts end sentences without a blank; so do ! and ?
+    end = ((f1 & _LINE) != 0) | (((f1 & _MARK) != 0) & (over | wide_stop)) | (((f1 & _BLANK) != 0) & ((f2 & _MARK) != 0))
+    # After a full stop itself: the sentence ended unless a lower-case word or no blank follows.
+    end |= ((f & _MARK) != 0) & (((f1 & _LINE) != 0) | (((f1 & _BLANK) != 0) & ((f2 & _LOW) == 0)) | (((f1 & _WIDE) != 0) & ((f & _DOT) == 0)))
+    inside = ((f & f1 & _WORD) != 0) & (((f | f1) & _WIDE) == 0)
+    out = np.where(end, np.int8(END), np.where(inside, np.int8(INSIDE), np.int8(MORE)))
+    out[((f1 & _LINE) != 0) & ((f2 & _NUL) != 0)] = -1
+    out[(f1 & _NUL) != 0] = LAST
+    out[(f & _NUL) != 0] = -1
+    return out
+
+
+#: Characters that are hashed at a time; the arrays then stay in a processor's cache.
+_AT_A_TIME = 60_000
+
+
 def _count(bits: np.ndarray):
     """All contexts of all texts that pass the filter, with what follows them."""
     mask = np.uint64(len(bits) * 64 - 1)
 
-    def hits(joined: str, which: str):
-        codes = _codes(joined)
+    def hits(codes: np.ndarray, which: str):
         follow = _following(codes)
+        known = follow >= 0
         contexts = _Contexts(codes)
         for k, (w, n) in enumerate(_KINDS):
-            if w != which:
-                continue
-            h = _final(contexts.of(n), k) & ~np.uint64(3)  # the low bits say what follows
-            i = h & mask
-            ok = ((bits[(i >> np.uint64(6)).astype(np.int64)] >> (i & np.uint64(63))) & np.uint64(1)).astype(bool) & (follow >= 0)
-            yield h[ok], follow[ok]
+            if w == which:
+                h = _final(contexts.of(n), k) & ~np.uint64(3)  # the low bits say what follows
+                i = h & mask
+                ok = np.flatnonzero(((bits[(i >> np.uint64(6)).view(np.int64)] >> (i & np.uint64(63))) & np.uint64(1)).astype(bool) & known)
+                yield h[ok] | follow[ok].astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_cleaned(t) for v in batch.column(0).to_pylist() for t in v or () if t]
-            for at in range(0, len(texts), 2000):
-                part = _PADDING + _PADDING.join(texts[at : at + 2000]) + _PADDING
-                found = [*hits(_DIGITS.sub("0", part), "raw"), *hits(shape(part), "shape")]
-                h = np.concatenate([f[0] for f in found])
-                f = np.concatenate([f[1] for f in found])
-                both, n = np.unique(h | f.astype(np.uint64), return_counts=True)
-                yield pa.record_batch(
-                    [pa.array((both & ~np.uint64(3)).view(np.int64)), pa.array((both & np.uint64(3)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["context", "follows", "n"]
-                )
+            found, part, size = [], [_PADDING], 0
+            texts = (t for v in batch.column(0).to_pylist() for t in v or () if t)
+            for text in (*texts, None):
+                if text is not None:
+                    part += [_cleaned(text), _PADDING]
+                    size += len(text)
+                if size > _AT_A_TIME or (text is None and size):
+                    joined = "".join(part)
+                    found += [*hits(_zeros(_codes(joined)), "raw"), *hits(_codes(shape(joined)), "shape")]
+                    part, size = [_PADDING], 0
+                if found and (text is None or len(found) > 256):
+                    both, n = np.unique(np.concatenate(found), return_counts=True)
+                    yield pa.record_batch(
+                        [pa.array((both & ~np.uint64(3)).view(np.int64)), pa.array((both & np.uint64(3)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["context", "follows", "n"]
+                    )
+                    found = []
 
     return run
 

@@ -39,6 +39,9 @@ def test_copies():
     assert copied_share(q, q.replace("visit 7", "call 8").replace("shop1", "shap1")) <= COPY_SHARE
     assert copied_share(q, q[:60]) == 1.0  # one quoted line isn't a copy
     assert copied_share(q, "> " + q[:60] + "\n\n" + " ".join(SAID["en"]) * 3) > COPY_SHARE
+    short = "How sure are you about raised beds?"
+    assert copied_share(short, "Here is the activity again: " + short) <= COPY_SHARE and copied_share(short, short[:-1]) <= COPY_SHARE
+    assert copied_share(short, f"> {short}\n\nQuite sure, they ask every week.") > COPY_SHARE and copied_share(short, "Same as before: raised beds.") > COPY_SHARE
     assert copied_share("x", "y") > COPY_SHARE and copied_share("", "abc") > COPY_SHARE
 
 
