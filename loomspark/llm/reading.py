@@ -38,8 +38,19 @@ _KEY = re.compile(r'"[A-Za-z_]+"\s*:')
 FEATURES = ("mean", "deviation", "q50", "q75", "q90", "q97", "word_mean", "word_q90", "word_length", "long_words", "sentence_length", "sentence_q90", "comma_rate", "spread_of_words")
 
 
-def _words(text: str) -> list[str]:
-    return _WORD.findall(_KEY.sub(" ", bare(text)).lower())
+_STRING = re.compile(r'"((?:[^"\\]|\\.)*)"(\s*:)?')
+
+
+def prose(text: str) -> str:
+    """What there is to read: without markers; of an object or list its string values, a line each."""
+    t = bare(text)
+    if t[:1] in "{[" and '"' in t:
+        return "\n".join(v.replace("\\n", "\n") for v, key in _STRING.findall(t) if not key) or t
+    return t
+
+
+def _words(read: str) -> list[str]:
+    return _WORD.findall(_KEY.sub(" ", read).lower())
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -94,7 +105,7 @@ def train_surprisal(texts: DataFrame, model: LanguageModel) -> Surprisal:
             for at in range(0, batch.num_rows, 256):
                 some = [t for t in batch.column(0).slice(at, 256).to_pylist() if t]
                 for lang, group in _by_language(some, model).items():
-                    joined = [w for i in group for w in _words(some[i])]
+                    joined = [w for i in group for w in _words(prose(some[i]))]
                     if joined:
                         for k, h in enumerate(_hashes(_codes(joined)).values()):
                             chars[lang, k] += np.bincount(h, minlength=BINS)
@@ -126,7 +137,8 @@ def _by_language(texts: list[str], model: LanguageModel) -> dict[int, list[int]]
 
 def features(text: str, lang: int, s: Surprisal) -> list[float] | None:
     """None for a text without words."""
-    words = _words(text)
+    read = prose(text)
+    words = _words(read)
     if not words:
         return None
     codes = _codes(words)
@@ -135,11 +147,11 @@ def features(text: str, lang: int, s: Surprisal) -> list[float] | None:
     per_word = np.add.reduceat(per_char, np.concatenate([[0], ends[:-1]]))
     freq = s.of_words(_word_bins(words), lang)
     lengths = np.array([len(w) for w in words])
-    sentences = np.array([n for n in (sum(map(len, _WORD.findall(x))) for x in _SENTENCE.split(bare(text))) if n] or [lengths.sum()])
+    sentences = np.array([n for n in (sum(map(len, _WORD.findall(x))) for x in _SENTENCE.split(read)) if n] or [lengths.sum()])
     q = np.quantile(per_word, (0.5, 0.75, 0.9, 0.97))
     return [
         per_word.mean(), per_word.std(), *q, freq.mean(), np.quantile(freq, 0.9), lengths.mean(), (lengths > 9).mean(),
-        np.log(sentences.mean()), np.log(np.quantile(sentences, 0.9)), sum(text.count(c) for c in ",;、，") / len(words), freq.std(),
+        np.log(sentences.mean()), np.log(np.quantile(sentences, 0.9)), sum(read.count(c) for c in ",;、，") / len(words), freq.std(),
     ]
 
 
