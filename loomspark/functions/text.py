@@ -14,13 +14,22 @@ LOSS_PREFIX = "<|channel>thought\n<channel|>"
 HEADERS = {"user": "user", "assistant": "model", "system": "system"}
 
 
+#: The same for ASCII texts, which a regular expression goes through several times as fast.
+ASCII_WORD = r"[^\t-\r\x1c-\x20]+"
+
+
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def words(text: Column) -> Column:
     """The words of a text; an empty array for a null or empty one."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    found = F.when(_ascii(text), F.regexp_extract_all(text, F.lit(ASCII_WORD), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
+    return F.coalesce(F.when(_ascii(text), F.regexp_count(text, F.lit(ASCII_WORD))).otherwise(F.regexp_count(text, F.lit(WORD))), F.lit(0))
 
 
 def word_id(word: Column) -> Column:

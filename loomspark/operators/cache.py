@@ -138,11 +138,14 @@ def shard_totals(index: DataFrame) -> DataFrame:
 
 
 def padded_batches(samples: DataFrame, batch: str, pads: dict[str, int]) -> DataFrame:
-    """Array columns padded on the right to their batch's longest; the first one's length rules."""
-    first = next(iter(pads))
-    longest = samples.groupBy(batch).agg(F.max(F.size(first)).alias("_longest"))
+    """Array columns padded on the right to their batch's longest; the first one's length rules.
+
+    Samples are shuffled once, by batch; a batch is what fits a training step.
+    """
+    longest = F.max(F.size(next(iter(pads)))).over(Window.partitionBy(batch))
+    held = samples.withColumn("_longest", longest)
     padded = [F.concat(F.col(c), F.array_repeat(F.lit(v), F.greatest(F.col("_longest") - F.size(c), F.lit(0)))).alias(c) for c, v in pads.items()]
-    return samples.join(longest, batch).select(*[c for c in samples.columns if c not in pads], *padded)
+    return held.select(*[c for c in samples.columns if c not in pads], *padded)
 
 
 def buffered_shuffle(rows: DataFrame, order: Sequence[str], buffer: int, seed: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomspark.functions.stats import nearest_rank
 from loomspark.functions.text import role_bucket, word_count
+from loomspark.functions.vectors import let
 
 SHARES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
 
@@ -70,13 +71,17 @@ def length_profile(rows: DataFrame, by: Sequence[str], messages: str, unit: str)
 
 
 def layer_summary(rows: DataFrame, layer: str, messages: str) -> DataFrame:
-    """One line per layer: rows, mean system length (cut), user and whole-row percentiles in words."""
+    """One line per layer: rows, mean system length (cut), user and whole-row percentiles in words.
+
+    Words are counted once per message; lengths of all kinds are then ranked in one aggregation.
+    """
     m = F.col(messages)
-    good = rows.where(F.size(m) > 0).select(F.col(layer).alias("layer"), F.monotonically_increasing_id().alias("_r"), m.alias("m"))
-    total = lambda role: F.aggregate(F.filter("m", lambda x: x["role"] == role) if role else F.col("m"), F.lit(0), lambda a, x: a + word_count(F.coalesce(x["content"], F.lit("None"))))
-    per_row = good.select("layer", total(None).alias("row_words"))
-    msgs = good.select("layer", F.explode("m").alias("x")).select("layer", F.col("x.role").alias("role"), word_count(F.coalesce("x.content", F.lit("None"))).alias("words"))
-    system = msgs.where("role = 'system'").groupBy("layer").agg(F.floor(F.avg("words")).cast("bigint").alias("sys_mean"))
-    user = nearest_rank(msgs.where("role = 'user'"), ["layer"], "words", SHARES).select("layer", *[F.col(p).alias(f"user_{p}") for p in SHARES])
-    whole = nearest_rank(per_row, ["layer"], "row_words", SHARES).select("layer", F.col("n").alias("rows"), *[F.col(p).alias(f"row_{p}") for p in SHARES], F.col("most").alias("row_max"))
-    return whole.join(system, "layer", "left").join(user, "layer", "left")
+    counted = F.transform(m, lambda x: F.struct(x["role"].alias("kind"), word_count(F.coalesce(x["content"], F.lit("None"))).alias("words")))
+    whole = lambda c: F.concat(c, F.array(F.struct(F.lit("row").alias("kind"), F.aggregate(c, F.lit(0), lambda a, x: a + x["words"]).alias("words"))))
+    each = rows.where(F.size(m) > 0).select(F.col(layer).alias("layer"), F.explode(let(counted, whole)).alias("x")).select("layer", "x.kind", "x.words")
+    per = nearest_rank(each.where(F.col("kind").isin("system", "user", "row")), ["layer", "kind"], "words", SHARES)
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    return per.groupBy("layer").agg(
+        of("row", "n").alias("rows"), *[of("row", p).alias(f"row_{p}") for p in SHARES], of("row", "most").alias("row_max"),
+        F.floor(of("system", "mean")).cast("bigint").alias("sys_mean"), *[of("user", p).alias(f"user_{p}") for p in SHARES],
+    )
