@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomspark.functions import text as tx, vectors as vx
-from loomspark.operators import accept, anchors
+from loomspark.functions import vectors as vx
+from loomspark.operators import accept
 from loomspark.operators import payload
 from loomspark.operators.nearest import nearest_by_cosine
+from loomspark.operators.readbench import read_list
 from loomspark.runtime import table
 
 QUERIES: dict = {}
@@ -264,6 +265,14 @@ def sample_lookup(spark, sf_dir):
     return s.join(r, "regen_id").select("sample_id", "regen_id", "messages", "seq_len")
 
 
+@query("""WITH r AS (SELECT sample_id, shard_id, seq_len, row_number() OVER (ORDER BY md5(sample_id || ':0'), sample_id) - 1 AS rnd, row_number() OVER (ORDER BY sample_id) - 1 AS seq FROM sample_index)
+ SELECT 'random' AS mode, CAST(rnd AS INT) AS place, sample_id, shard_id, seq_len FROM r WHERE rnd < 200 UNION ALL SELECT 'seq' AS mode, CAST(seq AS INT) AS place, sample_id, shard_id, seq_len FROM r WHERE seq < 200""")
+def read_lists(spark, sf_dir):
+    """Which samples a read benchmark asks for: a sampling operator of 200 each way."""
+    i = table(spark, sf_dir, "sample_index")
+    return read_list(i, 200, "random").withColumn("mode", F.lit("random")).unionByName(read_list(i, 200, "seq").withColumn("mode", F.lit("seq")))
+
+
 @query("SELECT vec_id, CAST(16 AS INT) AS seq_len, CAST(64 + 16 + 128 + 128 AS INT) AS nbytes, true AS same, true AS close FROM embeddings")
 def payload_round_trip(spark, sf_dir):
     """Each vector as a sample of 16 tokens, through bytes and back; bfloat16 keeps 8 bits of the fraction."""
@@ -277,6 +286,3 @@ def payload_round_trip(spark, sf_dir):
     off = F.zip_with(F.flatten("last_hidden"), "x", lambda a, b: F.abs(a - b) <= F.abs(b) / 128 + 1e-9)
     again = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.concat(F.col("kv")[0][i], F.col("kv")[1][i])))
     return d.select("vec_id", "seq_len", "nbytes", ((F.col("input_ids") == ids) & (again == F.flatten("last_hidden"))).alias("same"), F.forall(off, lambda v: v).alias("close"))
-
-
-__all__ = ["ORACLE_SQL", "QUERIES", "Window", "anchors", "tx"]

@@ -309,6 +309,29 @@ def test_rejection(spark):
     assert [r["a"] for r in df.select(accept.rejection_accept(F.col("p"), F.col("q"), F.col("u")).alias("a")).collect()] == [True, False, False]
 
 
+def test_read_rates(spark):
+    from loomspark.operators.readbench import read_list, timed
+
+    index = spark.range(50).select(F.col("id").alias("sample_id"), F.lit(0).alias("shard_id"), F.lit(7).alias("seq_len"))
+    assert [r["sample_id"] for r in read_list(index, 5, "seq").orderBy("place").collect()] == [0, 1, 2, 3, 4]
+    assert len({r["sample_id"] for r in read_list(index, 5, "random").collect()}) == 5
+    assert timed(index, "seq_len")["rows"] == 50 and timed(index.where("false"), "seq_len")["mb_per_second"] == 0
+
+
+def test_file_names(spark):
+    assert one(spark, "layer1_x_regen.jsonl", "string", tx.layer_of_file) == "layer1_x"
+    assert one(spark, "out/a.jsonl", "string", tx.error_path) == "out/a_error.jsonl"
+    assert one(spark, "x" * 201, "string", tx.preview) == "x" * 200 + "..." and one(spark, "x", "string", tx.preview) == "x"
+
+
+def test_nearest(spark):
+    from loomspark.operators.nearest import nearest_by_cosine
+
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [2.0, 0.0]), (5, [0.0, 0.0])], "i long, v array<double>")
+    got = {r["i"]: r["near"] for r in nearest_by_cosine(df, df, "i", "v", block=2).collect()}
+    assert got[1] == 4 and got[4] == 1 and got[3] == 2
+
+
 def test_stages_are_skipped_where_done(spark, tmp_path):
     stages = [Stage("a", f"{tmp_path}/a", lambda s, _: s.range(3)), Stage("b", f"{tmp_path}/b", lambda s, o: o["a"].where("id > 0"))]
     assert run_stages(spark, stages, only="a") == {"a": "ran", "b": "left out"}
