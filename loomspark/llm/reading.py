@@ -50,7 +50,7 @@ def prose(text: str) -> str:
 
 
 def _words(read: str) -> list[str]:
-    return _WORD.findall(_KEY.sub(" ", read).lower())
+    return _WORD.findall((_KEY.sub(" ", read) if '":' in read else read).lower())
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -66,8 +66,19 @@ def _hashes(codes: np.ndarray) -> dict[int, np.ndarray]:
     return out
 
 
+class _Bins(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        v = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) & (WORD_BINS - 1)
+        return v
+
+
+_BINS_OF = _Bins()
+
+
 def _word_bins(words: list[str]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)) & (WORD_BINS - 1)
+    return np.fromiter(map(_BINS_OF.__getitem__, words), np.int64, len(words))
 
 
 @dataclass
@@ -135,23 +146,56 @@ def _by_language(texts: list[str], model: LanguageModel) -> dict[int, list[int]]
     return out
 
 
-def features(text: str, lang: int, s: Surprisal) -> list[float] | None:
-    """None for a text without words."""
-    read = prose(text)
-    words = _words(read)
-    if not words:
-        return None
-    codes = _codes(words)
-    per_char = s.of_characters(codes, lang)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    per_word = np.add.reduceat(per_char, np.concatenate([[0], ends[:-1]]))
-    freq = s.of_words(_word_bins(words), lang)
-    lengths = np.array([len(w) for w in words])
-    sentences = np.array([n for n in (sum(map(len, _WORD.findall(x))) for x in _SENTENCE.split(read)) if n] or [lengths.sum()])
-    q = np.quantile(per_word, (0.5, 0.75, 0.9, 0.97))
+def _quantiles(rising: np.ndarray, shares: tuple[float, ...]) -> list[float]:
+    """Linear interpolation in a sorted array."""
+    out, top = [], len(rising) - 1
+    for q in shares:
+        at = q * top
+        i = int(at)
+        out.append(float(rising[i] + (at - i) * (rising[min(i + 1, top)] - rising[i])))
+    return out
+
+
+def features(texts: list[str], lang: int, s: Surprisal, at_a_time: int = 60_000) -> list[list[float] | None]:
+    """The features of texts of one language; None for a text without words.
+
+    Characters of many texts are looked up at once, as many as stay in a processor's cache.
+    """
+    out: list[list[float] | None] = [None] * len(texts)
+    held: list[tuple[int, str, list[str]]] = []
+    size = 0
+    for i, text in enumerate([*texts, None]):
+        if text is not None:
+            read = prose(text)
+            words = _words(read)
+            if words:
+                held.append((i, read, words))
+                size += len(read)
+        if held and (text is None or size > at_a_time):
+            codes = [_codes(words) for _, _, words in held]
+            per_char = s.of_characters(np.concatenate(codes), lang)
+            freq = s.of_words(_word_bins([w for _, _, words in held for w in words]), lang)
+            at, first = 0, 0
+            for (k, read_, words), c in zip(held, codes):
+                # The first text's padding isn't scored, the others' is.
+                start = at if at == 0 else at + 5
+                n = len(c) - 5
+                mine = per_char[start : start + n]
+                at = start + n
+                out[k] = _features(read_, words, mine, freq[first : first + len(words)])
+                first += len(words)
+            held, size = [], 0
+    return out
+
+
+def _features(read: str, words: list[str], per_char: np.ndarray, freq: np.ndarray) -> list[float]:
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1)
+    per_word = np.sort(np.add.reduceat(per_char, np.concatenate([[0], ends[:-1]])))
+    sentences = np.sort(np.array([len(x) for x in _SENTENCE.split(read) if x and not x.isspace()] or [len(read)]))
     return [
-        per_word.mean(), per_word.std(), *q, freq.mean(), np.quantile(freq, 0.9), lengths.mean(), (lengths > 9).mean(),
-        np.log(sentences.mean()), np.log(np.quantile(sentences, 0.9)), sum(read.count(c) for c in ",;、，") / len(words), freq.std(),
+        float(per_word.mean()), float(per_word.std()), *_quantiles(per_word, (0.5, 0.75, 0.9, 0.97)), float(freq.mean()), *_quantiles(np.sort(freq), (0.9,)), float(lengths.mean()), float((lengths > 9).mean()),
+        float(np.log(sentences.mean())), float(np.log(_quantiles(sentences, (0.9,))[0])), sum(map(read.count, ",;、，")) / len(words), float(freq.std()),
     ]
 
 
@@ -166,9 +210,9 @@ def with_features(documents: DataFrame, row: str, text: str, model: LanguageMode
             for at in range(0, len(texts), 256):
                 index = [i for i in range(at, min(at + 256, len(texts))) if texts[i]]
                 for lang, group in _by_language([texts[i] for i in index], model).items():
-                    for i in (index[g] for g in group):
-                        values[i] = features(texts[i], lang, s)
-                        if values[i] is not None:
+                    for i, found in zip((index[g] for g in group), features([texts[index[g]] for g in group], lang, s)):
+                        values[i] = found
+                        if found is not None:
                             langs[i] = s.languages[lang]
             yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), pa.array(values, pa.list_(pa.float64()))], names=[row, "detected", "features"])
 
