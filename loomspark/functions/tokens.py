@@ -17,16 +17,16 @@ has_cjk = re.compile(f"[{_CJK}]").search
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
-def tokens(text: str) -> list[str]:
-    """Lower-case words and numbers; runs of scripts without spaces give their overlapping pairs of characters."""
+def tokens(text: str, wide: int = 2) -> list[str]:
+    """Lower-case words and numbers; runs of scripts without spaces give their overlapping pieces of ``wide`` characters."""
     text = text.lower()
     if text.isascii() or not has_cjk(text):
         return _WORDS(text)
     out: list[str] = []
     for m in _TOKEN.finditer(text):
         run = m.group()
-        if m.lastindex and len(run) > 2:
-            out.extend(run[i : i + 2] for i in range(len(run) - 1))
+        if m.lastindex and len(run) > wide:
+            out.extend(run[i : i + wide] for i in range(len(run) - wide + 1))
         else:
             out.append(run)
     return out
@@ -42,11 +42,11 @@ class Hashes(dict):
         return v
 
 
-def hashed(text: str, cache: Hashes) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, tokens(text)), np.uint32)
+def hashed(text: str, cache: Hashes, wide: int = 2) -> np.ndarray:
+    return np.fromiter(map(cache.__getitem__, tokens(text, wide)), np.uint32)
 
 
-def frequent_tokens(texts: DataFrame, column: str, share: float) -> tuple[np.ndarray, int]:
+def frequent_tokens(texts: DataFrame, column: str, share: float, wide: int = 2) -> tuple[np.ndarray, int]:
     """Sorted CRCs of the tokens in more than ``share`` of all non-null texts, and the number of those texts.
 
     All texts are counted. What reaches the driver is bounded: at most ``mean distinct tokens of a text / share``
@@ -63,7 +63,7 @@ def frequent_tokens(texts: DataFrame, column: str, share: float) -> tuple[np.nda
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                seen.update(set(map(cache.__getitem__, tokens(text))))
+                seen.update(set(map(cache.__getitem__, tokens(text, wide))))
             if len(seen) > 1_000_000:
                 yield flush()
                 seen.clear()
