@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomspark.functions.text import LOSS_PREFIX, SPAN, WORD, assistant_spans, render, word_id, words
+from loomspark.functions.text import render, word_id, words
 
 
 def tokenised(records: DataFrame, id_: str, messages: str, max_length: int = 4096) -> DataFrame:
@@ -53,6 +53,3 @@ def supervised_steps(samples: DataFrame, id_: str, mask: str, steps: int) -> Dat
     anchors = samples.select(id_, mask, F.explode(valid_anchors(F.col(mask))).alias("t"))
     each = anchors.select(F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.when(F.coalesce(F.get(F.col(mask), F.col("t") + k + 1), F.lit(0)) == 1, k)), lambda k: k.isNotNull())).alias("step"))
     return each.groupBy("step").agg(F.count("*").alias("n"))
-
-
-__all__ = ["LOSS_PREFIX", "SPAN", "WORD", "assistant_spans", "sampled_anchors", "supervised", "supervised_steps", "tokenised", "valid_anchors"]
