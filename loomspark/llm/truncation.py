@@ -37,6 +37,11 @@ END, INSIDE, MORE, LAST = 0, 1, 2, 3
 LEAST_WHOLE, WHOLE = 4, 24
 #: Log-odds of "more follows" from which a value counts as cut.
 THRESHOLD = 1.0
+#: … where sentences do end like this, too. A cut falls on one place of many, an end without a mark on one of few ends, so
+#: the odds must make up for that; where no sentence was seen to end like this, the counts are all there is.
+THRESHOLD_ENDS = 3.5
+#: … and after a full stop.
+THRESHOLD_STOP = 3.0
 _MARKS = re.compile(r"(?:<\|?[a-z_]+\|?>(?:thought|model|user)?|<\|channel>thought\n<channel\|>)$")
 _BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u2028\u2029\u202f\u2060\u3000\ufeff"
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]*")
@@ -337,8 +342,9 @@ def truncated_values(
     # After a full stop the ends of other values are ends of sentences, too; one of them is this value's own.
     by_stop = F.log((stopped["more"] + stopped["inside"] + 0.5) / (stopped["ends"] + F.greatest(stopped["last"] - 1, F.lit(0)) + 0.5))
     odds = F.when(F.col("ending") == "stop", by_stop).otherwise(F.coalesce(by_form, F.log((raw["more"] + raw["inside"] + 0.5) / (raw["ends"] + 0.5))))
-    scored = scored.withColumn("inside_odds", F.when(~F.col("cjk"), inside)).withColumn("odds", odds)
-    scored = materialize(scored.select("row", "pos", "column", "lang", "left", "single", "open", "ending", "limit", "inside_odds", "odds", "as_whole"))
+    ended = F.coalesce(form["ends"], raw["ends"], F.lit(0)) > 0
+    scored = scored.withColumn("inside_odds", F.when(~F.col("cjk"), inside)).withColumn("odds", odds).withColumn("ended", ended)
+    scored = materialize(scored.select("row", "pos", "column", "lang", "left", "single", "open", "ending", "limit", "inside_odds", "odds", "ended", "as_whole"))
     # The threshold of a language and column moves with how common cut values are in it, within one nat of the column's.
     decided = scored.where("ending = 'open' AND open IS NULL AND odds IS NOT NULL")
     share = F.log((F.count_if(F.col("odds") > 0) + 1) / (F.count_if(F.col("odds") <= 0) + 1))
@@ -346,7 +352,8 @@ def truncated_values(
     by_both = decided.groupBy("column", "lang").agg(share.alias("prior")).join(by_column, "column")
     moved = by_both.select("column", F.coalesce("lang", F.lit("")).alias("_lang"), F.least(F.greatest(F.col("prior") - F.col("usual"), F.lit(-1.0)), F.lit(1.0)).alias("shift"))
     scored = scored.withColumn("_lang", F.coalesce("lang", F.lit(""))).join(moved, ["column", "_lang"], "left").drop("_lang")
-    threshold_here = F.lit(threshold) - F.coalesce("shift", F.lit(0.0))
+    least = F.when(F.col("ending") == "stop", THRESHOLD_STOP).when(F.col("ended"), THRESHOLD_ENDS).otherwise(threshold)
+    threshold_here = least - F.coalesce("shift", F.lit(0.0))
     limit_bonus = F.when(F.col("limit") & (F.col("ending") == "open"), 1.5).otherwise(0.0)
     whole = (F.col("left") <= WHOLE) & (F.col("as_whole") >= LEAST_WHOLE)
     by_model = ((F.col("ending") != "stop") & (F.coalesce(F.col("inside_odds"), F.lit(-9.0)) > 2.0)) | (F.coalesce(F.col("odds"), F.when(F.col("limit"), 0.0).otherwise(-9.0)) + limit_bonus > threshold_here)
