@@ -25,7 +25,7 @@ from loomspark.llm.lang import LanguageModel
 MARKER = re.compile(r"<\|?/?[a-z_]+\|?>(?:(?:thought|user|model|assistant|system)\b)?")
 FENCE = re.compile(r"```[a-z]*|~~~")
 INVISIBLE = re.compile(r"[\s­​-‏‪-‮⁠-⁤﻿ㅤ]+")
-NOTHING = re.compile(r"[\s{}\[\]\"'`.,;:…\-_*#>]*|null|none|n/a", re.I)
+NOTHING = re.compile(r"(?:\{\s*\}|\[\s*\]|\"\"|\s)*")
 
 REFUSALS = {
     "en": [

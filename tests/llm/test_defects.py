@@ -18,7 +18,7 @@ def test_empty(answer):
     assert is_empty(answer)
 
 
-@pytest.mark.parametrize("answer", ["No change.", "Herbst", "冬", "0", '{"season": "summer"}', "no", "- a"])
+@pytest.mark.parametrize("answer", ["No change.", "Herbst", "冬", "0", '{"season": "summer"}', "no", "- a", "None", "-", "n/a"])
 def test_not_empty(answer):
     assert not is_empty(answer)
 
