@@ -38,6 +38,28 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bins, starts
 
 
+#: Characters that are looked at together, which bounds the memory however long texts are.
+_TOGETHER = 200_000
+
+
+def pieces(texts: list[str], most: int = _TOGETHER) -> Iterator[tuple[list[int], list[str]]]:
+    """Runs of at most about ``most`` characters: whose they are, and the texts or parts of long ones.
+
+    Parts overlap by three characters, so that every 4-gram is in one of them.
+    """
+    owners, parts, size = [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(len(text), 1), most):
+            part = text[at : at + most + 3]
+            owners.append(i), parts.append(part)
+            size += len(part)
+            if size > most:
+                yield owners, parts
+                owners, parts, size = [], [], 0
+    if parts:
+        yield owners, parts
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -46,10 +68,9 @@ class LanguageModel:
     def scores(self, texts: list[str]) -> np.ndarray:
         """Log-likelihoods (texts, languages), relative to the mean of all languages."""
         out = np.zeros((len(texts), len(self.languages)), np.float32)
-        for at in range(0, len(texts), 512):
-            part = texts[at : at + 512]
-            bins, starts = grams(part)
-            out[at : at + len(part)] = np.add.reduceat(self.weights[bins], starts, axis=0)
+        for owners, parts in pieces(texts):
+            bins, starts = grams(parts)
+            np.add.at(out, owners, np.add.reduceat(self.weights[bins], starts, axis=0))
         return out
 
     def detect(self, texts: list[str], margin: float = 4.0) -> tuple[list[str | None], np.ndarray]:
@@ -83,8 +104,8 @@ def train_languages(labelled: DataFrame, lang: str, text: str, least_share: floa
                 rows[label] = rows.get(label, 0) + 1
                 by.setdefault(label, []).extend([t for t in value if t] if many else [value])
             for label, texts in by.items():
-                for at in range(0, len(texts), 512):
-                    bins = grams(texts[at : at + 512])[0]
+                for _, parts in pieces(texts):
+                    bins = grams(parts)[0]
                     held[label] += np.bincount(np.where(bins < 0, BINS, bins), minlength=BINS + 1)
         for label, counts in held.items():
             nz = np.flatnonzero(counts[:BINS])

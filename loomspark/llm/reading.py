@@ -31,6 +31,7 @@ ORDERS = (1, 2, 3, 4, 5)
 BINS = 1 << 16
 WORD_BINS = 1 << 17
 MOST_LABELS = 20_000
+_TOGETHER = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?。！？]+(?:\s|$)|(?<=[。！？])|\n+")
@@ -116,11 +117,17 @@ def train_surprisal(texts: DataFrame, model: LanguageModel) -> Surprisal:
             for at in range(0, batch.num_rows, 256):
                 some = [t for t in batch.column(0).slice(at, 256).to_pylist() if t]
                 for lang, group in _by_language(some, model).items():
-                    joined = [w for i in group for w in _words(prose(some[i]))]
-                    if joined:
-                        for k, h in enumerate(_hashes(_codes(joined)).values()):
-                            chars[lang, k] += np.bincount(h, minlength=BINS)
-                        words[lang] += np.bincount(_word_bins(joined), minlength=WORD_BINS)
+                    joined: list[str] = []
+                    size = 0
+                    for i in group:
+                        words_ = _words(prose(some[i]))
+                        joined += words_
+                        size += len(some[i])
+                        if joined and (size > _TOGETHER or i == group[-1]):
+                            for k, h in enumerate(_hashes(_codes(joined)).values()):
+                                chars[lang, k] += np.bincount(h, minlength=BINS)
+                            words[lang] += np.bincount(_word_bins(joined), minlength=WORD_BINS)
+                            joined, size = [], 0
         for lang in range(L):
             for k, table in [*enumerate(chars[lang]), (len(ORDERS), words[lang])]:
                 nz = np.flatnonzero(table)
