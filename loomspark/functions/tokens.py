@@ -46,8 +46,8 @@ def hashed(text: str, cache: Hashes, wide: int = 2) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, tokens(text, wide)), np.uint32)
 
 
-def frequent_tokens(texts: DataFrame, column: str, share: float, wide: int = 2) -> tuple[np.ndarray, int]:
-    """Sorted CRCs of the tokens in more than ``share`` of all non-null texts, and the number of those texts.
+def frequent_tokens(texts: DataFrame, column: str, share: float, wide: int = 2, least: int = 0) -> tuple[np.ndarray, int]:
+    """Sorted CRCs of the tokens in more than ``share`` of all non-null texts and more than ``least``, and the number of those texts.
 
     All texts are counted. What reaches the driver is bounded: at most ``mean distinct tokens of a text / share``
     tokens can be that frequent, whatever the number of texts.
@@ -73,6 +73,6 @@ def frequent_tokens(texts: DataFrame, column: str, share: float, wide: int = 2)
     counts = texts.select(column).where(F.col(column).isNotNull()).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     total = F.max(F.when(F.col("token") == -1, F.col("n")))
     rows = counts.crossJoin(F.broadcast(counts.agg(total.alias("total"))))  # one row
-    kept = rows.where((F.col("token") == -1) | (F.col("n") > F.col("total") * share)).select("token", "n").collect()
+    kept = rows.where((F.col("token") == -1) | (F.col("n") > F.greatest(F.col("total") * share, F.lit(float(least))))).select("token", "n").collect()
     n = next((r["n"] for r in kept if r["token"] == -1), 0)
     return np.sort(np.array([r["token"] for r in kept if r["token"] >= 0], np.uint32)), n

@@ -4,8 +4,9 @@ Two texts are linked when the Jaccard similarity of their sets of tokens is ``th
 connected components of the links. The steps:
 
 1. One pass counts all tokens, which gives the frequent ones (a bounded list).
-2. One pass gives each text a digest, its token signature and ``keys`` keys, each from ``rows`` min-hashes of its rare
-   tokens, which reorderings and edits elsewhere leave alone. Exact copies are then one class with one representative.
+2. One pass gives each text a digest, its token signature and keys: ``keys`` of ``rows`` min-hashes of its rare tokens,
+   which reorderings and edits elsewhere leave alone, and ``WHOLE_KEYS`` of ``WHOLE_ROWS`` min-hashes of all its tokens,
+   as what the members of a hot group share is frequent. Exact copies are then one class with one representative.
 3. Representatives that share a key form a block around the smallest of them.
 4. Within a block a signature tree is built: leaves hold the token bitmaps of few texts, inner nodes the OR of their
    children with the range of their sizes. A dual traversal descends only into pairs of nodes whose common bits still
@@ -13,8 +14,11 @@ connected components of the links. The steps:
 5. Blocks larger than ``tile`` are cut into tiles. A text linked to the block's centre is in its component already; the
    others meet every tile of their block in a second traversal, so no link between different components is lost.
 
-No rows are capped or dropped. Candidate keys miss a pair with probability ``(1 - j ** rows) ** keys`` for the
-similarity ``j`` of its rare tokens (below 0.001 from 0.65 on), less when a third text links both.
+No rows are capped or dropped. The keys of rare tokens miss a pair with probability ``(1 - j ** rows) ** keys`` for the
+similarity ``j`` of its rare tokens (below 0.001 from 0.65 on). Whatever is rare, the keys of all tokens miss a pair of
+similarity 0.66 with probability 0.09, of 0.75 with 0.004, of 0.8 with 0.0002; less when a third text links both, as
+hundreds do in a group so hot that its own tokens are frequent. Tokens in up to ``FREQUENT_LEAST`` texts are rare in any
+table.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomspark.functions.tokens import Hashes, frequent_tokens, hashed
 from loomspark.operators.components import SMALL_GRAPH_EDGES, connected_components
@@ -33,11 +37,18 @@ THRESHOLD = 0.66
 FREQUENT_SHARE = 0.01
 #: Characters to a token in scripts without spaces. Shorter ones are shared by all texts of one wording.
 WIDE = 4
+#: … and tokens in no more texts than these are never frequent.
+FREQUENT_LEAST = 256
 KEYS = 20
 ROWS = 3
+#: Keys of all tokens take more min-hashes, as unrelated texts of one wording share many tokens.
+WHOLE_KEYS = 28
+WHOLE_ROWS = 6
 TILE = 4096
 _LEAF = 16
 _BITS = 512
+#: Pairs of nodes whose children are looked at together.
+_PART = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,27 +57,35 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _min_hash_keys(h: np.ndarray, seeds: np.ndarray, keys: int, rows: int) -> np.ndarray:
+    low = _mixed(h[:, None] * seeds[None, :]).min(0).reshape(keys, rows)
+    key = low[:, 0]
+    for j in range(1, rows):
+        key = _mixed(key + low[:, j])
+    return key
+
+
 def _describe(frequent: np.ndarray, keys: int, rows: int):
-    seeds = np.random.default_rng(11).integers(1, 2**62, keys * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    every = keys + WHOLE_KEYS
+    seeds = np.random.default_rng(11).integers(1, 2**62, keys * rows + WHOLE_KEYS * WHOLE_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    seeds, whole_seeds = seeds[: keys * rows], seeds[keys * rows :]
     common = set(frequent.tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes()
         for batch in batches:
-            sigs, found = [], np.empty((batch.num_rows, keys), np.int64)
+            sigs, found = [], np.empty((batch.num_rows, every), np.int64)
             for i, text in enumerate(batch.column(1).to_pylist()):
                 all_ = set(hashed(text, cache, WIDE).tolist())
                 rare = all_ - common
                 # A text of few rare tokens is told apart by all it has.
-                h = np.fromiter(rare if len(rare) >= 4 else all_, np.uint64) if all_ else np.zeros(1, np.uint64)
-                low = _mixed(h[:, None] * seeds[None, :]).min(0).reshape(keys, rows)
-                key = low[:, 0]
-                for j in range(1, rows):
-                    key = _mixed(key + low[:, j])
-                found[i] = (key + np.arange(keys, dtype=np.uint64)).view(np.int64)
+                whole = np.fromiter(all_, np.uint64) if all_ else np.zeros(1, np.uint64)
+                h = np.fromiter(rare, np.uint64) if len(rare) >= 4 else whole
+                key = np.concatenate([_min_hash_keys(h, seeds, keys, rows), _min_hash_keys(whole, whole_seeds, WHOLE_KEYS, WHOLE_ROWS)])
+                found[i] = (key + np.arange(every, dtype=np.uint64)).view(np.int64)
                 short = np.fromiter(all_, np.uint32, len(all_))
                 sigs.append(np.unique((short ^ (short >> 16)).astype(np.uint16)).tobytes())
-            lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, keys, dtype=np.int32), pa.array(found.ravel()))
+            lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, every, dtype=np.int32), pa.array(found.ravel()))
             yield pa.record_batch([batch.column(0), batch.column(2), lists, pa.array(sigs, pa.binary())], names=["row", "digest", "keys", "sig"])
 
     return run
@@ -77,10 +96,10 @@ class _Tree:
 
     def __init__(self, sigs: list[np.ndarray]):
         self.size = np.array([len(s) for s in sigs])
-        bits = np.zeros((len(sigs), _BITS // 64), np.uint64)
-        for i, s in enumerate(sigs):
-            p = (s.astype(np.uint32) * 40503 >> 7) % _BITS
-            np.bitwise_or.at(bits[i], p // 64, np.uint64(1) << (p % 64).astype(np.uint64))
+        at = (np.concatenate(sigs).astype(np.uint32) * 40503 >> 7) % _BITS
+        bits = np.zeros((len(sigs), _BITS), bool)
+        bits[np.repeat(np.arange(len(sigs)), self.size), at] = True
+        bits = np.packbits(bits, 1).view(np.uint64)
         self.order = np.lexsort((bits[:, 0], self.size))
         bits, size = bits[self.order], self.size[self.order]
         excess = size - np.bitwise_count(bits).sum(1)
@@ -92,33 +111,36 @@ class _Tree:
             self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(ex, at)))
 
 
-def _candidates(a: _Tree, b: _Tree, threshold: float) -> np.ndarray:
-    """Dual traversal: pairs of positions (in the trees' own order) whose greatest possible overlap allows the threshold."""
-    depth = max(len(a.levels), len(b.levels))
-    pairs = np.zeros((1, 2), np.int64)
-    for level in range(depth - 1, -1, -1):
+def _candidates(a: _Tree, b: _Tree, threshold: float) -> Iterator[np.ndarray]:
+    """Dual traversal: pairs of positions (in the trees' own order) whose greatest possible overlap allows the threshold.
+
+    It goes depth first by parts of bounded size, so its memory doesn't grow with the number of pairs.
+    """
+    parts = [(max(len(a.levels), len(b.levels)) - 1, np.zeros((1, 2), np.int64))]
+    while parts:
+        level, pairs = parts.pop()
         la, lb = min(level, len(a.levels) - 1), min(level, len(b.levels) - 1)
         (ab, alo, ahi, aex), (bb, blo, bhi, bex) = a.levels[la], b.levels[lb]
-        kept = []
-        for part in np.array_split(pairs, max(1, len(pairs) // 65536)):
-            x, y = part[:, 0], part[:, 1]
-            possible = np.bitwise_count(ab[x] & bb[y]).sum(1) + np.minimum(aex[x], bex[y])
-            need = threshold / (1 + threshold) * (alo[x] + blo[y])
-            apart = np.maximum(alo[x], blo[y]) * threshold > np.minimum(ahi[x], bhi[y])
-            kept.append(part[(possible >= need - 1e-9) & ~apart])
-        pairs = np.concatenate(kept)
-        if level and len(pairs):
+        x, y = pairs[:, 0], pairs[:, 1]
+        possible = np.bitwise_count(ab[x] & bb[y]).sum(1) + np.minimum(aex[x], bex[y])
+        need = threshold / (1 + threshold) * (alo[x] + blo[y])
+        apart = np.maximum(alo[x], blo[y]) * threshold > np.minimum(ahi[x], bhi[y])
+        pairs = pairs[(possible >= need - 1e-9) & ~apart]
+        if not level:
+            yield from pairs[pairs[:, 0] < pairs[:, 1]] if a is b else pairs
+        elif len(pairs):
             na, nb = (len(a.levels[level - 1][1]) if level < len(a.levels) else 0), (len(b.levels[level - 1][1]) if level < len(b.levels) else 0)
             kids_a = np.arange(_LEAF if na else 1)
             kids_b = np.arange(_LEAF if nb else 1)
-            x = (pairs[:, :1] * (_LEAF if na else 1) + kids_a)[:, :, None].repeat(len(kids_b), 2)
-            y = (pairs[:, 1:] * (_LEAF if nb else 1) + kids_b)[:, None, :].repeat(len(kids_a), 1)
-            x, y = x.ravel(), y.ravel()
-            ok = (x < (na or len(a.levels[-1][1]))) & (y < (nb or len(b.levels[-1][1])))
-            if a is b:
-                ok &= x <= y
-            pairs = np.stack([x[ok], y[ok]], 1)
-    return pairs[pairs[:, 0] < pairs[:, 1]] if a is b else pairs
+            for at in range(0, len(pairs), _PART):
+                some = pairs[at : at + _PART]
+                x = (some[:, :1] * (_LEAF if na else 1) + kids_a)[:, :, None].repeat(len(kids_b), 2)
+                y = (some[:, 1:] * (_LEAF if nb else 1) + kids_b)[:, None, :].repeat(len(kids_a), 1)
+                x, y = x.ravel(), y.ravel()
+                ok = (x < (na or len(a.levels[-1][1]))) & (y < (nb or len(b.levels[-1][1])))
+                if a is b:
+                    ok &= x <= y
+                parts.append((level - 1, np.stack([x[ok], y[ok]], 1)))
 
 
 class _Union:
@@ -150,11 +172,17 @@ def similar(a: frozenset, b: frozenset, threshold: float) -> bool:
 def _join_block(rows: np.ndarray, sigs: list[np.ndarray], threshold: float, others: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning set of the links among ``rows``, or of those between ``rows`` (True in ``others``) and the rest."""
     n = len(rows)
-    sets = [frozenset(s.tolist()) for s in sigs]
+    sets: dict[int, frozenset] = {}
     union, out = _Union(n), []
 
+    def set_(i: int) -> frozenset:
+        s = sets.get(i)
+        if s is None:
+            s = sets[i] = frozenset(sigs[i].tolist())
+        return s
+
     def visit(i: int, j: int) -> None:
-        if union.root(i) != union.root(j) and similar(sets[i], sets[j], threshold):
+        if union.root(i) != union.root(j) and similar(set_(i), set_(j), threshold):
             union.join(i, j)
             out.append((int(rows[i]), int(rows[j])))
 
@@ -169,7 +197,12 @@ def _join_block(rows: np.ndarray, sigs: list[np.ndarray], threshold: float, othe
             for j in range(i + 1, n):
                 visit(i, j)
     else:
-        for i in range(1, n):  # the centre first: groups around it need no pairs of their members
+        # The centre first: groups around it need no pairs of their members.
+        size = np.array([len(s) for s in sigs])
+        of_center = np.zeros(1 << 16, bool)
+        of_center[sigs[0]] = True
+        common = np.bincount(np.repeat(np.arange(n), size), of_center[np.concatenate(sigs)], n)
+        for i in np.flatnonzero(common * (1 + threshold) >= threshold * (size[0] + size) - 1e-9)[1:].tolist():
             visit(0, i)
         if any(union.root(i) for i in range(n)):
             tree = _Tree(sigs)
@@ -237,7 +270,7 @@ def near_duplicate_classes(
     ``records`` are not read.
     """
     texts = records.select(F.col(row).cast("long").alias("row"), F.col(text).alias("text")).where("text IS NOT NULL")
-    frequent, _ = frequent_tokens(texts, "text", frequent_share, WIDE)
+    frequent, _ = frequent_tokens(texts, "text", frequent_share, WIDE, FREQUENT_LEAST)
     digest = F.md5(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")).cast("binary"))
     described = materialize(
         texts.select("row", "text", F.unhex(digest).alias("digest")).mapInArrow(
@@ -246,10 +279,10 @@ def near_duplicate_classes(
     )
     copies = materialize(described.select("row", "digest").groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("n")))
     reps = copies.select(F.col("rep").alias("row"))
-    keyed = described.select("row", F.explode("keys").alias("key")).join(reps, "row", "left_semi")
+    keyed = described.join(reps, "row", "left_semi").select("row", F.explode("keys").alias("key"))
     # Every key is led by its smallest row; others are that row's block. Sorting by key spills, no list is made.
-    centers = keyed.groupBy("key").agg(F.min("row").alias("center"), F.count("*").alias("k")).where("k > 1").select("key", "center")
-    member = materialize(keyed.join(centers, "key").where("row <> center").select("center", "row").distinct())
+    center = F.first("row").over(Window.partitionBy("key").orderBy("row"))
+    member = materialize(keyed.select(center.alias("center"), "row").where("row <> center").distinct())
     sigs = described.select("row", "sig")
     wanted = member.select("center", "row").unionByName(member.select("center", F.col("center").alias("row")).distinct())
     sizes = member.groupBy("center").agg(F.count("*").alias("m"))

@@ -68,6 +68,37 @@ def test_hot_group_of_near_copies(spark):
     assert got["class_row"] == 0 and got["count"] >= 119
 
 
+@pytest.mark.parametrize("members, others", [(3, 220), (400, 500)])
+def test_hot_groups_at_the_production_share(spark, members, others):
+    """Each member has tokens of its own; what the members share is in more than a hundredth of the rows."""
+    rng = random.Random(6)
+    base = [rng.choice(WORDS) for _ in range(80)]
+
+    def member(i):
+        words = list(base)
+        for k, at in enumerate(rng.sample(range(80), 8)):
+            words[at] = f"own{i}x{k}"
+        return " ".join(words)
+
+    rows = [(i, member(i)) for i in range(members)] + [(1000 + i, " ".join(rng.choice(WORDS) for _ in range(80))) for i in range(others)]
+    got = near_duplicate_classes(spark.createDataFrame(rows, "row long, text string"), "row", "text")
+    want = brute(rows)
+    least = {}
+    for i, r in want.items():
+        least[r] = min(least.get(r, i), i)
+    assert {r["row"]: r["class_row"] for r in got.collect()} == {i: least[r] for i, r in want.items()}
+
+
+def test_edited_copy_of_a_text_with_many_exact_copies(spark):
+    rng = random.Random(7)
+    base = [rng.choice(WORDS) for _ in range(80)]
+    near = [f"own{k}" if k % 10 == 0 else w for k, w in enumerate(base)]
+    rows = [(i, " ".join(base)) for i in range(300)] + [(500, " ".join(near))] + [(1000 + i, " ".join(rng.choice(WORDS) for _ in range(80))) for i in range(500)]
+    df = spark.createDataFrame(rows, "row long, text string")
+    got = {r["row"]: (r["class_row"], r["size"]) for r in near_duplicate_classes(df, "row", "text").collect()}
+    assert got[500] == (0, 301)
+
+
 def test_nulls_empty_blank_copies_and_long_texts(spark):
     long_ = " ".join(WORDS) * 5
     rows = [(1, None), (2, ""), (3, "  "), (4, "one two"), (5, " ONE  two"), (6, long_), (7, long_ + " x"), (8, "!!!"), (9, "こんにちは世界"), (10, "こんにちは世界")]
