@@ -7,10 +7,12 @@ Strings are the token sequences of texts, as lists of entries (lines, sentences,
    spoils one segment at most, a train string within as many edits as there are segments less one holds a segment whole.
 3. Train strings give their substrings of ``q`` tokens. One matches a segment where the lengths of the strings and the
    places within the entry allow it, i.e. differ by the allowed edits at most.
-4. Matched pairs are verified by banded dynamic programming over the whole strings, vectorised over pairs, after the
+4. Pairs of one class of :mod:`loomspark.operators.neardup` are matched too, whichever of their segments are edited.
+5. Matched pairs are verified by banded dynamic programming over the whole strings, vectorised over pairs, after the
    train string's entries have been put in the evaluation string's order.
 
-Segments made of the corpus's frequent tokens only say nothing and are left out where a string has enough others.
+Segments made of the corpus's frequent tokens only say little and are left out where a string has enough rare tokens;
+what members of a hot group or texts of a fixed wording share is such segments, and step 4 finds them without.
 A filter of the segments, of bounded size, keeps train substrings that can't match from being shuffled.
 """
 
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomspark.functions.tokens import Hashes, frequent_tokens, has_cjk, tokens
+from loomspark.operators.neardup import FREQUENT_LEAST, near_duplicate_classes
 from loomspark.runtime import materialize
 
 EDITS = 0.3
@@ -322,7 +325,7 @@ def split_overlaps(
     Repeated rows all occur. Other columns aren't read.
     """
     texts = records.select(F.col(row).cast("long").alias("row"), F.col(held).alias("held"), F.col(text).alias("text")).where("text IS NOT NULL AND held IS NOT NULL")
-    frequent, _ = frequent_tokens(texts, "text", frequent_share)
+    frequent, _ = frequent_tokens(texts, "text", frequent_share, least=FREQUENT_LEAST)
     digest = F.unhex(F.md5(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")).cast("binary")))
     coded = materialize(texts.select("row", "held", "text", digest.alias("digest")).mapInArrow(
             _encode(frequent), "row long, held boolean, digest binary, seq binary, n int, bitmap binary"
@@ -339,7 +342,11 @@ def split_overlaps(
     e = segments.select("h", F.col("row").alias("held"), F.col("n").alias("ne"), F.col("off").alias("oe"))
     t = strings.select("h", F.col("row").alias("train"), F.col("n").alias("nt"), F.col("off").alias("ot"))
     allowed = F.floor(F.greatest("ne", "nt") * edits)
-    near = e.join(t, "h").where((F.abs(F.col("ne") - F.col("nt")) <= allowed) & (F.abs(F.col("oe") - F.col("ot")) <= allowed)).select("held", "train").distinct()
+    near = e.join(t, "h").where((F.abs(F.col("ne") - F.col("nt")) <= allowed) & (F.abs(F.col("oe") - F.col("ot")) <= allowed)).select("held", "train")
+    classes = near_duplicate_classes(texts, "row", "text").where("size > 1").select("row", "class_row")
+    mine = materialize(classes.join(reps.select(F.col("rep").alias("row"), "held"), "row"))
+    alike = mine.where("held").select("class_row", F.col("row").alias("held")).join(mine.where("NOT held").select("class_row", F.col("row").alias("train")), "class_row")
+    near = near.unionByName(alike.select("held", "train")).distinct()
     of = {name: side(is_held).toDF(name, *[f"{c}_{name}" for c in ("seq", "n", "bitmap")]) for name, is_held in (("held", True), ("train", False))}
     both = [f"{c}_{side_}" for c in ("seq", "n", "bitmap") for side_ in ("held", "train")]
     verified = near.join(of["held"], "held").join(of["train"], "train").select("held", "train", *both).mapInArrow(_verify(edits), "held long, train long")

@@ -70,6 +70,37 @@ def test_finds_what_was_planted(spark):
     assert got == want
 
 
+def test_hot_group_at_the_production_share(spark):
+    """What the members share is frequent; each has rare tokens of its own."""
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) for _ in range(80)]
+
+    def member(i):
+        words = list(base)
+        for k, at in enumerate(rng.sample(range(80), 8)):
+            words[at] = f"own{i}x{k}"
+        return " ".join(words)
+
+    rows = [(i, i < 20, member(i)) for i in range(420)] + [(1000 + i, i % 5 == 0, " ".join(rng.choice(WORDS) for _ in range(80))) for i in range(500)]
+    df = spark.createDataFrame(rows, "row long, held boolean, text string")
+    got = {(r["held_row"], r["train_row"]) for r in split_overlaps(df, "row", "text", "held").collect()}
+    assert got == {(i, j) for i in range(20) for j in range(20, 420)}
+
+
+def test_edits_in_all_rare_entries_of_a_text(spark):
+    rng = random.Random(9)
+    common = WORDS[:200]
+
+    def wording():
+        return "\n".join(" ".join(rng.choice(common) for _ in range(8)) for _ in range(10))
+
+    rows = [(i, False, f"name{i} " + " ".join(f"n{i}x{k}" for k in range(11)) + "\n" + wording()) for i in range(1000)]
+    rows += [(5000 + i, True, " ".join(f"m{i}x{k}" for k in range(12)) + "\n" + rows[i][2].split("\n", 1)[1]) for i in range(10)]
+    df = spark.createDataFrame(rows, "row long, held boolean, text string")
+    got = {(r["held_row"], r["train_row"]) for r in split_overlaps(df, "row", "text", "held").collect()}
+    assert got == {(5000 + i, i) for i in range(10)}
+
+
 def test_copies_nulls_and_blanks(spark):
     rows = [(1, False, "same text here now ok"), (2, False, "Same  text here now ok"), (3, True, "same text here now ok"), (4, True, "same text here now ok"), (5, None, "same text here now ok"), (6, True, None), (7, False, ""), (8, True, " "), (9, True, "other")]
     df = spark.createDataFrame(rows, "row long, held boolean, text string")
