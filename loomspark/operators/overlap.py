@@ -5,6 +5,7 @@ Strings are the token sequences of texts, as lists of entries (lines, sentences,
 1. Exact copies on one side are one class; equal classes of both sides are pairs at once.
 2. Each evaluation string is cut into segments of ``q`` to ``2q - 1`` tokens that don't cross entries. As an edit
    spoils one segment at most, a train string within as many edits as there are segments less one holds a segment whole.
+   Strings of up to ``SHORT`` tokens give segments of one or two tokens as well, more of them than edits are allowed.
 3. Train strings give their substrings of ``q`` tokens. One matches a segment where the lengths of the strings and the
    places within the entry allow it, i.e. differ by the allowed edits at most.
 4. Pairs of one class of :mod:`loomspark.operators.neardup` are matched too, whichever of their segments are edited.
@@ -32,6 +33,7 @@ from loomspark.runtime import materialize
 EDITS = 0.3
 FREQUENT_SHARE = 0.01
 Q = 5
+SHORT = 64
 FILTER_BITS = 2**28
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = re.compile(r"\{[^{}]*\}?|[^{}]+")
@@ -163,7 +165,31 @@ def _places(codes: np.ndarray, row_of: np.ndarray, rows: int, held: bool, q: int
     return start[keep], width[e][keep], begin[e][keep]
 
 
-def _probe(held: bool, q: int, bits: np.ndarray | None = None):
+def _short_places(codes: np.ndarray, row_of: np.ndarray, rows: int, held: bool, edits: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`_places`, for short strings: more segments than the allowed edits, with or without a rare token."""
+    full = codes != 0
+    begin = np.flatnonzero(full & ~np.concatenate([[False], full[:-1]]))
+    end = np.flatnonzero(full & ~np.concatenate([full[1:], [False]])) + 1
+    n = np.bincount(row_of[full], minlength=rows)
+    mine = n[row_of[begin]] <= (SHORT if held else SHORT / (1 - edits))
+    begin, end = begin[mine], end[mine]
+    of, length = row_of[begin], end - begin
+    if held:
+        # A train string near enough has n / (1 - edits) tokens at most.
+        allowed = np.floor(edits * n / (1 - edits) + 1e-9)
+        step = np.where(np.bincount(of, (length + 1) // 2, rows) > allowed, 2, 1)[of]
+        m = -(-length // step)
+    else:
+        step, m = np.ones_like(length), length
+    e = np.repeat(np.arange(len(begin)), m)
+    start = begin[e] + step[e] * (np.arange(len(e)) - np.repeat(np.cumsum(m) - m, m))
+    if held:
+        return start, np.minimum(step[e], end[e] - start), begin[e]
+    two = start + 1 < end[e]
+    return np.concatenate([start, start[two]]), np.repeat([1, 2], [len(start), np.count_nonzero(two)]), np.concatenate([begin[e], begin[e][two]])
+
+
+def _probe(held: bool, q: int, edits: float, bits: np.ndarray | None = None):
     """(row, seq, n) -> the hashes of its windows, with the row, its length and the window's place in its entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +200,10 @@ def _probe(held: bool, q: int, bits: np.ndarray | None = None):
                 codes = np.frombuffer(b"\0\0".join(seqs), np.uint16)
                 sizes = np.fromiter((len(s) // 2 + 1 for s in seqs), np.int64, len(seqs))
                 row_of = np.repeat(np.arange(len(seqs)), sizes)[: len(codes)]
-                start, width, entry = _places(codes, row_of, len(seqs), held, q)
+                long_, short = _places(codes, row_of, len(seqs), held, q), _short_places(codes, row_of, len(seqs), held, edits)
+                start, width, entry = (np.concatenate(x) for x in zip(long_, short))
                 h = np.zeros(len(start), np.uint64)
-                for w in range(1, q + 1):
+                for w in range(1, max(q, 2) + 1):
                     if (mine := width == w).any():
                         h[mine] = _window_hashes(codes, w)[start[mine]]
                 if bits is not None:
@@ -337,8 +364,8 @@ def split_overlaps(
         return coded.join(mine, "row", "left_semi").select("row", "seq", "n", "bitmap")
 
     found = "h long, row long, n int, off int"
-    segments = materialize(side(True).select("row", "seq", "n").mapInArrow(_probe(True, q), found))
-    strings = side(False).select("row", "seq", "n").mapInArrow(_probe(False, q, _segment_filter(segments, filter_bits)), found)
+    segments = materialize(side(True).select("row", "seq", "n").mapInArrow(_probe(True, q, edits), found))
+    strings = side(False).select("row", "seq", "n").mapInArrow(_probe(False, q, edits, _segment_filter(segments, filter_bits)), found)
     e = segments.select("h", F.col("row").alias("held"), F.col("n").alias("ne"), F.col("off").alias("oe"))
     t = strings.select("h", F.col("row").alias("train"), F.col("n").alias("nt"), F.col("off").alias("ot"))
     allowed = F.floor(F.greatest("ne", "nt") * edits)

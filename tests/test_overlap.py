@@ -87,6 +87,22 @@ def test_hot_group_at_the_production_share(spark):
     assert got == {(i, j) for i in range(20) for j in range(20, 420)}
 
 
+def test_short_texts_within_the_allowed_edits(spark):
+    rng = random.Random(10)
+    rows = []
+    for i in range(120):
+        n = (6, 20, 40, 60)[i % 4]
+        base = [rng.choice(WORDS) for _ in range(n)]
+        for held in (True, False):
+            words = list(base)
+            for k, at in enumerate(rng.sample(range(n), int(0.15 * n))):
+                words[at] = f"own{i}x{k}{held}"
+            rows.append((2 * i + (not held), held, " ".join(words)))
+    df = spark.createDataFrame(rows, "row long, held boolean, text string")
+    got = {(r["held_row"], r["train_row"]) for r in split_overlaps(df, "row", "text", "held").collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(120)}
+
+
 def test_edits_in_all_rare_entries_of_a_text(spark):
     rng = random.Random(9)
     common = WORDS[:200]
