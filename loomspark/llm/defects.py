@@ -66,8 +66,13 @@ TRIGGERS = (
     "手伝い", "ません", "かね", "控え", "断り", "ご要望",
 )
 _REFUSAL = re.compile("|".join(p for ps in REFUSALS.values() for p in ps), re.I)
-#: Of a refusal of this length and more, a refusing phrase must stand near the beginning and take up a good part.
+#: In an answer up to this length, a refusing phrase within the opening decides.
 REFUSAL_LENGTH = 420
+#: In others, a refusing sentence that begins in the opening or refusing sentences that take up this share of the text.
+REFUSAL_OPENING, REFUSAL_SHARE = 160, 0.1
+_SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
+_STRING = re.compile(r'"((?:[^"\\]|\\.)*)"')
+_QUOTED = re.compile(r"(?m)^\s*>.*$|“[^”]*”|„[^“”]*[“”]|«[^»]*»")
 
 LANGUAGE_NAMES = {
     "en": "english|englisch\\w*|anglais|inglés|ingles|英語",
@@ -119,16 +124,30 @@ def _triggers():
 
 
 def is_refusal(answer: str) -> bool:
-    if len(answer) > 4 * REFUSAL_LENGTH:
-        return False
     low = answer.replace("’", "'").lower()
     if not any(True for _ in _triggers().iter(low)):
         return False
     t = bare(answer).replace("’", "'")
-    if len(t) > REFUSAL_LENGTH:
-        return False
-    m = _REFUSAL.search(t)
-    return bool(m) and (m.start() < 160)
+    if len(t) <= REFUSAL_LENGTH:
+        m = _REFUSAL.search(t)
+        if not m or m.start() < REFUSAL_OPENING:
+            return bool(m)
+    if t[0] in "{[":  # the values of an object are texts of their own
+        return any(_mainly_refuses(v) for v in _STRING.findall(t))
+    # What an answer quotes is not its own; quoted lines are only told before white space is joined.
+    return _mainly_refuses(bare(_QUOTED.sub(" ", answer)).replace("’", "'"))
+
+
+def _mainly_refuses(text: str) -> bool:
+    """By the position and the share of the refusing sentences of the whole text."""
+    refusing = 0
+    for m in _SENTENCE.finditer(text):
+        sentence = m.group()
+        if any(True for _ in _triggers().iter(sentence.lower())) and (r := _REFUSAL.search(sentence)):
+            if m.start() + r.start() < REFUSAL_OPENING:
+                return True
+            refusing += len(sentence)
+    return refusing >= REFUSAL_SHARE * len(text) and refusing > 0
 
 
 def copied_share(question: str, answer: str) -> float:

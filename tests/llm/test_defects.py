@@ -33,6 +33,16 @@ def test_no_refusals(answer):
     assert not is_refusal(answer)
 
 
+def test_long_refusals():
+    why = " ".join(f"The record {i} names a person and asks for a judgement." for i in range(40))
+    assert is_refusal("I'm sorry, but I can't help with this. " + why)
+    assert is_refusal("Thank you for this question, which is a thoughtful one. " * 5 + "I have to decline this request, as it is not mine to judge.")
+    assert is_refusal('{"interests": [' + ", ".join(f'"hobby number {i}"' for i in range(120)) + '], "summary": "I have to decline."}')
+    assert not is_refusal(why + " I can't help with medical questions.")
+    assert not is_refusal("They say this:\n> I can't help with this.\n" + why)
+    assert not is_refusal(why)
+
+
 def test_copies():
     q = "What changed since the last profile? " + " ".join(f"visit {i} shop{i * 7 % 13} at {i}:30;" for i in range(20))
     assert copied_share(q, q) <= COPY_SHARE and copied_share(q, "You wrote: " + q.upper()) <= COPY_SHARE
