@@ -82,6 +82,12 @@ LANGUAGE_NAMES = {
     "ja": "japanese|japanisch\\w*|japonais|japonés|japones|日本語",
 }
 _ASKED = {k: re.compile(rf"(?:\b(?:in|into|to|auf|ins|en|al)\s+(?:the\s+)?(?:{v})\b|(?:{v})で|(?:{v})に(?:訳|翻訳))", re.I) for k, v in LANGUAGE_NAMES.items()}
+#: Away from the ends of a question a language is asked for where its sentence requests something; elsewhere it is data.
+_REQUEST = re.compile(
+    r"\b(?:please|write|answer|reply|respond|translate|give|provide|return|output|summari[sz]e|bitte|schreib\w*|antwort\w*|übersetz\w*|verfass\w*|gib|formulier\w*"
+    r"|veuillez|répond\w*|écri\w*|rédige\w*|tradui\w*|donne\w*|por favor|respond\w*|contest\w*|escrib\w*|redact\w*|traduc\w*|traduzc\w*)\b|ください|下さい|答え|書い|訳し",
+    re.I,
+)
 _KEYS = re.compile(r'"[A-Za-z_]+"\s*:')
 
 #: Share of an answer's bytes that a compressor may need beyond a frame's own when it knows the question.
@@ -182,7 +188,11 @@ def _alone():
 
 def asked_languages(question: str) -> set[str]:
     tail = question[-160:] + "\n" + question[:160]
-    return {k for k, p in _ASKED.items() if p.search(tail)}
+    asked = {k for k, p in _ASKED.items() if p.search(tail)}
+    if len(question) > 320:
+        requests = [s for s in _SENTENCE.findall(question) if _REQUEST.search(s)]
+        asked |= {k for k, p in _ASKED.items() if any(map(p.search, requests))}
+    return asked
 
 
 def language_text(text: str) -> str:

@@ -33,6 +33,13 @@ def test_no_refusals(answer):
     assert not is_refusal(answer)
 
 
+def test_language_asked_for_in_the_middle():
+    data = " ".join(f"visit {i} to a shop of tents." for i in range(40))
+    assert asked_languages("Describe this person. " + data + "\nPlease answer in German.\n" + data) == {"de"}
+    assert asked_languages(data + " They read novels in French at night. " + data) == set()
+    assert asked_languages(data + "。日本語で答えてください。" + data) == {"ja"}
+
+
 def test_long_refusals():
     why = " ".join(f"The record {i} names a person and asks for a judgement." for i in range(40))
     assert is_refusal("I'm sorry, but I can't help with this. " + why)
