@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loomspark.functions import stats, text as tx, vectors as vx
 from loomspark.operators import anchors, cache, complete, profile, routing
-from loomspark.operators.groupsplit import effective_id, effective_layer
+from loomspark.functions.records import effective_id, effective_layer
 from loomspark.runtime import materialize, shared_dir, table
 from loomspark.sources import jsonl
 
