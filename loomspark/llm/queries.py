@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomspark.llm import linking
 from loomspark.llm.defects import label_pairs, question_answer_pairs
 from loomspark.llm.lang import train_languages
 from loomspark.llm.packing import fill_report, pack
 from loomspark.llm.reading import reading_levels
 from loomspark.llm.tokenize import canonical_language, encode, token_cube, with_token_counts
 from loomspark.llm.truncation import truncated_values
-from loomspark.operators.groupsplit import effective_layer
+from loomspark.functions.records import effective_layer
 from loomspark.runtime import table
 
 
@@ -111,7 +112,7 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir).join(sources, "doc_id").groupBy("source", F.col("detected").alias("lang"), "level").agg(F.count("*").alias("documents"), F.avg("score").alias("mean_score"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p4_budget, p6_found, p6_report, p7_ids, p8_containers, p8_fill, p9_levels, p9_profile)}
+QUERIES = linking.QUERIES | {f.__name__: f for f in (p1_found, p1_report, p4_budget, p6_found, p6_report, p7_ids, p8_containers, p8_fill, p9_levels, p9_profile)}
 
 #: Tokenisers and trained models have no SQL; tests hold them against public implementations and brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {**linking.ORACLE_SQL}
