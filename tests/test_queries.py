@@ -8,9 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from loomspark.plans import reference, reference_numeric, training
+from loomspark.plans import reference, reference_numeric
 
-PARTS = (reference, reference_numeric, training)
+PARTS = (reference, reference_numeric)
 SQL = {k: v for p in PARTS for k, v in p.ORACLE_SQL.items()}
 CORE = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 
