@@ -8,7 +8,7 @@ from loomspark.functions.messages import first_content, last_content
 from loomspark.functions.records import canonical_user, effective_id, effective_layer
 from loomspark.llm.groupsplit import linked_groups, split_groups
 from loomspark.llm.neardup import duplicate_pairs, near_duplicate_classes
-from loomspark.llm.overlap import split_overlaps
+from loomspark.llm.overlap import class_overlaps, split_overlaps
 from loomspark.runtime import table
 
 SHARES = {"train": 80.0, "validation": 10.0, "test": 10.0}
@@ -28,22 +28,24 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_prompts(spark, sf_dir), "row_id", "text")
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.when(F.col("split") == "train", False).when(F.col("split").isin("eval", "test"), True)
-    rows = table(spark, sf_dir, "split_rows").select("split_row_id", first_content(F.col("conversations"), "user").alias("text"), held.alias("held"))
-    return split_overlaps(rows, "split_row_id", "text", "held")
+    return table(spark, sf_dir, "split_rows").select("split_row_id", first_content(F.col("conversations"), "user").alias("text"), held.alias("held"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("held_row"), F.col("train_row")
-    return _overlaps(spark, sf_dir).select(F.least(a, b).alias("split_row_id_a"), F.greatest(a, b).alias("split_row_id_b"))
+    return split_overlaps(_evaluated(spark, sf_dir), "split_row_id", "text", "held").select(F.least(a, b).alias("split_row_id_a"), F.greatest(a, b).alias("split_row_id_b"))
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per split and source_layer: held-out rows, those that also stand in train, and their pairs."""
-    rows = table(spark, sf_dir, "split_rows").where(F.col("split").isin("eval", "test")).select(F.col("split_row_id").alias("held_row"), "split", "source_layer")
-    pairs = _overlaps(spark, sf_dir).groupBy("held_row").agg(F.count("*").alias("pairs"))
-    return rows.join(pairs, "held_row", "left").groupBy("split", "source_layer").agg(
+    """Per split and source_layer: held-out rows, those that also stand in train, and their pairs, counted by classes."""
+    rows = table(spark, sf_dir, "split_rows").where(F.col("split").isin("eval", "test")).select(F.col("split_row_id").alias("row"), "split", "source_layer")
+    found, classes = class_overlaps(_evaluated(spark, sf_dir), "split_row_id", "text", "held")
+    sizes = classes.where("NOT held").groupBy(F.col("class").alias("train_class")).agg(F.count("*").alias("n"))
+    met = found.join(sizes, "train_class").groupBy(F.col("held_class").alias("class")).agg(F.sum("n").alias("pairs"))
+    per_row = classes.where("held").join(met, "class").select("row", "pairs")
+    return rows.join(per_row, "row", "left").groupBy("split", "source_layer").agg(
         F.count("*").alias("rows"), F.count("pairs").alias("overlapping_rows"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")
     )
 
