@@ -40,7 +40,7 @@ ROUTE_WORDS = 6
 ROUTE = 16
 THRESHOLD = 0.43
 #: Share of the routing tokens that a pair over the threshold has in common at least.
-LEAST = 0.2
+LEAST = 0.25
 TILE = 4096
 #: Texts whose trees are traversed together.
 _TOGETHER = 20_000
@@ -80,7 +80,13 @@ def _signatures(h: np.ndarray, of: np.ndarray, n: int) -> list[bytes]:
     if np.bincount(of, minlength=n).max(initial=0) > NARROW:
         h, of = _distinct(h, of)
         wide = np.bincount(of, minlength=n) > NARROW
-    h, of = _distinct(np.where(wide[of], h, h & np.uint32(0xFFFF0000)), of)
+    if wide.any():
+        h = np.where(wide[of], h, h & np.uint32(0xFFFF0000))
+    else:
+        h = h & np.uint32(0xFFFF0000)
+    both = np.sort(of.astype(np.uint64) << np.uint64(32) | h)
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+    h, of = both.astype(np.uint32), (both >> np.uint64(32)).astype(np.int64)
     cuts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
     high = (h >> np.uint32(16)).astype(np.uint16).tobytes()
     full = h.tobytes() if wide.any() else b""
@@ -108,18 +114,15 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, of = _shingles(words, sizes, WORDS)
             sigs = _signatures((h >> np.uint64(32)).astype(np.uint32), of, n)
             h, of = _shingles(words, sizes, ROUTE_WORDS)
-            h, of = _distinct(h, of)
-            many = np.bincount(of, minlength=n)
-            zeros = np.maximum(np.ceil(np.log2(np.maximum(many, 1) / (2 * ROUTE))), 0).astype(np.uint64)
-            low = h & ((np.uint64(1) << zeros) - np.uint64(1))[of]
-            keep = low == 0
-            some = np.bincount(of[keep], minlength=n) > 0
-            keep |= ~some[of]  # where chance leaves none, all
-            route, route_n = h[keep], np.bincount(of[keep], minlength=n)
+            zeros = np.maximum(np.ceil(np.log2(np.maximum(np.bincount(of, minlength=n), 1) / (2 * ROUTE))), 0).astype(np.uint64)
+            keep = h & ((np.uint64(1) << zeros) - np.uint64(1))[of] == 0
+            keep |= (np.bincount(of[keep], minlength=n) == 0)[of]  # where chance leaves none, all
+            h, of = _distinct(h[keep], of[keep])
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
             yield pa.record_batch(
                 [
                     part.column(0), part.column(2),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(route_n)]).astype(np.int32)), pa.array(route.view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(h.view(np.int64))),
                     pa.array(sigs, pa.binary()),
                 ],
                 names=["row", "digest", "route", "sig"],
@@ -213,7 +216,7 @@ def near_duplicate_classes(
         texts.select("row", "text", F.unhex(digest).alias("digest")).mapInArrow(_describe, "row long, digest binary, route array<long>, sig binary")
     )
     copies = materialize(described.groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("n")))
-    pairs = similar_links(described.join(copies.select(F.col("rep").alias("row")), "row", "left_semi"), threshold, least, tile)
+    pairs = similar_links(described, copies.select(F.col("rep").alias("row")), threshold, least, tile)
     comps = connected_components(pairs, small_graph_edges)
     grouped = (
         copies.join(comps.withColumnRenamed("vertex", "rep"), "rep", "left")
@@ -224,14 +227,18 @@ def near_duplicate_classes(
     return described.select("row", "digest").join(of_digest, "digest").select(F.col("row").alias(row), "class_row", "size")
 
 
-def similar_links(described: DataFrame, threshold: float, least: float, tile: int) -> DataFrame:
-    """``(src, dst)``: links that span the components of ``described(row, route, sig)``; all come from node pairs."""
-    posted = described.select("row", F.size("route").alias("all"), F.explode("route").alias("token"))
+def similar_links(described: DataFrame, reps: DataFrame, threshold: float, least: float, tile: int) -> DataFrame:
+    """``(src, dst)``: links that span the components of ``described(row, route, sig)``; all come from node pairs.
+
+    ``reps(row)`` is one of each set of copies, the smallest; no other is compared.
+    """
+    posted = described.select("row", F.explode("route").alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("n"), F.min("row").alias("center")).where("n > 1")
     # Tokens of no other text come first in the order, so each text hangs below what is left of its prefix.
-    hits = posted.join(shared, "token").groupBy("row").agg(F.first("all").alias("all"), F.sort_array(F.collect_list(F.struct("n", "token", "center"))).alias("hits"))
+    hits = posted.join(shared, "token").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "token", "center"))).alias("hits"))
+    of = described.select("row", F.size("route").alias("all")).join(reps, "row", "left_semi").join(hits, "row")
     prefix = F.floor(F.col("all") * (1 - least)) + 1 - (F.col("all") - F.size("hits"))
-    below = hits.where(prefix > 0).select("row", F.explode(F.array_distinct(F.transform(F.slice("hits", F.lit(1), prefix.cast("int")), lambda h: h["center"]))).alias("center"))
+    below = of.where(prefix > 0).select("row", F.explode(F.array_distinct(F.transform(F.slice("hits", F.lit(1), prefix.cast("int")), lambda h: h["center"]))).alias("center"))
     member = materialize(below.where("row <> center").select("center", "row"))
     sigs = described.select("row", "sig")
     sizes = member.groupBy("center").agg(F.count("*").alias("m"))
