@@ -56,10 +56,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per layer and role: messages, those cut off, and their share."""
+    """Per layer and role: messages, those cut off, why they count as cut, and their share."""
     layers = table(spark, sf_dir, "regen_rows").select(F.col("regen_id").alias("row"), effective_layer(F.col("source_layer"), F.col("file_layer")).alias("layer"))
-    per = _truncated(spark, sf_dir, _ROLES).select("row", "column", "cut").join(layers, "row").groupBy("layer", F.col("column").alias("role"))
-    return per.agg(F.count("*").alias("messages"), F.count_if("cut").alias("cut_messages")).withColumn("share", F.col("cut_messages") / F.col("messages"))
+    per = _truncated(spark, sf_dir, _ROLES).select("row", "column", "cut", "reason").join(layers, "row").groupBy("layer", F.col("column").alias("role"))
+    reasons = [F.count_if(F.col("reason") == r).alias(f"cut_{r}") for r in ("word", "sentence", "object", "half")]
+    return per.agg(F.count("*").alias("messages"), F.count_if("cut").alias("cut_messages"), *reasons).withColumn("share", F.col("cut_messages") / F.col("messages"))
 
 
 def p4_budget(spark: SparkSession, sf_dir: str) -> DataFrame:

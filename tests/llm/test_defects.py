@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm.defects import asked_languages, copied_share, COPY_SHARE, is_empty, is_refusal, label_pairs, question_answer_pairs
 from loomspark.llm.lang import train_languages
-from loomspark.llm.truncation import ending_of, open_structure, stripped, truncated_values
+from loomspark.llm.truncation import PAD, _final_shape, _filters, ending_of, final_states, stripped, truncated_values
 
 MARK = "<|channel>thought\n<channel|>"
 SAID = {
@@ -68,13 +68,18 @@ def test_asked_languages():
     assert asked_languages("Merci de répondre en espagnol.") == {"es"} and asked_languages("What is new?") == set()
 
 
-@pytest.mark.parametrize("text, want", [('{"a": 1', True), ('{"a": "b', True), ('{"a": 1}', False), ("```json\n{}\n```", False), ("```json\n{}", True), ("plain", None), ("x �"[:3], True), ('[{"a": [1]}]\nSay', None), ('[{"a": "}"}, {"b"', True), ("", None)])
-def test_structure(text, want):
-    assert open_structure(text) is want
+@pytest.mark.parametrize("text, want", [('{"a": 1', 1), ('{"a": "b', 2), ('{"a": 1}', 0), ("plain", 0), ('[{"a": [1]}]\nSay', 0), ('[{"a": "}"}, {"b"', 1), ("", 0), ("a { stands alone, they say", 0), ("a { stands alone.", 0), ('{"a": "say \\"x', 2), ("[2026-01-02 13:4", 1), ("[2026-01-02] x", 0)])
+def test_states(text, want):
+    assert final_states(["x" * 70_000, text, '{"other": [', text]).tolist() == [0, want, 1, want]
 
 
 def test_endings():
-    assert [ending_of(t, stripped(t)) for t in ["a ", "a\n", "a!", "a sentence.", "am 3.", "a", "", "a <turn|>\n", "(5 Min."]] == ["blank", "line", "mark", "mark", "stop", "open", "nothing", "open", "stop"]
+    assert [ending_of(stripped(t)) for t in ["a ", "a\n", "a!", "a sentence.", "am 3.", "a", "", "a <turn|>\n", "(5 Min.", "a \ufffd"]] == ["open", "open", "mark", "mark", "stop", "open", "nothing", "open", "stop", "half"]
+    assert ending_of('{"a": "They wait.', True) == "open"
+
+
+def test_the_shape_of_an_end_is_long_enough():
+    assert len(_final_shape("word " * 30 + "1234567890" * 400)) >= PAD and len(_final_shape("Abc" * 50 + "x " * 5)) < 200
 
 
 @pytest.fixture(scope="module")
@@ -95,6 +100,21 @@ def test_cut_texts(spark, rows):
     assert got == {0: False, 1: False, 2: True, 3: True, 4: True, 5: False, 7: False, 8: True, 9: True, 10: True}
 
 
+def test_blanks_and_braces_in_prose_are_no_cuts(spark, rows):
+    texts = [SAID["en"][0] + " ", SAID["en"][1] + "\n", SAID["en"][0] + " \u200b", "They asked what a { does. " + SAID["en"][0], "Is that so? ", "The account returned "]
+    got = {r["row"]: r["cut"] for r in truncated_values(values(spark, texts), rows.select(F.array("text").alias("texts"))).collect()}
+    assert got == {0: False, 1: False, 2: False, 3: False, 4: False, 5: True}
+
+
+def test_contexts_may_be_split_over_several_filters(spark, rows):
+    texts = [SAID["en"][0][:48], SAID["en"][0], SAID["de"][0][:40], SAID["ja"][0][:18], SAID["en"][1][:-1]] * 40
+    one = truncated_values(values(spark, texts), rows.select(F.array("text").alias("texts")))
+    many = truncated_values(values(spark, texts), rows.select(F.array("text").alias("texts")), filter_bits=1 << 12)
+    assert len(list(_filters(spark.range(1000).select(F.xxhash64("id").alias("context")), 1 << 12))) == 4
+    key = lambda df: sorted((r["row"], r["cut"], r["reason"], round(r["odds"] or 0, 6)) for r in df.collect())
+    assert key(one) == key(many)
+
+
 def test_limits_are_found(spark, rows):
     texts = [("x" * 150)[: 149 + (i % 40 == 0)] if i >= 40 else "y" * 120 for i in range(60)]
     df = values(spark, texts)
