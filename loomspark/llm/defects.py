@@ -1,7 +1,8 @@
 """Defective answers of question and answer pairs, with one of five labels each.
 
 * ``empty``: nothing but white space, invisible characters, markers of turns and fences or an empty object;
-* ``refusal``: a dictionary of refusing phrases in several languages, held against what the answer mainly says;
+* ``refusal``: dictionaries of refusing phrases and of stems (who declines, what isn't done) in eleven languages, held against
+  what the answer mainly says;
 * ``copy``: the answer costs a zstandard compressor that has its question as dictionary next to nothing;
 * ``truncated``: the terminal-context model of :mod:`loomspark.llm.truncation`;
 * ``wrong_language``: the language model of :mod:`loomspark.llm.lang` on both sides, and no request for that language.
@@ -25,7 +26,8 @@ from loomspark.llm.lang import LanguageModel
 MARKER = re.compile(r"<\|?/?[a-z_]+\|?>(?:(?:thought|user|model|assistant|system)\b)?")
 FENCE = re.compile(r"```[a-z]*|~~~")
 INVISIBLE = re.compile(r"[\s­​-‏‪-‮⁠-⁤﻿ㅤ]+")
-NOTHING = re.compile(r"(?:\{\s*\}|\[\s*\]|\"\"|\s)*")
+_BLANK = INVISIBLE.pattern.removesuffix("+")
+NOTHING = re.compile(rf'(?:{_BLANK}|\{{{_BLANK}*\}}|\[{_BLANK}*\]|"")*')
 
 REFUSALS = {
     "en": [
@@ -56,19 +58,71 @@ REFUSALS = {
         r"許可されていません", r"許されていません", r"ご要望には(?:沿|応)", r"できかねます", r"申し上げられません", r"作成(?:は)?いたしません",
     ],
 }
-#: One of these stands in every refusal that the patterns know; the automaton of them rules most answers out.
-TRIGGERS = (
-    "i can", "i am ", "i'm ", "i won't", "i will not", "unable to", "i have to", "i must", "i need to", "rather not", "possible for me", "no entry", "no profile", "no answer", "no assessment", "something i ",
-    "beyond what", "my rules", "my guidelines", "my polic", "i decline", "i refuse",
-    "kann ich", "ich kann", "muss ich", "ich lehne", "ich muss", "möchte ich", "werde ich", "darf ich", "treffe ich", "nicht möglich", "ist mir", "meinen richtlinien",
-    "je ne ", "m'est ", "je n'", "je préfère", "je dois", "je me vois", "je refuse", "je décline", "mes règles", "mes directives", "mes consignes",
-    "no puedo", "no escribiré", "no redactaré", "no responderé", "no haré", "no daré", "no me ", "debo ", "tengo que", "prefiero no", "me niego", "no estoy", "me es imposible", "mis normas", "mis reglas", "mis directrices", "supera lo que", "no voy a",
-    "手伝い", "ません", "かね", "控え", "断り", "ご要望",
-)
-_REFUSAL = re.compile("|".join(p for ps in REFUSALS.values() for p in ps), re.I)
-#: In an answer up to this length, a refusing phrase within the opening decides.
-REFUSAL_LENGTH = 420
-#: In others, a refusing sentence that begins in the opening or refusing sentences that take up this share of the text.
+#: Stems: who declines, what isn't done, and what the answer would have been; by language, for sentences in lower case.
+_N = r"[^.!?。！？\n]"  # within a sentence
+_TASKS = {
+    "en": "help|assist|process|provide|answer|comply|fulfil|do (?:this|that|it|so)|write|create|generate|produce|complete|give|share|discuss|support|respond|continue|offer|carry|handle|engage|take part|participate|accept|honou?r|accommodate|perform|draft|compose|advise|go (?:along|ahead|further)|make (?:this|that|such)|oblige",
+    "de": r"helfen|weiterhelfen|behilflich|unterstützen|beantworten|antworten|schreiben|verfassen|erstellen|dienen|geben|leisten|erfüllen|bearbeiten|nachkommen|ausführen|durchführen|liefern|übernehmen|äu(?:ß|ss)ern|entsprechen|anbieten|mitwirken|eingehen|machen",
+    "fr": "aider|répondre|traiter|fournir|donner|rédiger|écrire|satisfaire|accéder|faire|assister|accomplir|effectuer|produire|offrir|proposer|réaliser|continuer|participer",
+    "es": "ayudar|responder|procesar|proporcionar|atender|escribir|dar|ofrecer|hacer|cumplir|opinar|realizar|completar|generar|redactar|asistir|acceder|contestar|colaborar",
+    "it": "aiutar|rispond|fornir|elabor|soddisf|scriver|dar|far|esegu|complet|assister|redig|procedere",
+    "pt": "ajud|respond|process|fornec|atend|escrev|dar|faz|cumpr|realiz|ger|complet|redig",
+    "nl": "helpen|beantwoorden|antwoorden|verwerken|geven|schrijven|doen|voldoen|uitvoeren|leveren|ingaan|meewerken",
+    "ru": "помоч|ответ|предостав|выполн|обработ|напис|сдела|дать",
+}
+STEMS = {
+    "en": [
+        rf"\bi (?:\w+ )?(?:can(?:no|')?t|can not|couldn't|could not|won't|will not|shall not|(?:do not|don't) (?:wish|want|feel able) to) (?:\w+ ){{0,3}}?(?:{_TASKS['en']})",
+        rf"\bi(?:'m| am) (?:\w+ )?(?:unable|not (?:able|willing|going|prepared|in a position)) to (?:\w+ ){{0,2}}?(?:{_TASKS['en']})",
+        r"\bi (?:\w+ )?(?:must|have to|need to|will|'ll|shall)? ?(?:\w+ )?(?:decline|refuse|abstain|refrain)\b", r"\bi(?:'d| would)? (?:rather|prefer) not\b|\bi(?:'d| would) prefer not\b",
+        r"\bi(?:'m| am) (?:\w+ )?(?:not (?:allowed|permitted|authori[sz]ed|comfortable)|forbidden|prohibited)\b",
+        rf"\b(?:request|question|task|query|instruction|prompt|this|that)s? (?:cannot|can't|can not|will not|won't|may not) be (?:answered|fulfilled|processed|completed|done|granted|met|honou?red|handled)",
+        rf"\b(?:beyond|outside|exceeds|against|violates?|contrary to|not within) (?:of )?(?:what i\b|(?:my|our) (?:\w+ )?(?:rules?|guidelines?|polic|scope|remit|authority|abilit|capabilit|permission|instruction|principle))",
+        r"\b(?:my|our) (?:\w+ )?(?:rules|guidelines|policies|policy|instructions|principles) (?:keep|prevent|forbid|stop|prohibit|do(?:es)?(?:n't| not) (?:allow|let|permit))", r"\bimpossible for me to\b|\b(?:is not|isn't) something i (?:can|do|will|am)\b",
+    ],
+    "de": [
+        rf"\b(?:ich (?:\w+ )?(?:kann|könnte|werde|darf|möchte|will)|(?:kann|werde|darf|möchte|will) ich)\b{_N}{{0,60}}?\b(?:nicht|nichts|keine\w*)\b{_N}{{0,40}}?\b(?:{_TASKS['de']})\b",
+        rf"\b(?:muss ich|müssen wir|ich muss|wir müssen|möchte ich|werde ich)\b{_N}{{0,60}}\b(?:ablehnen|verweigern|enthalten|absehen|zurückweisen|passen)\b", r"\bich (?:lehne|verweigere|enthalte mich|verzichte)\b|\benthalte ich mich\b|\bsehe ich (?:\w+ )?ab\b",
+        rf"\b(?:übersteigt|überschreitet|widerspricht|verstößt gegen|liegt außerhalb)\b{_N}{{0,30}}\b(?:meine?\w*|unsere?\w*)\b", r"\b(?:bin|sind) (?:ich |wir )?(?:\w+ ){0,2}(?:nicht (?:befugt|berechtigt|in der lage|imstande|ermächtigt|bereit)|außerstande)",
+        r"\bist (?:es )?(?:mir|uns) (?:\w+ )?(?:nicht (?:möglich|erlaubt|gestattet)|untersagt|verboten|unmöglich)", rf"\b(?:anfrage|frage|bitte|aufgabe|wunsch)\b{_N}{{0,30}}\b(?:kann|wird|darf)\b{_N}{{0,20}}\bnicht (?:beantwortet|erfüllt|bearbeitet|ausgeführt|entsprochen)",
+    ],
+    "fr": [
+        rf"\bje (?:ne |n')(?:peux|puis|pourrai|pourrais|saurais|veux|souhaite|vais|désire)\b{_N}{{0,40}}?(?:{_TASKS['fr']})", r"\bje ne suis pas (?:\w+ )?(?:en mesure|autorisée?|habilitée?|capable|disposée?)",
+        r"\bje (?:\w+ )?(?:m'abstiens|m'abstiendrai|refuse|décline|me refuse|préfère ne|préférerais ne|dois (?:\w+ )?(?:refuser|décliner|m'abstenir))", r"\bm'est (?:\w+ )?(?:impossible|interdit|défendu)|\bne m'est pas (?:permis|possible)",
+        rf"\b(?:dépasse|outrepasse|excède|sort d|contraire à|contrevient à|viole)\w*{_N}{{0,20}}\b(?:mes|mon|ma|m')", rf"\b(?:demande|question|requête)\b{_N}{{0,20}}\bne (?:peut|sera|pourra)\b{_N}{{0,12}}(?:pas|être)",
+    ],
+    "es": [
+        rf"\bno (?:puedo|podré|podría|voy a|quiero|deseo|debo)\b{_N}{{0,30}}?\b(?:{_TASKS['es']})\w*", r"\bno me (?:es|está|resulta|siento) (?:\w+ )?(?:posible|permitid[oa]|cómod[oa])", r"\b(?:me abstengo|me abstendré|me niego|rechazo|declino|prefiero no|preferiría no|rehúso)\b",
+        r"\b(?:debo|tengo que) (?:rechazar|declinar|negarme|abstenerme)", rf"\b(?:supera|excede|sobrepasa|infringe|viola|va (?:en )?contra|(?:está|queda) fuera)\b{_N}{{0,20}}\b(?:mis?|puedo|me)\b", r"\bno (?:estoy|me encuentro) (?:\w+ )?(?:autorizad|en condiciones|capacitad|facultad|dispuest)",
+        rf"\b(?:solicitud|petición|pregunta)\b{_N}{{0,20}}\bno (?:puede|podrá|será)\b",
+    ],
+    "it": [rf"\bnon (?:posso|potrò|potrei|voglio|intendo)\b{_N}{{0,30}}?\b(?:{_TASKS['it']})\w*", r"\bnon (?:sono (?:in grado|autorizzat|dispost|abilitat)|mi è (?:possibile|permesso|consentito))", r"\b(?:mi rifiuto|mi astengo|declino|preferisco non|preferirei non|devo (?:rifiutare|declinare|astenermi))"],
+    "pt": [rf"\bnão (?:posso|poderei|poderia|consigo|vou|quero)\b{_N}{{0,30}}?\b(?:{_TASKS['pt']})\w*", r"\bnão (?:estou (?:autorizad|em condições|apt)|me é (?:possível|permitido))", r"\b(?:recuso|me recuso|recuso-me|abstenho-me|prefiro não|devo (?:recusar|declinar))\b"],
+    "nl": [rf"\b(?:ik (?:kan|mag|wil|zal)|(?:kan|mag|wil|zal) ik)\b{_N}{{0,50}}?\b(?:niet|geen)\b{_N}{{0,30}}?\b(?:{_TASKS['nl']})\b", r"\bik (?:weiger|onthoud mij|onthoud me)\b|\bmoet ik (?:\w+ )?(?:weigeren|afwijzen)\b|\bben (?:ik )?niet (?:bevoegd|in staat|gemachtigd)"],
+    "ru": [rf"\bне (?:могу|буду|смогу|вправе|хочу)\b{_N}{{0,30}}?(?:{_TASKS['ru']})", r"\bя (?:отказываюсь|вынужден\w* отказать|воздерж)"],
+    "ja": [
+        r"お役に立て(?:ません|ず)", r"対応(?:し|いた)?(?:かね|できません|できない)", r"応じ(?:かね|られません|られない|ることはできません)", r"(?:回答|返答)(?:を|は)?(?:控え|拒否|差し控)", r"お(?:答え|受け|引き受け)(?:することは)?でき(?:ません|かね)", r"提供(?:すること)?(?:は|が)?(?:でき(?:ません|かね)|いたしかね)",
+        r"ご?遠慮(?:いたし|させて|し)ます?", r"辞退", r"(?:権限|範囲)(?:を超え|がありません|外です)",
+    ],
+    "zh": [r"(?:我|恕)(?:无法|不能|不会|拒绝|不便|难以|难)[^。！？\n]{0,12}(?:帮助|帮忙|帮|协助|回答|提供|处理|完成|满足|回应|撰写|生成|从命|这样做)"],
+    "ko": [r"(?:도와드릴|도울|답변(?:해 ?드릴|할|드릴)|제공(?:해 ?드릴|할)|처리(?:해 ?드릴|할)|작성(?:해 ?드릴|할)|응할|답할) 수 (?:가 )?없", r"거절(?:합니다|하겠)"],
+}
+#: One of its language's stands in every refusal that the patterns know; the automaton of them rules most answers out.
+TRIGGERS = {
+    "en": "i can|i am |i'm |i won't|i will|i have to|i must|i need to|i shall|i'll |i do not|i don't|i could|i simply|i really|i unfortunately|i regret|i respectfully|i therefore|i would|i'd |i prefer|i decline|i refuse|i abstain|i refrain|possible for me|no entry|no profile|no answer|no assessment|something i | be answered| be fulfilled| be processed| be completed| be done| be granted| be met| be honor| be honour| be handled|what i |my rule|our rule|guideline|polic|instruction|principle|remit|my scope|our scope|authority|my abilit|capabilit|permission",
+    "de": "kann ich|ich kann|ich könnte|ich werde|werde ich|ich darf|darf ich|ich möchte|möchte ich|ich will|will ich|muss ich|ich muss|müssen wir|wir müssen|ich lehne|ich verweig|ich enthalte|enthalte ich|ich verzichte|sehe ich|treffe ich|nicht möglich|ist mir|ist uns|ist es mir|ist es uns|übersteigt|überschreitet|widersp|verstößt|außerhalb|bin ich|ich bin|wir sind|sind wir|nicht beantwortet|nicht erfüllt|nicht bearbeitet|nicht ausgeführt|nicht entsprochen|meinen richtlinien",
+    "fr": "je ne |je n'|je m'|je refuse|je décline|je me |je préfère|je préférerais|je dois|m'est |dépasse|outrepasse|excède|sort d|contraire à|contrevient|viole|ne peut|ne sera|ne pourra|mes règles|mes directives|mes consignes",
+    "es": "no puedo|no podr|no voy|no quiero|no deseo|no debo|no escribiré|no redactaré|no responderé|no haré|no daré|no me |debo |tengo que|prefiero no|preferiría no|me niego|me abst|rechazo|declino|rehúso|no estoy|me encuentro|me es imposible|mis normas|mis reglas|mis directrices|supera|excede|sobrepasa|infringe|viola|contra|fuera|no puede|no será",
+    "it": "non posso|non pot|non voglio|non intendo|non sono|non mi è|mi rifiuto|mi astengo|declino|preferisco non|preferirei non|devo ",
+    "pt": "não posso|não poder|não consigo|não vou|não quero|não estou|não me é|recuso|abstenho|prefiro não|devo ",
+    "nl": "ik kan|kan ik|ik mag|mag ik|ik wil|wil ik|ik zal|zal ik|ik weiger|ik onthoud|moet ik|ben ik|ben niet|ik ben",
+    "ru": "не могу|не буду|не смогу|не вправе|не хочу|я отказ|я вынужд|я воздерж",
+    "ja": "手伝い|ません|かね|控え|断り|ご要望|役に立|できない|られない|拒否|遠慮|辞退|権限|範囲",
+    "zh": "无法|不能|不会|拒绝|不便|难",
+    "ko": "수 없|수가 없|거절",
+}
+_REFUSAL = {k: re.compile("|".join([*REFUSALS.get(k, []), *STEMS.get(k, [])]), re.I) for k in TRIGGERS}
+#: A refusing sentence that begins in the opening, or refusing sentences that take up this share of the text, make a refusal.
 REFUSAL_OPENING, REFUSAL_SHARE = 160, 0.1
 _SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
 _STRING = re.compile(r'"((?:[^"\\]|\\.)*)"')
@@ -96,10 +150,10 @@ COPY_OVERHEAD = 10
 COPY_LEVEL = 3
 #: … and of what a compressor needs that doesn't: an answer that repeats itself is no copy.
 COPY_GAIN = 0.5
-#: Least share of the question that a copy gives back.
-COPY_COVERS = 0.5
-#: A copy is at most so many times as long as its question, and an introduction.
-COPY_GROWS, COPY_INTRODUCTION = 1.3, 80
+#: Share of the question that may be missing from a copy: of the bytes that a compressor needs, those that it needs knowing the answer.
+COPY_LACKS = 0.5
+#: Bytes of an introduction to a short question.
+INTRODUCTION = 80
 
 
 def bare(text: str) -> str:
@@ -110,70 +164,85 @@ def bare(text: str) -> str:
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    if len(answer) > 2000 and len(answer.strip()) > 2000:
-        return False
-    t = bare(answer)
-    return len(t) < 200 and bool(NOTHING.fullmatch(t))
+    if "<" in answer:
+        answer = MARKER.sub(" ", answer)
+    if "`" in answer or "~" in answer:
+        answer = FENCE.sub(" ", answer)
+    return bool(NOTHING.fullmatch(answer))
 
 
 _AUTOMATON: list = []
 
 
-def _triggers():
+def _languages(low: str) -> list[str]:
+    """Languages of which a trigger stands in a text in lower case."""
     if not _AUTOMATON:
-        a = ahocorasick.Automaton()
-        for t in TRIGGERS:
-            a.add_word(t, t)
+        a, of = ahocorasick.Automaton(), {}
+        for lang, words in TRIGGERS.items():
+            for w in words.split("|"):
+                of.setdefault(w, []).append(lang)
+        for w, langs in of.items():
+            a.add_word(w, langs)
         a.make_automaton()
         _AUTOMATON.append(a)
-    return _AUTOMATON[0]
+    return sorted({lang for _, langs in _AUTOMATON[0].iter(low) for lang in langs})
 
 
 def is_refusal(answer: str) -> bool:
-    low = answer.replace("’", "'").lower()
-    if not any(True for _ in _triggers().iter(low)):
+    answer = answer.replace("’", "'")
+    patterns = [_REFUSAL[k] for k in _languages(answer.lower())]
+    if not any(p.search(answer) for p in patterns):
+        return False
+    t = bare(answer)
+    if not t:
         return False
-    t = bare(answer).replace("’", "'")
-    if len(t) <= REFUSAL_LENGTH:
-        m = _REFUSAL.search(t)
-        if not m or m.start() < REFUSAL_OPENING:
-            return bool(m)
     if t[0] in "{[":  # the values of an object are texts of their own
-        return any(_mainly_refuses(v) for v in _STRING.findall(t))
+        return any(_mainly_refuses(v, patterns) for v in _STRING.findall(t)) or not _STRING.search(t) and _mainly_refuses(t, patterns)
     # What an answer quotes is not its own; quoted lines are only told before white space is joined.
-    return _mainly_refuses(bare(_QUOTED.sub(" ", answer)).replace("’", "'"))
+    return _mainly_refuses(bare(_QUOTED.sub(" ", answer)), patterns)
 
 
-def _mainly_refuses(text: str) -> bool:
+def _mainly_refuses(text: str, patterns: list[re.Pattern]) -> bool:
     """By the position and the share of the refusing sentences of the whole text."""
     refusing = 0
     for m in _SENTENCE.finditer(text):
-        sentence = m.group()
-        if any(True for _ in _triggers().iter(sentence.lower())) and (r := _REFUSAL.search(sentence)):
-            if m.start() + r.start() < REFUSAL_OPENING:
+        at = min((r.start() for p in patterns if (r := p.search(m.group()))), default=-1)
+        if at >= 0:
+            if m.start() + at < REFUSAL_OPENING:
                 return True
-            refusing += len(sentence)
+            refusing += len(m.group())
     return refusing >= REFUSAL_SHARE * len(text) and refusing > 0
 
 
+def _needed(data: bytes, known: bytes) -> int:
+    """Bytes that a compressor needs for ``data`` which has ``known`` as its dictionary, beyond a frame's own."""
+    held = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return max(len(zstandard.ZstdCompressor(level=COPY_LEVEL, dict_data=held, write_content_size=False, write_dict_id=False).compress(data)) - COPY_OVERHEAD, 0)
+
+
 def copied_share(question: str, answer: str) -> float:
-    """Bytes per byte of the answer that a compressor needs which knows the question; 1 for one much shorter or longer."""
+    """Bytes per byte of the answer that a compressor needs which knows the question; 1 for one that gives back little of it.
+
+    An introduction may come before the question: the answer's part of the question's length at its end counts alone, too,
+    where it is most of the answer or the rest is a sentence's worth.
+    """
     a, q = bare(answer).casefold().encode(), bare(question).casefold().encode()
-    if not a or not COPY_COVERS * len(q) <= len(a) <= COPY_GROWS * len(q) + COPY_INTRODUCTION:
+    if not a or not q:
         return 1.0
     if len(a) < 2 * COPY_OVERHEAD:  # too short to be compressed
-        return 0.0 if a in q else 1.0
-    known = zstandard.ZstdCompressionDict(q, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    knowing = zstandard.ZstdCompressor(level=COPY_LEVEL, dict_data=known, write_content_size=False, write_dict_id=False)
+        return 0.0 if a in q and 2 * len(a) >= len(q) else 1.0
 
     def share(part: bytes) -> float:
-        bytes_ = max(len(knowing.compress(part)) - COPY_OVERHEAD, 0)
-        x = bytes_ / len(part)
-        return 1.0 if x <= COPY_SHARE and bytes_ > COPY_GAIN * len(_alone().compress(part)) else x
+        needed = _needed(part, q)
+        if needed > COPY_SHARE * len(part):
+            return needed / len(part)
+        if needed > COPY_GAIN * len(_alone().compress(part)):
+            return 1.0
+        return needed / len(part) if _needed(q, part) <= COPY_LACKS * len(_alone().compress(q)) else 1.0
 
     whole = share(a)
-    if whole > COPY_SHARE and len(q) < len(a) <= len(q) + COPY_INTRODUCTION:
-        return min(whole, share(a[-len(q) :]))  # a short question after an introduction
+    if whole > COPY_SHARE and len(q) < len(a) <= len(q) + INTRODUCTION:
+        return min(whole, share(a[-len(q) :]))
     return whole
 
 
@@ -187,9 +256,10 @@ def _alone():
 
 
 def asked_languages(question: str) -> set[str]:
+    """Languages asked for: named near either end, or anywhere in a sentence that requests something."""
     tail = question[-160:] + "\n" + question[:160]
     asked = {k for k, p in _ASKED.items() if p.search(tail)}
-    if len(question) > 320:
+    if any(p.search(question) for p in _ASKED.values()):
         requests = [s for s in _SENTENCE.findall(question) if _REQUEST.search(s)]
         asked |= {k for k, p in _ASKED.items() if any(map(p.search, requests))}
     return asked

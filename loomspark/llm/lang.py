@@ -86,22 +86,23 @@ class LanguageModel:
 def train_languages(labelled: DataFrame, lang: str, text: str, least_share: float = LEAST_SHARE) -> LanguageModel:
     """Counts the n-grams of all texts (STRING or ARRAY<STRING>) with a label; languages below ``least_share`` of the rows are ignored.
 
-    At most ``1 / least_share`` languages times ``BINS`` counts reach the driver, whatever the number of texts.
+    Labels are counted first, and only those that many rows have are counted further: at most ``1 / least_share`` languages
+    times ``BINS`` counts reach a task or the driver (4 bytes each there, 52 MB by default), whatever the numbers of texts and labels.
     """
+    per_label = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"))
+    enough = per_label.join(F.broadcast(per_label.agg(F.sum("n").alias("all"))), F.col("n") >= least_share * F.col("all"))  # one row
+    languages = sorted(r["lang"] for r in enough.select("lang").collect())
+    labelled = labelled.where(F.col(lang).isin(languages)) if languages else labelled.where("false")
     many = labelled.schema[text].dataType.typeName() == "array"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        rows: dict[str, int] = {}
         for batch in batches:
             by: dict[str, list[str]] = {}
             for label, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if label is None or value is None:
                     continue
-                if label not in held and len(held) >= 256:
-                    continue  # not a column of languages
                 held.setdefault(label, np.zeros(BINS + 1, np.int64))
-                rows[label] = rows.get(label, 0) + 1
                 by.setdefault(label, []).extend([t for t in value if t] if many else [value])
             for label, texts in by.items():
                 for _, parts in pieces(texts):
@@ -110,16 +111,14 @@ def train_languages(labelled: DataFrame, lang: str, text: str, least_share: floa
         for label, counts in held.items():
             nz = np.flatnonzero(counts[:BINS])
             yield pa.record_batch(
-                [pa.array([label] * (len(nz) + 1)), pa.array(np.append(nz, -1)), pa.array(np.append(counts[nz], rows[label]))], names=["lang", "bin", "n"]
+                [pa.array([label] * len(nz), pa.string()), pa.array(nz), pa.array(counts[nz])], names=["lang", "bin", "n"]
             )
 
     sums = labelled.select(lang, text).mapInArrow(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     got = sums.toPandas()
-    sizes = got[got["bin"] < 0].set_index("lang")["n"]
-    languages = sorted(k for k, n in sizes.items() if n >= least_share * sizes.sum())
     weights = np.zeros((BINS + 1, len(languages)), np.float32)
     for i, k in enumerate(languages):
-        part = got[(got["lang"] == k) & (got["bin"] >= 0)]
+        part = got[got["lang"] == k]
         counts = np.zeros(BINS)
         counts[part["bin"].to_numpy(np.int64)] = part["n"].to_numpy()
         total = max(counts.sum(), 1)

@@ -33,6 +33,115 @@ def test_no_refusals(answer):
     assert not is_refusal(answer)
 
 
+#: Written from what refusals say, not from the patterns.
+REFUSING = [
+    'I am unable to process that.',
+    "I'm afraid I won't be able to help you with it.",
+    'Regrettably, I must pass on this one and decline.',
+    'This request cannot be answered.',
+    'It goes against my guidelines, so I will leave it.',
+    'I would prefer not to write about this person.',
+    "We do not answer questions of this kind; I'm not permitted to.",
+    'That falls outside my remit.',
+    'Sorry, but I cannot complete this task.',
+    'My instructions do not allow it.',
+    'Das übersteigt meine Befugnisse.',
+    'Dazu kann ich Ihnen leider keine Auskunft geben.',
+    'Ich bin nicht befugt, solche Profile zu erstellen.',
+    'Diese Anfrage kann nicht bearbeitet werden.',
+    'Ich enthalte mich einer Antwort.',
+    'Es ist mir nicht gestattet, das zu tun.',
+    'Darauf möchte ich nicht eingehen.',
+    "Je m'abstiens de répondre.",
+    'Désolé, je ne suis pas en mesure de traiter cette demande.',
+    'Cela dépasse mes attributions.',
+    "Il m'est malheureusement impossible de le faire.",
+    'Je ne souhaite pas répondre à cette question.',
+    'Votre demande ne peut pas être satisfaite.',
+    'Lo siento, no puedo procesar esta petición.',
+    'Me abstengo de contestar.',
+    'Eso va en contra de mis normas.',
+    'No estoy autorizada a hacerlo.',
+    'Esta solicitud no puede ser atendida.',
+    '申し訳ございませんが、この依頼には応じられません。',
+    'その件については回答を控えます。',
+    'お受けできません。',
+    '権限がありません。',
+    'Mi dispiace, non posso aiutarti.',
+    'Preferisco non rispondere.',
+    'Desculpe, não posso ajudar com isso.',
+    'Recuso-me a responder.',
+    'Het spijt me, daar kan ik niet bij helpen.',
+    '抱歉，我无法回答这个问题。',
+    '죄송하지만 도와드릴 수 없습니다.',
+    'Извините, я не могу помочь с этим.',
+]
+NOT_REFUSING = [
+    "I can't see any purchase after May, so the weight stays moderate.",
+    'I cannot say for certain whether the kitchen matters more.',
+    'They declined two offers in June and kept one.',
+    'The account refused cookies and left my list alone.',
+    'Nothing changed since the last profile.',
+    'I will describe the interests first, then the weights.',
+    "I'm not sure, but gardening seems likely.",
+    'The shop could not deliver, so they cancelled the order.',
+    'Probably not; the visits stopped in March.',
+    'Their request was processed within two days.',
+    'Ich kann nach August keinen Kauf erkennen.',
+    'Ich bin nicht sicher, ob das Interesse anhält.',
+    'Die Bestellung konnte nicht geliefert werden.',
+    'Sie lehnte zwei Angebote ab und behielt eines.',
+    'Vermutlich kein Interesse an Versicherungen.',
+    'Je ne vois aucun achat après mai.',
+    "Je ne sais pas si l'intérêt est durable.",
+    'Elle a refusé deux offres en juin.',
+    'La demande a été traitée en deux jours.',
+    'No veo ninguna compra después de mayo.',
+    'No estoy seguro de que le interese el jardín.',
+    'La cuenta rechazó dos ofertas.',
+    'Probablemente no; las visitas cesaron en marzo.',
+    '2月以降、新しいことはありません。',
+    '購入は確認できません。',
+    '関心は高くありません。',
+    'Non vedo acquisti dopo maggio.',
+    'Não vejo compras depois de maio.',
+    'Ik zie geen aankopen na mei.',
+    '我认为他们喜欢园艺。',
+]
+
+
+def test_recall_and_precision_of_refusals():
+    found = [x for x in REFUSING if is_refusal(x)]
+    false = [x for x in NOT_REFUSING if is_refusal(x)]
+    assert len(found) >= 0.95 * len(REFUSING) and not false
+
+
+@pytest.mark.parametrize("filler", [0, 300, 419, 421, 600, 5000])
+def test_refusals_of_any_length(filler):
+    why = ("The record names a person and asks for a judgement. " * (filler // 50 + 1))[:filler]
+    assert is_refusal("I can't help with this request. " + why) and is_refusal("Das übersteigt meine Befugnisse. " + why)
+
+
+@pytest.mark.parametrize("n", [1, 199, 201, 1999, 2001, 50_000])
+def test_emptiness_of_any_length(n):
+    assert is_empty("\u200b" * n) and is_empty("{" + " " * n + "}") and is_empty("```json\n" + "\n" * n + "```") and not is_empty("{" + " " * n) and not is_empty("\u200b" * n + "x")
+
+
+def test_copies_of_any_length():
+    q = "What changed since the last profile? " + " ".join(f"visit {i} shop{i * 7 % 13} at {i}:30;" for i in range(30))
+    intro = "You asked me to look at the following activity and to tell you what I make of it, so here it is again in full, word for word: "
+    assert len(intro) > 80 and copied_share(q, intro + q) <= COPY_SHARE
+    assert copied_share(q, q + "\n" + q) <= COPY_SHARE  # 2 times its question
+    assert copied_share(q, q[: int(0.7 * len(q))]) <= COPY_SHARE and copied_share(q, q[: int(0.2 * len(q))]) == 1.0
+    assert copied_share(q, q + " " + " ".join(f"word{i * i % 977}" for i in range(200))) > COPY_SHARE
+
+
+def test_languages_of_many_labels(spark):
+    rows = [(f"l{i}", f"label{i} text") for i in range(400)] + [("en", SAID["en"][0])] * 60 + [("de", SAID["de"][0])] * 60
+    model = train_languages(spark.createDataFrame(rows, "lang string, text string"), "lang", "text", 0.05)
+    assert model.languages == ["de", "en"] and model.detect([SAID["de"][0]])[0] == ["de"]
+
+
 def test_language_asked_for_in_the_middle():
     data = " ".join(f"visit {i} to a shop of tents." for i in range(40))
     assert asked_languages("Describe this person. " + data + "\nPlease answer in German.\n" + data) == {"de"}
