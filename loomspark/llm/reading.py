@@ -1,12 +1,16 @@
 """Reading level by the surprisal of interpolated n-gram models, mapped to grades by isotonic regression.
 
-1. Per language, character n-grams of the orders 1 to 5 are counted over all texts in hashed tables of fixed size. A text's
-   language is what the language model says, not what its column says.
-2. Interpolated, they give each character a surprisal given what comes before it. How often *words* occur is counted
-   the same way; long rare words, and long sentences, are what makes a text demanding beyond its characters.
-3. A text becomes the distribution of its words' surprisals: mean, spread and quantiles, beside the lengths of words
-   and sentences, each relative to the texts of its language, so that levels are comparable within languages.
-4. Ridge regression on the labelled texts makes one score of it, and isotonic regression (pool adjacent violators) maps
+1. One pass over the texts writes each text's language (what the language model says, not its column), its words and the
+   lengths of its sentences. Nothing after it reads a text again.
+2. Words are counted per language, and character n-grams of the orders 1 to 5 from the counted words, exactly: tables of
+   words and of n-grams grow with the corpus and are joined, never hashed into a fixed number of bins.
+3. Interpolated, they give each character of a word a surprisal given what comes before it in the word; a word's surprisal is
+   their sum. What a word says also depends on how often it occurs.
+4. A text becomes the distribution of its words' surprisals over the whole text: mean, spread and quantiles, beside the
+   frequencies and lengths of words and the lengths of sentences, each relative to the texts of its language, so that
+   levels are comparable within languages. Known words are looked up in a broadcast table where there are at most
+   ``MOST_KNOWN`` of them; otherwise the words of texts are joined with the table. Both give the same.
+5. Ridge regression on the labelled texts makes one score of it, and isotonic regression (pool adjacent violators) maps
    the score monotonically to the levels. Several judgements of one text count with their mean.
 
 Only the fit uses labels; at most ``MOST_LABELS`` labelled texts, the first by a hash of the id, reach it.
@@ -15,7 +19,7 @@ Only the fit uses labels; at most ``MOST_LABELS`` labelled texts, the first by a
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,28 +27,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loomspark.llm.defects import bare
+from loomspark.llm.defects import FENCE, INVISIBLE, MARKER
 from loomspark.llm.lang import LanguageModel
 from loomspark.runtime import materialize
 
 ORDERS = (1, 2, 3, 4, 5)
-BINS = 1 << 16
-WORD_BINS = 1 << 17
+#: Occurrences of a context at which the longer order counts half.
+HALF = 20.0
+#: Characters that may occur, for those never seen.
+ALPHABET = 5000
 MOST_LABELS = 20_000
-_TOGETHER = 200_000
+MOST_KNOWN = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORD = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W\d_]+")
-_SENTENCE = re.compile(r"[.!?。！？]+(?:\s|$)|(?<=[。！？])|\n+")
+#: Scripts without spaces are cut where the kind of character changes, and into pieces of four at most.
+_WORD = re.compile(r"[぀-ゟ]{1,4}|[゠-ヿ]+|[㐀-鿿]{1,4}|[^\W\d_぀-ヿ㐀-鿿]+")
+_ENDS = re.compile(r"[.!?]+(?=\s|$)|[。！？]+|\n+")
 _KEY = re.compile(r'"[A-Za-z_]+"\s*:')
-FEATURES = ("mean", "deviation", "q50", "q75", "q90", "q97", "word_mean", "word_q90", "word_length", "long_words", "sentence_length", "sentence_q90", "comma_rate", "spread_of_words")
-
-
 _STRING = re.compile(r'"((?:[^"\\]|\\.)*)"(\s*:)?')
+_HIDDEN = re.compile(r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\u3164]")
+FEATURES = ("mean", "deviation", "q50", "q75", "q90", "q97", "word_mean", "word_q90", "word_length", "long_words", "sentence_length", "sentence_q90", "comma_rate", "spread_of_words", "per_character", "distinct_words", "word_q50")
+#: Ridge penalty, in observations.
+PENALTY = 10.0
 
 
 def prose(text: str) -> str:
     """What there is to read: without markers; of an object or list its string values, a line each."""
-    t = bare(text)
+    if "<" in text:
+        text = MARKER.sub(" ", text)
+    if "`" in text or "~" in text:
+        text = FENCE.sub(" ", text)
+    t = INVISIBLE.sub(" ", text).strip() if _HIDDEN.search(text) else " ".join(text.split())
     if t[:1] in "{[" and '"' in t:
         return "\n".join(v.replace("\\n", "\n") for v, key in _STRING.findall(t) if not key) or t
     return t
@@ -54,176 +66,203 @@ def _words(read: str) -> list[str]:
     return _WORD.findall((_KEY.sub(" ", read) if '":' in read else read).lower())
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    return np.frombuffer((" " * 5 + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def _sentences(read: str) -> list[int]:
+    out, at = [], 0
+    for m in _ENDS.finditer(read):
+        if m.start() > at:
+            out.append(m.start() - at)
+        at = m.end() + (read[m.end() : m.end() + 1] == " ")
+    if len(read) > at:
+        out.append(len(read) - at)
+    return out or [max(len(read), 1)]
 
 
-def _hashes(codes: np.ndarray) -> dict[int, np.ndarray]:
-    """For each order n, the bin of the n characters ending at each position from 5 on."""
-    out, h = {}, np.zeros(len(codes), np.uint64)
-    for n in ORDERS:
-        h = np.concatenate([np.zeros(n - 1, np.uint64), codes[: len(codes) - n + 1]]) * np.uint64(pow(1_000_003, n, 1 << 62)) + h
-        out[n] = (((h + np.uint64(n)) * _MIX) >> np.uint64(48)).astype(np.int64)[5:]
+def _quantiles(rising: np.ndarray, shares: tuple[float, ...]) -> list[float]:
+    """Linear interpolation in a sorted array."""
+    out, top = [], len(rising) - 1
+    for q in shares:
+        at = q * top
+        i = int(at)
+        out.append(float(rising[i] + (at - i) * (rising[min(i + 1, top)] - rising[i])))
     return out
 
 
-class _Bins(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        v = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) & (WORD_BINS - 1)
-        return v
+def prepared(documents: DataFrame, row: str, text: str, model: LanguageModel) -> DataFrame:
+    """``(row, lang INT, words, shape ARRAY<DOUBLE>)``: words joined by blanks, the language's number, lengths of sentences and commas.
 
+    All but ``row`` are null for a null text or one without words.
+    """
 
-_BINS_OF = _Bins()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            langs, words, shapes = [None] * n, [None] * n, [None] * n
+            for at in range(0, n, 256):
+                texts = batch.column(1).slice(at, 256).to_pylist()
+                some = [i for i, t in enumerate(texts) if t]
+                reads = [prose(texts[i]) for i in some]
+                best = model.scores([_KEY.sub(" ", r) if '":' in r else r for r in reads]).argmax(1) if some and model.languages else np.zeros(len(some), np.int64)
+                for i, read, lang in zip(some, reads, best.tolist()):
+                    found = _words(read)
+                    if found:
+                        lengths = np.sort(np.array(_sentences(read)))
+                        langs[at + i], words[at + i] = lang, " ".join(found)
+                        shapes[at + i] = [float(np.log(lengths.mean())), float(np.log(_quantiles(lengths, (0.9,))[0])), sum(map(read.count, ",;、，")) / len(found)]
+            yield pa.record_batch([batch.column(0), pa.array(langs, pa.int32()), pa.array(words, pa.string()), pa.array(shapes, pa.list_(pa.float64()))], names=[row, "lang", "words", "shape"])
+
+    return documents.select(row, text).mapInArrow(run, f"{row} {documents.schema[row].dataType.simpleString()}, lang int, words string, shape array<double>")
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``(lang, word, n)`` of all words of ``texts(lang, words)``."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Counter] = {}
 
-def _word_bins(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_BINS_OF.__getitem__, words), np.int64, len(words))
+        def flush():
+            rows = [(k, w, n) for k, c in held.items() for w, n in c.items()]
+            held.clear()
+            return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
+        for batch in batches:
+            for lang, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(lang, Counter()).update(words.split(" "))
+            if sum(map(len, held.values())) > 500_000:
+                yield flush()
+        yield flush()
+
+    return texts.select("lang", "words").where("words IS NOT NULL").mapInArrow(count, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each character of `` word `` but the first: whose it is, its place, and the n-grams that end there, a column per order."""
+    pad = len(ORDERS)
+    codes = np.frombuffer("".join(" " * pad + w + " " for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter((len(w) + pad + 1 for w in words), np.int64, len(words))
+    of = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes) - (pad - 1)
+    out, h = np.empty((len(codes), pad), np.uint64), np.zeros(len(codes), np.uint64)
+    for n in ORDERS:
+        before = np.concatenate([np.zeros(n - 1, np.uint64), codes[: len(codes) - n + 1]])
+        h = (h ^ (before + np.uint64(n))) * _MIX
+        h ^= h >> np.uint64(29)
+        out[:, n - 1] = h
+    keep = place >= 0  # place 0 is the blank before the word
+    return of[keep], place[keep], out[keep]
 
-@dataclass
-class Surprisal:
-    """Counts per language: (orders, BINS) of characters and (WORD_BINS,) of words."""
 
-    languages: list[str]
-    chars: np.ndarray
-    words: np.ndarray
+def gram_counts(words: DataFrame) -> DataFrame:
+    """``(lang, k, gram, n)``: how often each character n-gram of order k + 1 occurs in the words as often as they occur."""
 
-    def of_characters(self, codes: np.ndarray, lang: int) -> np.ndarray:
-        h = _hashes(codes)
-        c = self.chars[lang]
-        total = max(c[0].sum(), 1.0)
-        p = (c[0][h[1]] + 0.5) / (total + 0.5 * 5000)
-        # The context of order n ends one character before; Witten-Bell-like weights let frequent contexts speak.
-        for i, n in enumerate(ORDERS[1:], 1):
-            context = c[i - 1][np.concatenate([[0], h[n - 1][:-1]])]
-            weight = context / (context + 20.0)
-            p = weight * np.minimum(c[i][h[n]] / np.maximum(context, 1), 1.0) + (1 - weight) * p
-        return -np.log2(np.maximum(p, 1e-9))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            of, _, grams = _grams(batch.column(1).to_pylist())
+            for lang in np.unique(langs):
+                mine = langs[of] == lang
+                for k in range(len(ORDERS)):
+                    g, inverse = np.unique(grams[mine, k], return_inverse=True)
+                    sums = np.bincount(inverse, n[of[mine]]).astype(np.int64)
+                    yield pa.record_batch([pa.array(np.full(len(g), lang, np.int32)), pa.array(np.full(len(g), k, np.int32)), pa.array(g.view(np.int64)), pa.array(sums)], names=["lang", "k", "gram", "n"])
 
-    def of_words(self, bins: np.ndarray, lang: int) -> np.ndarray:
-        c = self.words[lang]
-        return -np.log2((c[bins] + 1) / (c.sum() + WORD_BINS))
+    return words.select("lang", "word", "n").mapInArrow(count, "lang int, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
 
 
-def train_surprisal(texts: DataFrame, model: LanguageModel) -> Surprisal:
-    """Counts all of ``texts(text)``; tables of fixed size per language reach the driver."""
+def word_surprisals(words: DataFrame) -> DataFrame:
+    """``(lang, word, surprisal, rarity)`` in bits, of ``words(lang, word, n)``: by the n-gram model, and by how often the word occurs."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        L = len(model.languages)
-        chars, words = np.zeros((L, len(ORDERS), BINS), np.int64), np.zeros((L, WORD_BINS), np.int64)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = [t for t in batch.column(0).slice(at, 256).to_pylist() if t]
-                for lang, group in _by_language(some, model).items():
-                    joined: list[str] = []
-                    size = 0
-                    for i in group:
-                        words_ = _words(prose(some[i]))
-                        joined += words_
-                        size += len(some[i])
-                        if joined and (size > _TOGETHER or i == group[-1]):
-                            for k, h in enumerate(_hashes(_codes(joined)).values()):
-                                chars[lang, k] += np.bincount(h, minlength=BINS)
-                            words[lang] += np.bincount(_word_bins(joined), minlength=WORD_BINS)
-                            joined, size = [], 0
-        for lang in range(L):
-            for k, table in [*enumerate(chars[lang]), (len(ORDERS), words[lang])]:
-                nz = np.flatnonzero(table)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                of, place, grams = _grams(part.column(1).to_pylist())
+                whose = pa.array(np.repeat(of, len(ORDERS)))
                 yield pa.record_batch(
-                    [pa.array(np.full(len(nz), lang, np.int32)), pa.array(np.full(len(nz), k, np.int32)), pa.array(nz.astype(np.int32)), pa.array(table[nz])], names=["lang", "part", "bin", "n"]
+                    [part.column(0).take(whose), part.column(1).take(whose), pa.array(np.repeat(place, len(ORDERS)).astype(np.int32)), pa.array(np.tile(np.arange(len(ORDERS), dtype=np.int32), len(of))), pa.array(grams.ravel().view(np.int64))],
+                    names=["lang", "word", "place", "k", "gram"],
                 )
 
-    got = texts.select("text").where("text IS NOT NULL").mapInArrow(count, "lang int, part int, bin int, n long").groupBy("lang", "part", "bin").agg(F.sum("n").alias("n")).toPandas()
-    L = len(model.languages)
-    chars, words = np.zeros((L, len(ORDERS), BINS), np.float32), np.zeros((L, WORD_BINS), np.float32)
-    c = got[got["part"] < len(ORDERS)]
-    chars[c["lang"], c["part"], c["bin"]] = c["n"]
-    w = got[got["part"] == len(ORDERS)]
-    words[w["lang"], w["bin"]] = w["n"]
-    return Surprisal(model.languages, chars, words)
-
-
-def _by_language(texts: list[str], model: LanguageModel) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = {}
-    if texts and model.languages:
-        for i, k in enumerate(model.scores([_KEY.sub(" ", t) for t in texts]).argmax(1)):
-            out.setdefault(int(k), []).append(i)
-    return out
-
-
-def _quantiles(rising: np.ndarray, shares: tuple[float, ...]) -> list[float]:
-    """Linear interpolation in a sorted array."""
-    out, top = [], len(rising) - 1
-    for q in shares:
-        at = q * top
-        i = int(at)
-        out.append(float(rising[i] + (at - i) * (rising[min(i + 1, top)] - rising[i])))
-    return out
+    counts = materialize(gram_counts(words))
+    all_ = words.groupBy("lang").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
+    characters = counts.where("k = 0").groupBy("lang").agg(F.sum("n").alias("characters")).join(all_, "lang")  # a row per language
+    at_place = words.select("lang", "word").mapInArrow(spread, "lang int, word string, place int, k int, gram long").join(counts, ["lang", "k", "gram"])
+    seen = at_place.groupBy("lang", "word").agg(F.map_from_entries(F.collect_list(F.struct((F.col("place") * len(ORDERS) + F.col("k")).alias("at"), "n"))).alias("seen"))
+    made = seen.join(words, ["lang", "word"]).join(F.broadcast(characters), "lang")  # at most as many rows as languages
 
+    def at(i, k: int):
+        return F.coalesce(F.col("seen")[i * len(ORDERS) + k], F.lit(0)).cast("double")
 
-def features(texts: list[str], lang: int, s: Surprisal, at_a_time: int = 60_000) -> list[list[float] | None]:
-    """The features of texts of one language; None for a text without words.
+    def bits(i):
+        p = (at(i, 0) + 0.5) / (F.col("characters") + 0.5 * ALPHABET)
+        # The context of order k + 1 ends one character before; weights let frequent contexts speak.
+        for k in range(1, len(ORDERS)):
+            context = at(i - 1, k - 1)
+            weight = context / (context + HALF)
+            p = weight * F.least(at(i, k) / F.greatest(context, F.lit(1.0)), F.lit(1.0)) + (1 - weight) * p
+        return -F.log2(F.greatest(p, F.lit(1e-9)))
 
-    Characters of many texts are looked up at once, as many as stay in a processor's cache.
-    """
-    out: list[list[float] | None] = [None] * len(texts)
-    held: list[tuple[int, str, list[str]]] = []
-    size = 0
-    for i, text in enumerate([*texts, None]):
-        if text is not None:
-            read = prose(text)
-            words = _words(read)
-            if words:
-                held.append((i, read, words))
-                size += len(read)
-        if held and (text is None or size > at_a_time):
-            codes = [_codes(words) for _, _, words in held]
-            per_char = s.of_characters(np.concatenate(codes), lang)
-            freq = s.of_words(_word_bins([w for _, _, words in held for w in words]), lang)
-            at, first = 0, 0
-            for (k, read_, words), c in zip(held, codes):
-                # The first text's padding isn't scored, the others' is.
-                start = at if at == 0 else at + 5
-                n = len(c) - 5
-                mine = per_char[start : start + n]
-                at = start + n
-                out[k] = _features(read_, words, mine, freq[first : first + len(words)])
-                first += len(words)
-            held, size = [], 0
-    return out
+    total = F.aggregate(F.sequence(F.lit(1), F.char_length("word") + 1), F.lit(0.0), lambda sum_, i: sum_ + bits(i))
+    return made.select("lang", "word", total.alias("surprisal"), (-F.log2((F.col("n") + 1) / (F.col("all") + F.col("kinds") + 1))).alias("rarity"))
 
 
-def _features(read: str, words: list[str], per_char: np.ndarray, freq: np.ndarray) -> list[float]:
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1)
-    per_word = np.sort(np.add.reduceat(per_char, np.concatenate([[0], ends[:-1]])))
-    sentences = np.sort(np.array([len(x) for x in _SENTENCE.split(read) if x and not x.isspace()] or [len(read)]))
+def _features(surprisal: np.ndarray, rarity: np.ndarray, lengths: np.ndarray, shape: list[float], distinct: int) -> list[float]:
+    per_word = np.sort(surprisal)
     return [
-        float(per_word.mean()), float(per_word.std()), *_quantiles(per_word, (0.5, 0.75, 0.9, 0.97)), float(freq.mean()), *_quantiles(np.sort(freq), (0.9,)), float(lengths.mean()), float((lengths > 9).mean()),
-        float(np.log(sentences.mean())), float(np.log(_quantiles(sentences, (0.9,))[0])), sum(map(read.count, ",;、，")) / len(words), float(freq.std()),
+        float(per_word.mean()), float(per_word.std()), *_quantiles(per_word, (0.5, 0.75, 0.9, 0.97)), float(rarity.mean()), *_quantiles(np.sort(rarity), (0.9,)), float(lengths.mean()), float((lengths > 9).mean()),
+        *shape, float(rarity.std()), float((surprisal / (lengths + 1)).mean()), distinct / len(lengths), float(np.median(rarity)),
     ]
 
 
-def with_features(documents: DataFrame, row: str, text: str, model: LanguageModel, s: Surprisal) -> DataFrame:
-    """``(row, detected, features ARRAY<DOUBLE>)``; both null for a null text or one without words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def with_features(texts: DataFrame, row: str, known: DataFrame, languages: list[str], most_known: int = MOST_KNOWN) -> DataFrame:
+    """``(row, detected, features ARRAY<DOUBLE>)`` of :func:`prepared` texts; both null for a text without words."""
+    kind = texts.schema[row].dataType.simpleString()
+    names = languages or ["?"]
+    schema = f"{row} {kind}, detected string, features array<double>"
+
+    def described(rows, langs, values) -> pa.RecordBatch:
+        return pa.record_batch([rows, pa.array([None if k is None else names[k] for k in langs], pa.string()), pa.array(values, pa.list_(pa.float64()))], names=[row, "detected", "features"])
+
+    if known.count() <= most_known:
+        table = known.toPandas()
+        tables: dict[int, dict[str, tuple[float, float]]] = {}
+        for lang, part in table.groupby("lang"):
+            tables[int(lang)] = dict(zip(part["word"], zip(part["surprisal"], part["rarity"])))
+        held = texts.sparkSession.sparkContext.broadcast(tables)
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index: dict[int, dict[str, int]] = {}
+            numbers: dict[int, np.ndarray] = {}
+            for k, words in held.value.items():
+                index[k] = {w: i for i, w in enumerate(words)}
+                numbers[k] = np.array([(*v, len(w)) for w, v in words.items()])
+            for batch in batches:
+                langs, values = batch.column(1).to_pylist(), []
+                for lang, words, shape in zip(langs, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    if words is None:
+                        values.append(None)
+                        continue
+                    each = words.split(" ")
+                    mine = numbers[lang][np.fromiter(map(index[lang].__getitem__, each), np.int64, len(each))]
+                    values.append(_features(mine[:, 0], mine[:, 1], mine[:, 2], shape, len(set(each))))
+                yield described(batch.column(0), langs, values)
+
+        return texts.select(row, "lang", "words", "shape").mapInArrow(look_up, schema)
+
+    each = texts.where("words IS NOT NULL").select(row, "lang", F.explode(F.split("words", " ")).alias("word")).groupBy(row, "lang", "word").agg(F.count("*").alias("times"))
+    found = each.join(known, ["lang", "word"]).groupBy(row).agg(F.collect_list(F.struct("surprisal", "rarity", F.char_length("word").alias("length"), "times")).alias("each"))
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            langs: list[str | None] = [None] * len(texts)
-            values: list[list[float] | None] = [None] * len(texts)
-            for at in range(0, len(texts), 256):
-                index = [i for i in range(at, min(at + 256, len(texts))) if texts[i]]
-                for lang, group in _by_language([texts[i] for i in index], model).items():
-                    for i, found in zip((index[g] for g in group), features([texts[index[g]] for g in group], lang, s)):
-                        values[i] = found
-                        if found is not None:
-                            langs[i] = s.languages[lang]
-            yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), pa.array(values, pa.list_(pa.float64()))], names=[row, "detected", "features"])
+            langs, values = batch.column(1).to_pylist(), []
+            for words, shape in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist()):
+                if words is None:
+                    values.append(None)
+                    continue
+                times = [w["times"] for w in words]
+                values.append(_features(*(np.repeat([w[c] for w in words], times) for c in ("surprisal", "rarity", "length")), shape, len(words)))
+            yield described(batch.column(0), langs, values)
 
-    return documents.select(row, text).mapInArrow(run, f"{row} {documents.schema[row].dataType.simpleString()}, detected string, features array<double>")
+    return texts.select(row, "lang", "shape").join(found, row, "left").select(row, "lang", "shape", "each").mapInArrow(gathered, schema)
 
 
 def pool_adjacent_violators(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,6 +279,11 @@ def pool_adjacent_violators(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, n
     return np.array([b[2] for b in blocks]), np.array([b[0] for b in blocks])
 
 
+def _columns(z: np.ndarray) -> np.ndarray:
+    """A constant, the features, and their squares where they aren't extreme."""
+    return np.column_stack([np.ones(len(z)), np.clip(z, -4, 4), np.clip(z, -2, 2) ** 2])
+
+
 @dataclass
 class Grader:
     centers: dict[str, tuple[np.ndarray, np.ndarray]]
@@ -249,7 +293,7 @@ class Grader:
 
     def score(self, values: np.ndarray, langs: list[str]) -> np.ndarray:
         z = np.stack([(v - self.centers[k][0]) / self.centers[k][1] for v, k in zip(values, langs)]) if len(values) else np.zeros((0, len(FEATURES)))
-        return np.column_stack([np.ones(len(z)), np.clip(z, -4, 4)]) @ self.weights
+        return _columns(z) @ self.weights
 
     def level(self, score: np.ndarray) -> np.ndarray:
         """The fitted level between 1 and 5, interpolated between the blocks."""
@@ -269,24 +313,25 @@ def fit_grader(described: DataFrame, labels: DataFrame, row: str, most: int = MO
     judged = labels.where("level IS NOT NULL").groupBy(row).agg(F.avg("level").alias("level"))
     got = named.join(judged, row).orderBy(F.xxhash64(row), row).limit(most).select("detected", "features", "level").collect()
     if not got:
-        return Grader(centers, np.zeros(len(FEATURES) + 1), np.zeros(0), np.zeros(0))
+        return Grader(centers, np.zeros(2 * len(FEATURES) + 1), np.zeros(0), np.zeros(0))
     values, langs, y = np.array([r["features"] for r in got]), [r["detected"] for r in got], np.array([r["level"] for r in got])
-    g = Grader(centers, np.zeros(len(FEATURES) + 1), np.zeros(0), np.zeros(0))
-    z = np.column_stack([np.ones(len(y)), np.clip(np.stack([(v - centers[k][0]) / centers[k][1] for v, k in zip(values, langs)]), -4, 4)])
-    penalty = np.eye(z.shape[1]) * 3.0
+    g = Grader(centers, np.zeros(2 * len(FEATURES) + 1), np.zeros(0), np.zeros(0))
+    z = _columns(np.stack([(v - centers[k][0]) / centers[k][1] for v, k in zip(values, langs)]))
+    penalty = np.eye(z.shape[1]) * PENALTY
     penalty[0, 0] = 0
     g.weights = np.linalg.solve(z.T @ z + penalty, z.T @ y)
     g.x, g.y = pool_adjacent_violators(z @ g.weights, y)
     return g
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, row: str, text: str, model: LanguageModel) -> DataFrame:
+def reading_levels(documents: DataFrame, labels: DataFrame, row: str, text: str, model: LanguageModel, most_known: int = MOST_KNOWN) -> DataFrame:
     """``(row, detected, score, level INT)`` for every document; all but ``row`` null for null texts and those without words.
 
     ``row`` must be unique. With no usable label every level is 3.
     """
-    surprisal = train_surprisal(documents.select(F.col(text).alias("text")), model)
-    described = materialize(with_features(documents, row, text, model, surprisal))
+    texts = materialize(prepared(documents, row, text, model))
+    known = materialize(word_surprisals(materialize(word_counts(texts))))
+    described = materialize(with_features(texts, row, known, model.languages, most_known))
     grader = fit_grader(described, labels.select(row, "level"), row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

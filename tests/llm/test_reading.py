@@ -1,10 +1,12 @@
 import random
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
+from loomspark.llm.evaluate import held_out
 from loomspark.llm.lang import train_languages
-from loomspark.llm.reading import pool_adjacent_violators, reading_levels
+from loomspark.llm.reading import ALPHABET, HALF, ORDERS, _sentences, _words, pool_adjacent_violators, prose, reading_levels, word_surprisals
 
 EASY = "the cat sat on a mat . we like it . it was big . they go out".split()
 HARD = "notwithstanding heterogeneity substantiates longitudinal interpretations epistemological corroboration taxonomies presupposes juxtaposition".split()
@@ -51,3 +53,44 @@ def test_without_labels_or_rows(spark):
     model = train_languages(docs, "lang", "text")
     assert {r["level"] for r in reading_levels(docs.where("doc_id < 3"), labels.where("false"), "doc_id", "text", model).collect()} == {3}
     assert reading_levels(docs.where("false"), labels, "doc_id", "text", model).count() == 0
+
+
+def test_words_looked_up_and_joined_give_the_same(spark):
+    docs, labels = corpus(spark)
+    model = train_languages(docs, "lang", "text")
+    one, other = (sorted((r["doc_id"], r["detected"], r["score"] and round(r["score"], 9), r["level"]) for r in reading_levels(docs, labels, "doc_id", "text", model, most).collect()) for most in (1 << 20, 0))
+    assert one == other and len(one) == 245
+
+
+def test_surprisal_against_brute_force(spark):
+    words = {"cat": 30, "cap": 7, "a": 50, "juxtaposition": 1, "ねこ": 2}
+    df = spark.createDataFrame([(0, w, n) for w, n in words.items()] + [(1, "cat", 5)], "lang int, word string, n long")
+    got = {r["word"]: r["surprisal"] for r in word_surprisals(df).where("lang = 0").collect()}
+    counts = [Counter() for _ in ORDERS]
+    for w, n in words.items():
+        s = " " * 5 + w + " "
+        for i in range(4, len(s)):
+            for k in range(5):
+                counts[k][s[i - k : i + 1]] += n
+    for w in words:
+        s, total = " " * 5 + w + " ", 0.0
+        for i in range(5, len(s)):
+            p = (counts[0][s[i]] + 0.5) / (sum(counts[0].values()) + 0.5 * ALPHABET)
+            for k in range(1, 5):
+                context = counts[k - 1][s[i - k : i]]
+                weight = context / (context + HALF)
+                p = weight * min(counts[k][s[i - k : i + 1]] / max(context, 1), 1) + (1 - weight) * p
+            total -= np.log2(p)
+        assert np.isclose(got[w], total)
+
+
+def test_prose_and_words():
+    assert prose('<|turn>model\n{"a": "One two. Three", "b": ["four"]}').split() == ["One", "two.", "Three", "four"]
+    assert _words("Das Café, 3 mal; 東京タワーへ行きました") == ["das", "café", "mal", "東京", "タワー", "へ", "行", "きました"]
+    assert _sentences("One two. Three! 四。五") == [7, 5, 1, 1] and _sentences("") == [1]
+
+
+def test_the_evaluation_script(spark):
+    docs, labels = corpus(spark)
+    found = held_out(docs, labels, "doc_id", "text", "lang")
+    assert found["documents"] > 20 and found["error"] < 0.7 < found["constant_error"] and found["correlation"] > 0.8
