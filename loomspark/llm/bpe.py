@@ -107,12 +107,12 @@ class Counter:
 
 
 class Encoder:
-    """Token ids of texts; the words of a batch share the states of their common prefixes."""
+    """Token ids of texts; the distinct new words of a batch share the states of their common prefixes."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str = PATTERN, remembered: int = 1_000_000):
+    def __init__(self, vocabulary: Vocabulary, pattern: str = PATTERN, remembered: int = 1_000_000, characters: int = 4_000_000):
         self.v = vocabulary
         self.split = regex.compile(pattern).findall
-        self.remembered = remembered
+        self.remembered, self.characters = remembered, characters
         self.known: dict[str, bytes] = {}
 
     def learn(self, words: Iterable[str]) -> None:
@@ -148,14 +148,27 @@ class Encoder:
             path = data
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and the offsets of each; null and empty texts have none."""
-        split, parts, sizes = self.split, [], []
-        for text in texts:
-            words = split(text) if text else []
+        """Ids of all texts in one array, and the offsets of each; null and empty texts have none.
+
+        The new words of many texts are one trie. Texts are taken together up to ``characters``, which bounds the memory.
+        """
+        parts, sizes, held, size = [], [], [], 0
+
+        def flush() -> None:
+            nonlocal held, size
             if len(self.known) > self.remembered:
                 self.known.clear()
-            self.learn(set(words).difference(self.known))
-            data = b"".join(map(self.known.__getitem__, words))
-            parts.append(data)
-            sizes.append(len(data) // 4)
+            self.learn({w for words in held for w in words}.difference(self.known))
+            for words in held:
+                data = b"".join(map(self.known.__getitem__, words))
+                parts.append(data)
+                sizes.append(len(data) // 4)
+            held, size = [], 0
+
+        for text in texts:
+            held.append(self.split(text) if text else [])
+            size += len(text or "")
+            if size > self.characters:
+                flush()
+        flush()
         return np.frombuffer(b"".join(parts), np.int32), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)

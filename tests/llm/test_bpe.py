@@ -50,3 +50,21 @@ def test_memory_is_bounded():
     e = Encoder(v, remembered=3)
     ids, offsets = e.batch(["one two three four five six", "one two"])
     assert ids[offsets[1] :].tolist() == ids[: 2].tolist() and isinstance(ids, np.ndarray)
+
+
+@pytest.mark.parametrize("characters", [4_000_000, 30])
+def test_a_batch_is_one_trie(characters):
+    """Words with a common prefix cost the same tests in one text and in as many texts of a batch."""
+    words = [" antidisestablishment" + "".join(random.Random(i).choices("abcdefgh", k=5)) for i in range(20)]
+
+    def tests(texts):
+        v = Vocabulary()
+        n, plain = [0], v.compatible
+        v.compatible = lambda a, b: (n.__setitem__(0, n[0] + 1), plain(a, b))[1]
+        e = Encoder(v, characters=characters)
+        got = e.batch(texts)[0].tolist()
+        return n[0], got
+
+    one, many = tests(["".join(words)]), tests(words)
+    assert one[1] == many[1]
+    assert (one[0] == many[0]) if characters > 1000 else (one[0] < many[0])
