@@ -18,6 +18,7 @@ Only the fit uses labels; at most ``MOST_LABELS`` labelled texts, the first by a
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -41,7 +42,8 @@ MOST_KNOWN = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Scripts without spaces are cut where the kind of character changes, and into pieces of four at most.
 _WORD = re.compile(r"[぀-ゟ]{1,4}|[゠-ヿ]+|[㐀-鿿]{1,4}|[^\W\d_぀-ヿ㐀-鿿]+")
-_ENDS = re.compile(r"[.!?]+(?=\s|$)|[。！？]+|\n+")
+_ASCII_WORDS = re.compile("[a-z]+").findall
+_OTHER_ENDS = ("! ", "? ", "\n", "。", "！", "？")
 _KEY = re.compile(r'"[A-Za-z_]+"\s*:')
 _STRING = re.compile(r'"((?:[^"\\]|\\.)*)"(\s*:)?')
 _HIDDEN = re.compile(r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\u3164]")
@@ -56,35 +58,23 @@ def prose(text: str) -> str:
         text = MARKER.sub(" ", text)
     if "`" in text or "~" in text:
         text = FENCE.sub(" ", text)
-    t = INVISIBLE.sub(" ", text).strip() if _HIDDEN.search(text) else " ".join(text.split())
+    t = " ".join(text.split()) if text.isascii() or not _HIDDEN.search(text) else INVISIBLE.sub(" ", text).strip()
     if t[:1] in "{[" and '"' in t:
         return "\n".join(v.replace("\\n", "\n") for v, key in _STRING.findall(t) if not key) or t
     return t
 
 
 def _words(read: str) -> list[str]:
-    return _WORD.findall((_KEY.sub(" ", read) if '":' in read else read).lower())
+    low = (_KEY.sub(" ", read) if '":' in read else read).lower()
+    return _ASCII_WORDS(low) if low.isascii() else _WORD.findall(low)
 
 
 def _sentences(read: str) -> list[int]:
-    out, at = [], 0
-    for m in _ENDS.finditer(read):
-        if m.start() > at:
-            out.append(m.start() - at)
-        at = m.end() + (read[m.end() : m.end() + 1] == " ")
-    if len(read) > at:
-        out.append(len(read) - at)
-    return out or [max(len(read), 1)]
-
-
-def _quantiles(rising: np.ndarray, shares: tuple[float, ...]) -> list[float]:
-    """Linear interpolation in a sorted array."""
-    out, top = [], len(rising) - 1
-    for q in shares:
-        at = q * top
-        i = int(at)
-        out.append(float(rising[i] + (at - i) * (rising[min(i + 1, top)] - rising[i])))
-    return out
+    """Lengths of the sentences and lines."""
+    for end in _OTHER_ENDS if not read.isascii() else _OTHER_ENDS[:3]:
+        if end in read:
+            read = read.replace(end, ". ")
+    return [len(x) for x in read.split(". ") if x and not x.isspace()] or [max(len(read), 1)]
 
 
 def prepared(documents: DataFrame, row: str, text: str, model: LanguageModel) -> DataFrame:
@@ -105,9 +95,11 @@ def prepared(documents: DataFrame, row: str, text: str, model: LanguageModel) ->
                 for i, read, lang in zip(some, reads, best.tolist()):
                     found = _words(read)
                     if found:
-                        lengths = np.sort(np.array(_sentences(read)))
+                        lengths = sorted(_sentences(read))
+                        top = 0.9 * (len(lengths) - 1)
+                        low, high = lengths[int(top)], lengths[min(int(top) + 1, len(lengths) - 1)]
                         langs[at + i], words[at + i] = lang, " ".join(found)
-                        shapes[at + i] = [float(np.log(lengths.mean())), float(np.log(_quantiles(lengths, (0.9,))[0])), sum(map(read.count, ",;、，")) / len(found)]
+                        shapes[at + i] = [math.log(sum(lengths) / len(lengths)), math.log(low + (top - int(top)) * (high - low)), sum(map(read.count, ",;、，")) / len(found)]
             yield pa.record_batch([batch.column(0), pa.array(langs, pa.int32()), pa.array(words, pa.string()), pa.array(shapes, pa.list_(pa.float64()))], names=[row, "lang", "words", "shape"])
 
     return documents.select(row, text).mapInArrow(run, f"{row} {documents.schema[row].dataType.simpleString()}, lang int, words string, shape array<double>")
@@ -184,13 +176,17 @@ def word_surprisals(words: DataFrame) -> DataFrame:
 
     counts = materialize(gram_counts(words))
     all_ = words.groupBy("lang").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
-    characters = counts.where("k = 0").groupBy("lang").agg(F.sum("n").alias("characters")).join(all_, "lang")  # a row per language
+    # A row per language, of which there are few.
+    sums = counts.where("k = 0").groupBy("lang").agg(F.sum("n").alias("characters")).join(all_, "lang").collect()
+    known = {name: F.create_map(*[F.lit(x) for r in sums for x in (r["lang"], float(r[name]))]) if sums else F.create_map().cast("map<int,double>") for name in ("characters", "all", "kinds")}
     at_place = words.select("lang", "word").mapInArrow(spread, "lang int, word string, place int, k int, gram long").join(counts, ["lang", "k", "gram"])
-    seen = at_place.groupBy("lang", "word").agg(F.map_from_entries(F.collect_list(F.struct((F.col("place") * len(ORDERS) + F.col("k")).alias("at"), "n"))).alias("seen"))
-    made = seen.join(words, ["lang", "word"]).join(F.broadcast(characters), "lang")  # at most as many rows as languages
+    # Every n-gram of a word has been counted, so the list has no gaps.
+    entries = F.sort_array(F.collect_list(F.struct((F.col("place") * len(ORDERS) + F.col("k")).alias("at"), "n")))
+    seen = at_place.groupBy("lang", "word").agg(entries.alias("entries")).select("lang", "word", F.transform("entries", lambda e: e["n"].cast("double")).alias("seen"))
+    made = seen.join(words, ["lang", "word"]).select("lang", "word", "n", "seen", *[m[F.col("lang")].alias(name) for name, m in known.items()])
 
     def at(i, k: int):
-        return F.coalesce(F.col("seen")[i * len(ORDERS) + k], F.lit(0)).cast("double")
+        return F.get(F.col("seen"), i * len(ORDERS) + k)
 
     def bits(i):
         p = (at(i, 0) + 0.5) / (F.col("characters") + 0.5 * ALPHABET)
@@ -205,12 +201,36 @@ def word_surprisals(words: DataFrame) -> DataFrame:
     return made.select("lang", "word", total.alias("surprisal"), (-F.log2((F.col("n") + 1) / (F.col("all") + F.col("kinds") + 1))).alias("rarity"))
 
 
-def _features(surprisal: np.ndarray, rarity: np.ndarray, lengths: np.ndarray, shape: list[float], distinct: int) -> list[float]:
-    per_word = np.sort(surprisal)
-    return [
-        float(per_word.mean()), float(per_word.std()), *_quantiles(per_word, (0.5, 0.75, 0.9, 0.97)), float(rarity.mean()), *_quantiles(np.sort(rarity), (0.9,)), float(lengths.mean()), float((lengths > 9).mean()),
-        *shape, float(rarity.std()), float((surprisal / (lengths + 1)).mean()), distinct / len(lengths), float(np.median(rarity)),
-    ]
+def _quantile(sorted_: np.ndarray, first: np.ndarray, n: np.ndarray, q: float) -> np.ndarray:
+    """Linear interpolation in runs of rising values that begin at ``first`` and have ``n`` values each."""
+    at = q * (n - 1)
+    low = np.floor(at).astype(np.int64)
+    x, y = sorted_[first + low], sorted_[first + np.minimum(low + 1, n - 1)]
+    return x + (at - low) * (y - x)
+
+
+def _features(values: np.ndarray, n: np.ndarray, shapes: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """A row of features for each text, from its words' ``values`` (surprisal, rarity, length), ``n`` to a text, joined."""
+    of = np.repeat(np.arange(len(n)), n)
+    first = np.cumsum(n) - n
+    surprisal, rarity, lengths = values[:, 0], values[:, 1], values[:, 2]
+
+    def mean(x: np.ndarray) -> np.ndarray:
+        return np.bincount(of, x, len(n)) / n
+
+    def deviation(x: np.ndarray) -> np.ndarray:
+        return np.sqrt(mean((x - mean(x)[of]) ** 2))
+
+    def rising(x: np.ndarray) -> np.ndarray:
+        """Sorted within each text: by value, then stably by the text's small number, which is a radix sort."""
+        order = np.argsort(x)
+        return x[order[np.argsort(of[order].astype(np.uint16), kind="stable")]]
+
+    per_word, per_rarity = rising(surprisal), rising(rarity)
+    return np.column_stack([
+        mean(surprisal), deviation(surprisal), *(_quantile(per_word, first, n, q) for q in (0.5, 0.75, 0.9, 0.97)), mean(rarity), _quantile(per_rarity, first, n, 0.9), mean(lengths), mean(lengths > 9),
+        shapes, deviation(rarity), mean(surprisal / (lengths + 1)), distinct / n, _quantile(per_rarity, first, n, 0.5),
+    ])
 
 
 def with_features(texts: DataFrame, row: str, known: DataFrame, languages: list[str], most_known: int = MOST_KNOWN) -> DataFrame:
@@ -236,15 +256,20 @@ def with_features(texts: DataFrame, row: str, known: DataFrame, languages: list[
                 index[k] = {w: i for i, w in enumerate(words)}
                 numbers[k] = np.array([(*v, len(w)) for w, v in words.items()])
             for batch in batches:
-                langs, values = batch.column(1).to_pylist(), []
-                for lang, words, shape in zip(langs, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    if words is None:
-                        values.append(None)
-                        continue
-                    each = words.split(" ")
-                    mine = numbers[lang][np.fromiter(map(index[lang].__getitem__, each), np.int64, len(each))]
-                    values.append(_features(mine[:, 0], mine[:, 1], mine[:, 2], shape, len(set(each))))
-                yield described(batch.column(0), langs, values)
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    langs, values = part.column(1).to_pylist(), [None] * part.num_rows
+                    found, shapes, distinct, rows = [], [], [], []
+                    for i, (lang, words, shape) in enumerate(zip(langs, part.column(2).to_pylist(), part.column(3).to_pylist())):
+                        if words is not None:
+                            each = words.split(" ")
+                            found.append(numbers[lang][np.fromiter(map(index[lang].__getitem__, each), np.int64, len(each))])
+                            shapes.append(shape), distinct.append(len(set(each))), rows.append(i)
+                    if rows:
+                        got = _features(np.concatenate(found), np.array([len(f) for f in found]), np.array(shapes), np.array(distinct))
+                        for i, row_ in zip(rows, got.tolist()):
+                            values[i] = row_
+                    yield described(part.column(0), langs, values)
 
         return texts.select(row, "lang", "words", "shape").mapInArrow(look_up, schema)
 
@@ -258,8 +283,8 @@ def with_features(texts: DataFrame, row: str, known: DataFrame, languages: list[
                 if words is None:
                     values.append(None)
                     continue
-                times = [w["times"] for w in words]
-                values.append(_features(*(np.repeat([w[c] for w in words], times) for c in ("surprisal", "rarity", "length")), shape, len(words)))
+                each = np.repeat(np.array([[w[c] for c in ("surprisal", "rarity", "length")] for w in words], float), [w["times"] for w in words], 0)
+                values.append(_features(each, np.array([len(each)]), np.array([shape]), np.array([len(words)]))[0].tolist())
             yield described(batch.column(0), langs, values)
 
     return texts.select(row, "lang", "shape").join(found, row, "left").select(row, "lang", "shape", "each").mapInArrow(gathered, schema)
