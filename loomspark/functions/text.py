@@ -51,8 +51,8 @@ def preview(text: Column, most: int = 200) -> Column:
 
 
 def layer_of_file(name: Column) -> Column:
-    """``<layer>_regen.jsonl`` -> layer."""
-    return F.regexp_replace(F.regexp_replace(name, r"\.jsonl$", ""), r"_regen$", "")
+    """``<layer>_regen.jsonl`` -> layer; also of a file that is one of several, ``<layer>_regen-00001.jsonl``."""
+    return F.regexp_replace(F.regexp_replace(name, r"(?:-\d{5})?\.jsonl$", ""), r"_regen$", "")
 
 
 def error_path(path: Column) -> Column:

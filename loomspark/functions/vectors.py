@@ -88,10 +88,6 @@ def transpose(x: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(x[0])), lambda h: F.transform(x, lambda t: F.element_at(t, h)))
 
 
-def right_pad(x: Column, length: Column, value: Column) -> Column:
-    return F.concat(x, F.array_repeat(value, F.greatest(length - F.size(x), F.lit(0))))
-
-
 def step_weights(steps: int, gamma: float) -> list[float]:
     """``exp(-k / gamma)`` per step, unnormalised; all 1 for gamma <= 0."""
     import math

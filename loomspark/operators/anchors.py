@@ -18,10 +18,11 @@ def tokenised(records: DataFrame, id_: str, messages: str, max_length: int = 409
     mark = "\x01"
     cut = F.regexp_replace("text", r"(?d)(<\|turn>model\n(?:<\|channel>thought\n<channel\|>)?)([\s\S]*?(?:<turn\|>\n|$))", f"$1{mark}$2{mark}")
     pieces = text.select(id_, F.split(cut, mark).alias("pieces"))
-    counted = pieces.select(
+    found = pieces.select(id_, F.transform("pieces", lambda p: words(p)).alias("found"))
+    counted = found.select(
         id_,
-        F.flatten(F.transform("pieces", lambda p: F.transform(words(p), word_id))).alias("input_ids"),
-        F.flatten(F.transform("pieces", lambda p, i: F.transform(words(p), lambda w: (i % 2).cast("tinyint")))).alias("loss_mask"),
+        F.transform(F.flatten("found"), word_id).alias("input_ids"),
+        F.flatten(F.transform("found", lambda w, i: F.array_repeat((i % 2).cast("tinyint"), F.size(w)))).alias("loss_mask"),
     )
     kept = [F.slice(c, 1, max_length).alias(c) for c in ("input_ids", "loss_mask")]
     return counted.select(id_, *kept).withColumn("attention_mask", F.transform("input_ids", lambda x: F.lit(1).cast("tinyint")))
@@ -49,7 +50,17 @@ def sampled_anchors(samples: DataFrame, id_: str, mask: str, n: int, seed: int)
 
 
 def supervised_steps(samples: DataFrame, id_: str, mask: str, steps: int) -> DataFrame:
-    """``(step, n)``: anchors whose place ``anchor + step + 1`` is supervised, for each step."""
-    anchors = samples.select(id_, mask, F.explode(valid_anchors(F.col(mask))).alias("t"))
-    each = anchors.select(F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.when(F.coalesce(F.get(F.col(mask), F.col("t") + k + 1), F.lit(0)) == 1, k)), lambda k: k.isNotNull())).alias("step"))
-    return each.groupBy("step").agg(F.count("*").alias("n"))
+    """``(step, n)``: anchors whose place ``anchor + step + 1`` is supervised, for each step that has any.
+
+    Each sample counts within itself; only ``steps`` numbers leave it.
+    """
+    at = samples.select(F.col(mask).alias("mask"), valid_anchors(F.col(mask)).alias("valid"))
+    each = [F.size(F.filter("valid", lambda t: F.coalesce(F.get(F.col("mask"), t + k + 1), F.lit(0)) == 1)) for k in range(steps)]  # noqa: B023 - used at once
+    sums = at.agg(*[F.sum(n).alias(f"_{k}") for k, n in enumerate(each)])
+    rows = F.array(*[F.struct(F.lit(k).alias("step"), F.col(f"_{k}").cast("long").alias("n")) for k in range(steps)])
+    return sums.select(F.explode(rows).alias("x")).select("x.step", "x.n").where("n > 0")
+
+
+def anchors_for(mask: Column, skip: int, steps: int) -> Column:
+    """Valid places but the first ``skip``, that leave ``steps`` and one more places after them."""
+    return F.filter(F.slice(valid_anchors(mask), skip + 1, 1 << 30), lambda t: t < F.size(mask) - 1 - steps)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,6 +17,8 @@ KV = {"kv_full_k": (2, 512), "kv_full_v": (2, 512), "kv_slide_k": (8, 256), "kv_
 HIDDEN = 2816
 FIELDS = ("input_ids", "loss_mask", "last_hidden", *KV)
 SHARD_BYTES = 64 * 1024**3
+SHARD_NAME = "shard-%05d.bin"
+_RECORD = np.dtype([("sample_id", "<i8"), ("shard_id", "<i4"), ("seq_len", "<i4"), *[(f"off_{f}", "<i8") for f in FIELDS]])
 
 
 def field_bytes(tokens: Column, hidden: int = HIDDEN, kv: dict[str, tuple[int, int]] = KV) -> dict[str, Column]:
@@ -112,13 +115,77 @@ def merged_index(rolled: DataFrame, tokens: DataFrame, hidden: int = HIDDEN, kv:
 
 def manifest(index: DataFrame, hidden: int = HIDDEN, kv: dict[str, tuple[int, int]] = KV) -> DataFrame:
     """One row: what a reader must know of a cache."""
-    names = F.transform(F.sequence(F.lit(0), F.max("shard_id")), lambda i: F.struct(i.alias("shard_id"), F.format_string("shard_%05d.bin", i).alias("file_name")))
+    names = F.transform(F.sequence(F.lit(0), F.max("shard_id")), lambda i: F.struct(i.alias("shard_id"), F.format_string(SHARD_NAME, i).alias("file_name")))
     dims = F.create_map(*[x for k, (h, d) in kv.items() for x in (F.lit(k), F.array(F.lit(h), F.lit(d)))])
     return index.agg(F.lit(VERSION).alias("version"), F.count("*").alias("num_samples"), (F.max("shard_id") + 1).alias("num_shards"), F.lit(INDEX_RECORD).alias("index_record_size"),
                      F.lit(hidden).alias("hidden_size"), names.alias("shards")).withColumn("kv_dims", dims)
 
 
-def index_checks(index: DataFrame, expected: Column | None = None) -> DataFrame:
+def index_records(index: DataFrame) -> DataFrame:
+    """``(sample_id, record BINARY)``: each index row as the format's record of fixed size."""
+    names = _RECORD.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.empty(batch.num_rows, _RECORD)
+            for i, name in enumerate(names):
+                rows[name] = batch.column(i).to_numpy(zero_copy_only=False)
+            raw = rows.tobytes()
+            cuts = range(0, len(raw), INDEX_RECORD)
+            yield pa.record_batch([batch.column(0), pa.array([raw[a : a + INDEX_RECORD] for a in cuts], pa.binary())], names=["sample_id", "record"])
+
+    return index.select(*[F.col(c).cast("int" if _RECORD[c].itemsize == 4 else "long") for c in names]).mapInArrow(run, "sample_id long, record binary")
+
+
+def decoded_index(records: DataFrame) -> DataFrame:
+    """The index rows of records; a record of another size fails the job."""
+    schema = ", ".join(f"{c} {'int' if _RECORD[c].itemsize == 4 else 'long'}" for c in _RECORD.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(0).to_pylist()
+            if any(len(r) != INDEX_RECORD for r in held):
+                raise ValueError(f"an index record has not {INDEX_RECORD} bytes")
+            rows = np.frombuffer(b"".join(held), _RECORD)
+            yield pa.record_batch([pa.array(np.ascontiguousarray(rows[c])) for c in _RECORD.names], names=list(_RECORD.names))
+
+    return records.select("record").mapInArrow(run, schema)
+
+
+def missing_shards(manifest_: DataFrame, files: DataFrame) -> DataFrame:
+    """``(shard_id, file_name)`` of the manifest's shards that ``files(file_name)`` doesn't list."""
+    named = manifest_.select(F.explode("shards").alias("s")).select("s.shard_id", "s.file_name")
+    return named.join(files.select("file_name").distinct(), "file_name", "left_anti").select("shard_id", "file_name")
+
+
+def manifest_checks(manifest_: DataFrame, records: DataFrame, files: DataFrame) -> DataFrame:
+    """``(check_name, ok)``: what a reader asserts before it reads: version, record size, an index, its bytes, shard ids in a row from 0, shard files, samples.
+
+    ``manifest_`` has one row, ``records(record)`` is the index as bytes, ``files(file_name)`` the listing of the folder.
+    """
+    held = records.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.octet_length("record")), F.lit(0)).alias("bytes"))
+    lost = missing_shards(manifest_, files).agg(F.count("*").alias("lost"))
+    m = manifest_.crossJoin(F.broadcast(held)).crossJoin(F.broadcast(lost))  # one row each
+    in_a_row = F.forall(F.transform("shards", lambda s, i: s["shard_id"] == i), lambda x: x)
+    checks = {
+        "version": F.col("version") == VERSION, "record_size": F.col("index_record_size") == INDEX_RECORD, "index_exists": F.col("records") > 0,
+        "index_bytes": F.col("bytes") == F.col("num_samples") * INDEX_RECORD, "shards_in_a_row": in_a_row & (F.size("shards") == F.col("num_shards")), "shard_files": F.col("lost") == 0,
+        "num_samples": F.col("records") == F.col("num_samples"),
+    }
+    return m.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check_name"), F.coalesce(v, F.lit(False)).alias("ok")) for k, v in checks.items()])).alias("x")).select("x.check_name", "x.ok")
+
+
+def looked_up(index: DataFrame, ordinals: DataFrame) -> DataFrame:
+    """The index rows of ``ordinals(sample_id)``, each as often as it is asked for. A point read; the filter of a range is pushed to the files."""
+    return ordinals.join(index, "sample_id")
+
+
+def limited(ordered: DataFrame, ordinal: str, limit: int) -> DataFrame:
+    """Rows whose ordinal is below the limit, before any is given to a rank; 0 means no limit."""
+    return ordered.where(F.col(ordinal) < limit) if limit else ordered
+
+
+def index_checks(index: DataFrame) -> DataFrame:
     """``(check_name, ok)``: density of sample and shard ids, lengths, and offsets that follow the sizes of the fields."""
     n = index.agg(
         (F.count("*") == F.max("sample_id") - F.min("sample_id") + 1).alias("dense_samples"),
@@ -127,7 +194,6 @@ def index_checks(index: DataFrame, expected: Column | None = None) -> DataFrame:
         (F.countDistinct("shard_id") == F.max("shard_id") + 1).alias("dense_shards"),
         F.coalesce(F.min(F.col("seq_len") > 0), F.lit(True)).alias("positive_lengths"),
         F.coalesce(F.min((F.col("off_loss_mask") - F.col("off_input_ids") == F.col("seq_len") * 4) & (F.col("off_last_hidden") - F.col("off_loss_mask") == F.col("seq_len"))), F.lit(True)).alias("offsets_follow_fields"),
-        (F.count("*") * INDEX_RECORD == F.sum(F.lit(INDEX_RECORD))).alias("index_size"),
     )
     names = n.columns
     return n.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check_name"), F.coalesce(F.col(c), F.lit(False)).alias("ok")) for c in names])).alias("x")).select("x.check_name", "x.ok")

@@ -47,3 +47,9 @@ def regenerate(rows: DataFrame, row: str, messages: str, completer: Completer =
     if endpoints > 1:
         asked = asked.repartition(endpoints)
     return asked.mapInArrow(run, f"{row} {kind}, conversations array<struct<role:string,content:string>>, status string, error string")
+
+
+def reshaped(rows: DataFrame, messages: str, answered: DataFrame, row: str) -> DataFrame:
+    """Input rows with their new conversation: the field ``messages`` is dropped from rows that were answered, the rest kept."""
+    both = rows.join(answered, row)
+    return both.withColumn(messages, F.when(F.col("status") == "error", F.col(messages)))

@@ -2,55 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-MOST_QUERY_VALUES = 1 << 22
-
 
-def nearest_by_cosine(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, block: int = 4096) -> DataFrame:
+def nearest_by_cosine(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, query_block: int = 4096, block: int = 65_536) -> DataFrame:
     """``(id, near, cosine)``: for each query the vector of greatest cosine but itself; ties go to the smaller id.
 
-    Every vector is compared with every query, as blocks of one matrix product each; each task keeps one best per
-    query and block of queries, and these are reduced by query. Queries travel in blocks of at most ``MOST_QUERY_VALUES``
-    numbers, so a task's memory doesn't grow with their number: there is one pass over the vectors for each block.
+    Every vector is compared with every query. Both are dealt to blocks by a hash; a task multiplies one block of queries with
+    one of vectors and leaves a best per query, and these are reduced by query. Nothing is collected, and what a task
+    holds is bounded by the sizes of the blocks, whatever the numbers of queries and vectors.
     """
-    width = queries.select(F.max(F.size(vector)).alias("w")).first()["w"] or 1
-    per_block = max(1, MOST_QUERY_VALUES // width)
-    n = queries.count()
-    blocks = max(1, -(-n // per_block))
-    out = None
-    for b in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64(id_), F.lit(blocks)) == b).select(id_, vector).collect() if blocks > 1 else queries.select(id_, vector).collect()
-        part = vectors.select(id_, vector).mapInArrow(_best([r[0] for r in mine], [r[1] for r in mine], block), f"{id_} bigint, near bigint, cosine double")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(id_).agg(F.max_by("near", F.struct("cosine", (-F.col("near")).alias("n"))).alias("near"), F.max("cosine").alias("cosine"))
-
-
-def _best(ids: list[int], rows: list[list[float]], block: int):
-    q = np.array(rows, np.float64).reshape(len(ids), -1)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-6)
-    names = np.array(ids, np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, near = np.full(len(names), -np.inf), np.zeros(len(names), np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                x = np.array(part.column(1).to_pylist(), np.float64)
-                who = part.column(0).to_numpy()
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
-                c = q @ x.T
-                c[names[:, None] == who[None, :]] = -np.inf
-                top = c.max(1)
-                # The smallest id among equals, here and against what was found before.
-                first = np.where(c == top[:, None], who[None, :], np.iinfo(np.int64).max).min(1)
-                better = (top > best) | ((top == best) & (first < near))
-                best, near = np.where(better, top, best), np.where(better, first, near)
-        ok = np.isfinite(best)
-        yield pa.record_batch([pa.array(names[ok]), pa.array(near[ok]), pa.array(best[ok])], names=["id", "near", "cosine"])
-
-    return run
+    q = max(1, -(-queries.count() // query_block))
+    v = max(1, -(-vectors.count() // block))
+    dealt = lambda n: F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(id_, vector, dealt(q).alias("_q"), every(v).alias("_v"))
+    held = vectors.select(id_, vector, every(q).alias("_q"), dealt(v).alias("_v"))
+    best = asked.groupBy("_q", "_v").cogroup(held.groupBy("_q", "_v")).applyInArrow(lambda a, b: _best(a, b), f"{id_} bigint, near bigint, cosine double")
+    return best.groupBy(id_).agg(F.max_by("near", F.struct("cosine", (-F.col("near")).alias("n"))).alias("near"), F.max("cosine").alias("cosine"))
+
+
+def _unit(rows: pa.ChunkedArray) -> np.ndarray:
+    x = np.array(rows.to_pylist(), np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
+
+
+def _best(asked: pa.Table, held: pa.Table, at_once: int = 4096) -> pa.Table:
+    names = asked.column(0).to_numpy()
+    best, near = np.full(len(names), -np.inf), np.zeros(len(names), np.int64)
+    if len(names) and held.num_rows:
+        q = _unit(asked.column(1))
+        for at in range(0, held.num_rows, at_once):
+            part = held.slice(at, at_once)
+            who = part.column(0).to_numpy()
+            c = q @ _unit(part.column(1)).T
+            c[names[:, None] == who[None, :]] = -np.inf
+            top = c.max(1)
+            # The smallest id among equals, here and against what was found before.
+            first = np.where(c == top[:, None], who[None, :], np.iinfo(np.int64).max).min(1)
+            better = (top > best) | ((top == best) & (first < near))
+            best, near = np.where(better, top, best), np.where(better, first, near)
+    ok = np.isfinite(best)
+    return pa.table([pa.array(names[ok]), pa.array(near[ok]), pa.array(best[ok])], names=[asked.schema.names[0], "near", "cosine"])

@@ -85,7 +85,7 @@ def skeleton_error(messages: Column) -> Column:
     roles = F.transform(messages, lambda m: F.coalesce(m["role"], F.lit("?")))
     return (
         F.when(messages.isNull() | (F.size(messages) == 0), "missing conversations")
-        .when(F.get(roles, 0) == "assistant", "conversation begins with an assistant")
+        .when(F.get(roles, 0) == "assistant", "conversation starts with assistant")
         .when(F.exists(roles, lambda r: ~r.isin("system", "user", "assistant")), F.concat(F.lit("invalid role: "), F.get(F.filter(roles, lambda r: ~r.isin("system", "user", "assistant")), 0)))
     )
 

@@ -10,9 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loomspark.functions import stats, text as tx, vectors as vx
-from loomspark.operators import anchors, cache, complete, profile, routing
 from loomspark.functions.records import effective_id, effective_layer
-from loomspark.runtime import materialize, shared_dir, table
+from loomspark.operators import anchors, cache, complete, profile, routing
+from loomspark.plans import stages
+from loomspark.runtime import materialize, shared_dir, table, write_counted, written
 from loomspark.sources import jsonl
 
 QUERIES: dict = {}
@@ -55,6 +56,14 @@ def conv_normalised(spark, sf_dir):
     return p.select("row_id", profile.profile_id(F.col("id"), F.col("prompt_hash")).alias("profile_id"), effective_id(F.col("id"), F.col("layer"), F.col("prompt_hash")).alias("composite_id"), "layer", size.alias("messages"))
 
 
+@query(f"""SELECT row_id, coalesce(nullif(id, ''), {_LAYER_SQL} || ':' || prompt_hash) AS id, coalesce({_LAYER_SQL}, '?') AS source_layer, CASE WHEN len(prompt_messages) > 0 AND coalesce(prompt_messages[1].role, '?') <> 'assistant' AND len(list_filter(prompt_messages, lambda m: coalesce(m.role, '?') NOT IN ('system', 'user', 'assistant'))) = 0 THEN 'conversations' ELSE 'prompt_messages' END AS held FROM raw_prompts""")
+def conv_reshaped(spark, sf_dir):
+    """Rows as they leave regeneration: the prompt's field gives way to the conversation's, id and layer are added where absent."""
+    done = complete.reshaped(_prompts(spark, sf_dir), "prompt_messages", complete.regenerate(_prompts(spark, sf_dir), "row_id", "prompt_messages"), "row_id")
+    held = F.when(F.col("conversations").isNotNull(), "conversations").when(F.col("status") == "error", "prompt_messages")
+    return done.select("row_id", effective_id(F.col("id"), F.col("layer"), F.col("prompt_hash")).alias("id"), F.coalesce("layer", F.lit("?")).alias("source_layer"), held.alias("held"))
+
+
 @query(f"""SELECT {_LAYER_SQL} AS layer, count(*) AS n_rows, count(*) FILTER (prompt_messages IS NULL) AS n_bad, count(*) FILTER (len(prompt_messages) = 0) AS empty_conv,
  count(*) FILTER (len(prompt_messages) > 0 AND coalesce(prompt_messages[1].role, '?') <> 'user') AS first_not_user FROM raw_prompts GROUP BY 1""")
 def conv_counters(spark, sf_dir):
@@ -227,7 +236,7 @@ def route_status(spark, sf_dir):
 
 def _jsonl_copy(spark, sf_dir):
     """The prompts as JSON Lines in the shared folder, one folder per layer."""
-    path = f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}"
+    path = written(f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}")
     rows = _prompts(spark, sf_dir).select("row_id", "user_id", "prompt_hash", "id", "source_layer", "prompt_messages", F.col("layer").alias("part"))
     jsonl.write(rows, path, by="part")
     return path
@@ -250,10 +259,48 @@ def jsonl_line_count(spark, sf_dir):
     return spark.read.text(f"{_jsonl_copy(spark, sf_dir)}/part=*").agg(F.count("*").alias("lines"))
 
 
-@query(f"SELECT {_LAYER_SQL} AS layer, count(*) AS rows FROM regen_rows GROUP BY 1")
+def _folder(spark):
+    """A new folder beside the written tables, for files with names of their own."""
+    return written(f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}")
+
+
+@query(f"SELECT {_LAYER_SQL} AS layer, count(*) AS rows, count(*) FILTER (status = 'error') AS failed FROM regen_rows GROUP BY 1")
 def jsonl_layer_of_file(spark, sf_dir):
-    """Layer from the file's name: the table stands for the folder's files."""
-    return _regen(spark, sf_dir).select(tx.layer_of_file(F.concat(F.col("layer"), F.lit("_regen.jsonl"))).alias("layer")).groupBy("layer").agg(F.count("*").alias("rows"))
+    """A folder of files named by layer, written and read again; the layer is the file's name."""
+    folder = _folder(spark)
+    jsonl.write_files(_regen(spark, sf_dir).select("regen_id", "id", "status", "conversations", "layer"), folder, "layer", "{}_regen.jsonl", parts=2)
+    rows = jsonl.parse(jsonl.read_lines(spark, folder, "*_regen*.jsonl"))
+    return rows.groupBy(F.col("file_layer").alias("layer")).agg(F.count("*").alias("rows"), F.count_if(F.col("status") == "error").alias("failed"))
+
+
+@query("""SELECT CASE split WHEN 'train' THEN 'train' ELSE 'eval' END AS split, coalesce(nullif(source_layer, '?'), 'layer0') AS layer, count(*) AS rows, count(DISTINCT id) FILTER (id <> '') AS ids FROM split_rows WHERE split IN ('train', 'eval') GROUP BY 1, 2""")
+def split_files(spark, sf_dir):
+    """The files of a split folder: a file of training rows per layer, and one of held-out rows per layer below it."""
+    folder = _folder(spark)
+    rows = table(spark, sf_dir, "split_rows").select("id", "split", "status", "conversations", F.coalesce(F.nullif("source_layer", F.lit("?")), F.lit("layer0")).alias("source_layer")).withColumn("layer", F.col("source_layer"))
+    jsonl.write_files(rows.where("split = 'train'").drop("split"), folder, "layer", "train_{}.jsonl")
+    jsonl.write_files(rows.where("split = 'eval'").drop("split"), f"{folder}/eval_datasets", "layer")
+    lines = jsonl.read_split_files(spark, folder)
+    both = jsonl.parse(lines.where("split = 'train'")).withColumn("split", F.lit("train")).unionByName(jsonl.parse(lines.where("split = 'eval'")).withColumn("split", F.lit("eval")))
+    return both.groupBy("split", F.col("file_layer").alias("layer")).agg(F.count("*").alias("rows"), F.count_distinct(F.nullif("id", F.lit(""))).alias("ids"))
+
+
+@query(f"""WITH l AS (SELECT {_LAYER_SQL} AS layer, count(*) AS rows, count(*) FILTER (prompt_messages IS NULL OR len(prompt_messages) = 0) AS empty FROM raw_prompts GROUP BY 1)
+ SELECT layer, 'ran' AS said, rows, empty FROM l UNION ALL SELECT 'layer0_missing', 'no input file', NULL, NULL""")
+def layer_loop(spark, sf_dir):
+    """Each layer's prompts as a file, regenerated one after another; a layer without a file is skipped."""
+    source, out, final = _folder(spark), _folder(spark), _folder(spark)
+    jsonl.write_files(_prompts(spark, sf_dir).select("row_id", "id", "prompt_hash", "prompt_messages", "layer"), source, "layer")
+    layers = sorted(r["layer"] for r in _prompts(spark, sf_dir).select("layer").distinct().collect())  # the values that name files
+
+    def run(lines, layer):
+        rows = jsonl.parse(lines).withColumn("n", F.monotonically_increasing_id())
+        return complete.regenerate(rows, "n", "messages").select("conversations", "status", "error")
+
+    said = stages.run_layers(spark, source, out, run, [*layers, "layer0_missing"], final)
+    done = jsonl.parse(jsonl.read_lines(spark, final, "*_regen.jsonl"))
+    counts = done.groupBy(F.col("file_layer").alias("layer")).agg(F.count("*").alias("rows"), F.count_if(F.col("error") == "missing conversations").alias("empty"))
+    return spark.createDataFrame(list(said.items()), "layer string, said string").join(counts, "layer", "left")
 
 
 @query("""SELECT event_id, k.unnest AS key, coalesce(json_extract_string(props, '$.' || k.unnest), '(absent)') AS value FROM events, unnest(['k', 'missing']) AS k""")
@@ -266,7 +313,7 @@ def stream_routes(spark, sf_dir):
     """A streaming query over JSON Lines files, run until nothing is left."""
     from loomspark.streaming.ingest import route_by_status, stream_records
 
-    base = f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}"
+    base = written(f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}")
     jsonl.write(table(spark, sf_dir, "regen_rows").select("id", "source_layer", "status", "error", "conversations"), f"{base}/in")
     route_by_status(stream_records(spark, f"{base}/in"), f"{base}/good", f"{base}/bad", f"{base}/checkpoint").awaitTermination()
     parts = [spark.read.parquet(f"{base}/{s}").select(F.lit(s).alias("status")) for s in ("good", "bad")]
@@ -290,11 +337,11 @@ def render_text(spark, sf_dir):
     return _usable(spark, sf_dir).select("regen_id", tx.render(F.col("conversations")).alias("text")).where("text IS NOT NULL")
 
 
-@query("""SELECT regen_id, list_transform(list_filter(conversations, lambda m: m.role = 'assistant'), lambda m: (CASE WHEN starts_with(m.content, '<|channel>thought' || chr(10) || '<channel|>') THEN substr(m.content, 29) ELSE m.content END) || '<turn|>' || chr(10)) AS spans
- FROM regen_rows WHERE (status IS NULL OR status = 'success') AND len(conversations) > 0 AND len(list_filter(conversations, lambda m: m.role IS NULL OR m.role NOT IN ('system', 'user', 'assistant') OR (m.role = 'assistant' AND m.content IS NULL))) = 0
-  AND len(list_filter(conversations, lambda m: contains(m.content, '<turn|>' || chr(10)))) = 0""")
+@query(f"""WITH {_RENDER_SQL}, s AS (SELECT regen_id, string_split(text, '<|turn>model' || chr(10)) AS p FROM rendered)
+ SELECT regen_id, list_transform(p[2:], lambda x: CASE WHEN starts_with(x, '<|channel>thought' || chr(10) || '<channel|>') THEN substr(t(x), 29) ELSE t(x) END) AS spans FROM s""".replace("t(x)", "(CASE WHEN contains(x, '<turn|>' || chr(10)) THEN substr(x, 1, instr(x, '<turn|>' || chr(10)) + 7) ELSE x END)"))
 def assistant_spans(spark, sf_dir):
-    rows = _usable(spark, sf_dir).where(~F.exists("conversations", lambda m: F.coalesce(F.contains(m["content"], F.lit(tx.END_OF_TURN)), F.lit(False))))
+    """Of all usable rows, also those whose contents hold an end-of-turn marker: it ends the span."""
+    rows = _usable(spark, sf_dir)
     return rows.select("regen_id", tx.render(F.col("conversations")).alias("t")).where("t IS NOT NULL").select("regen_id", tx.assistant_spans(F.col("t")).alias("spans"))
 
 
@@ -430,19 +477,80 @@ def cache_index(spark, sf_dir):
     return _index(spark, sf_dir)
 
 
-@query(f"WITH RECURSIVE {_ROLL_SQL}, {_GLOBAL_SQL} SELECT {cache.VERSION} AS version, (SELECT count(*) FROM roll) AS num_samples, CAST(max(shard_id) + 1 AS INT) AS num_shards, {cache.INDEX_RECORD} AS index_record_size, {cache.HIDDEN} AS hidden_size, 'shard_' || lpad(CAST(max(shard_id) AS VARCHAR), 5, '0') || '.bin' AS last_file FROM g")
+@query(f"WITH RECURSIVE {_ROLL_SQL}, {_GLOBAL_SQL} SELECT {cache.VERSION} AS version, (SELECT count(*) FROM roll) AS num_samples, CAST(max(shard_id) + 1 AS INT) AS num_shards, {cache.INDEX_RECORD} AS index_record_size, {cache.HIDDEN} AS hidden_size, 'shard-' || lpad(CAST(max(shard_id) AS VARCHAR), 5, '0') || '.bin' AS last_file FROM g")
 def cache_manifest(spark, sf_dir):
     m = cache.manifest(_index(spark, sf_dir))
     return m.select("version", "num_samples", "num_shards", "index_record_size", "hidden_size", F.element_at("shards", -1)["file_name"].alias("last_file"))
 
 
 @query("""WITH o AS (SELECT count(*) = max(sample_id) - min(sample_id) + 1 AS dense_samples, min(sample_id) = 0 AS samples_from_0, count(sample_id) = count(DISTINCT sample_id) AS unique_samples, count(DISTINCT shard_id) = max(shard_id) + 1 AS dense_shards,
-  bool_and(seq_len > 0) AS positive_lengths, bool_and(off_loss_mask - off_input_ids = CAST(seq_len AS BIGINT) * 4 AND off_last_hidden - off_loss_mask = seq_len) AS offsets_follow_fields, true AS index_size FROM sample_index)
+  bool_and(seq_len > 0) AS positive_lengths, bool_and(off_loss_mask - off_input_ids = CAST(seq_len AS BIGINT) * 4 AND off_last_hidden - off_loss_mask = seq_len) AS offsets_follow_fields FROM sample_index)
  SELECT name AS check_name, value AS ok FROM (UNPIVOT o ON COLUMNS(*))""")
 def cache_checks(spark, sf_dir):
     return cache.index_checks(table(spark, sf_dir, "sample_index"))
 
 
+@query(f"WITH RECURSIVE {_ROLL_SQL}, {_GLOBAL_SQL} SELECT shard_id, 'shard-' || lpad(CAST(shard_id AS VARCHAR), 5, '0') || '.bin' AS file_name FROM g WHERE shard_id % 3 = 1")
+def cache_missing_shards(spark, sf_dir):
+    """Shards of the manifest without a file, in a listing that lacks every third."""
+    m = materialize(cache.manifest(_index(spark, sf_dir)))
+    listed = m.select(F.explode("shards.file_name").alias("file_name")).where(F.substring("file_name", 7, 5).cast("int") % 3 != 1)
+    return cache.missing_shards(m, listed)
+
+
+@query(f"""WITH RECURSIVE {_ROLL_SQL}, {_GLOBAL_SQL}, tops AS (SELECT max(shard_id) AS top, count(*) AS shards FROM g)
+ SELECT unnest(['version', 'record_size', 'index_exists', 'index_bytes', 'shards_in_a_row', 'shard_files', 'num_samples']) AS check_name,
+  unnest([true, true, (SELECT count(*) FROM roll) > 0, (SELECT count(*) FROM sample_index) = (SELECT count(*) FROM roll), top + 1 = shards, false, (SELECT count(DISTINCT sample_id) FROM sample_index) = (SELECT count(*) FROM roll)]) AS ok FROM tops""")
+def cache_manifest_checks(spark, sf_dir):
+    """The checks of a manifest against the index as bytes and a listing that lacks the last shard's file."""
+    index = materialize(_index(spark, sf_dir))
+    m = cache.manifest(index)
+    listed = index.select("shard_id").distinct().where(F.col("shard_id") != index.agg(F.max("shard_id")).first()[0]).select(F.format_string(cache.SHARD_NAME, "shard_id").alias("file_name"))
+    return cache.manifest_checks(m, cache.index_records(index), listed)
+
+
+@query("SELECT sample_id, shard_id, seq_len, off_input_ids, off_loss_mask, off_last_hidden, off_kv_full_k, off_kv_full_v, off_kv_slide_k, off_kv_slide_v FROM sample_index")
+def cache_index_bytes(spark, sf_dir):
+    """The index as records of 72 bytes, and back."""
+    return cache.decoded_index(cache.index_records(table(spark, sf_dir, "sample_index")))
+
+
+@query("SELECT shard_id, count(*) AS samples, CAST(sum(seq_len) AS BIGINT) AS tokens FROM sample_index WHERE sample_id BETWEEN 100 AND 399 GROUP BY shard_id")
+def cache_range_read(spark, sf_dir):
+    """A range of ordinals: the filter is pushed to the files."""
+    return table(spark, sf_dir, "sample_index").where("sample_id BETWEEN 100 AND 399").groupBy("shard_id").agg(F.count("*").alias("samples"), F.sum(F.col("seq_len").cast("bigint")).alias("tokens"))
+
+
+@query("SELECT i.doc_id, s.sample_id, s.shard_id, s.seq_len, s.off_input_ids FROM documents i JOIN sample_index s ON s.sample_id = i.doc_id * 7")
+def cache_point_reads(spark, sf_dir):
+    """Single samples, by a list of ordinals."""
+    asked = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 7).alias("sample_id"))
+    return cache.looked_up(table(spark, sf_dir, "sample_index"), asked).select("doc_id", "sample_id", "shard_id", "seq_len", "off_input_ids")
+
+
+@query("SELECT count(*) AS rows, CAST(sum(seq_len) AS BIGINT) AS tokens FROM sample_index")
+def cache_written(spark, sf_dir):
+    """Samples written, counted while written and read back."""
+    path = _folder(spark)
+    write_counted(table(spark, sf_dir, "sample_index"), path)
+    return spark.read.parquet(path).agg(F.count("*").alias("rows"), F.sum(F.col("seq_len").cast("bigint")).alias("tokens"))
+
+
+@query("""WITH u AS (SELECT regen_id, row_number() OVER (ORDER BY regen_id) - 1 AS ordinal FROM regen_rows WHERE (status IS NULL OR status = 'success') AND len(conversations) > 0)
+ SELECT CAST(ordinal % 4 AS INT) AS modulo_rank, count(*) AS rows, max(ordinal) AS last FROM u WHERE ordinal < 500 GROUP BY 1""")
+def shard_ranks_limited(spark, sf_dir):
+    """A limit on the usable rows holds before they are dealt to ranks: it is the feature here."""
+    u = cache.limited(cache.dense_ordinal(_usable(spark, sf_dir).select("regen_id"), ["regen_id"], "ordinal"), "ordinal", 500)
+    return u.groupBy(cache.modulo_rank(F.col("ordinal"), 4).alias("modulo_rank")).agg(F.count("*").alias("rows"), F.max("ordinal").alias("last"))
+
+
+@query(f"WITH {_samples_sql()}, {_VALID_SQL}, a AS (SELECT regen_id, list_filter(v[3:], lambda t: t < len(mask) - 1 - 5) AS a FROM valid) SELECT regen_id, CAST(len(a) AS INT) AS anchors, CAST(a[1] AS INT) AS first_anchor, CAST(a[len(a)] AS INT) AS last_anchor FROM a")
+def anchor_positions(spark, sf_dir):
+    """Anchors after the first two that leave five steps and one more place."""
+    a = _masks(spark, sf_dir).withColumn("a", anchors.anchors_for(F.col("mask"), 2, 5))
+    return a.select("regen_id", F.size("a").alias("anchors"), F.get("a", 0).alias("first_anchor"), F.try_element_at("a", F.lit(-1)).alias("last_anchor"))
+
+
 @query(f"SELECT shard_id, count(*) AS samples, CAST(sum(seq_len) AS BIGINT) AS tokens, CAST(sum(CAST(seq_len AS BIGINT) * {_BYTES}) AS BIGINT) AS nbytes FROM sample_index GROUP BY shard_id")
 def cache_shard_totals(spark, sf_dir):
     return cache.shard_totals(table(spark, sf_dir, "sample_index"))
@@ -476,11 +584,11 @@ def shuffle_epoch(spark, sf_dir):
     return cache.dense_ordinal(d, ["k", "doc_id"], "place").select("doc_id", "place")
 
 
-@query("""WITH f AS (SELECT label, embedding, list_position(embedding, list_max(embedding)) AS t0, round(sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * v))), 3) AS n FROM embeddings)
- SELECT count(DISTINCT label) AS ids, count(DISTINCT n) AS norms, count(DISTINCT t0) AS tops, CASE WHEN count(DISTINCT label) > 1 AND count(DISTINCT n) = 1 THEN 'reads are broken' WHEN count(DISTINCT n) > 1 AND count(DISTINCT t0) = 1 THEN 'argmax is broken' WHEN count(DISTINCT n) > 1 AND count(DISTINCT t0) > 1 THEN 'fine' ELSE 'inconclusive' END AS verdict FROM f""")
+@query("""WITH f AS (SELECT label, embedding, list_position(embedding, list_max(embedding)) AS t0, list_position(embedding[2:], list_max(embedding[2:])) AS t1, round(sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * v))), 3) AS n FROM embeddings)
+ SELECT count(DISTINCT label) AS ids, count(DISTINCT n) AS norms, count(DISTINCT t0) AS tops, count(DISTINCT t1) AS next_tops, CASE WHEN count(DISTINCT label) > 1 AND count(DISTINCT n) = 1 THEN 'reads are broken' WHEN count(DISTINCT n) > 1 AND count(DISTINCT t0) = 1 THEN 'argmax is broken' WHEN count(DISTINCT n) > 1 AND count(DISTINCT t0) > 1 THEN 'fine' ELSE 'inconclusive' END AS verdict FROM f""")
 def cache_sanity(spark, sf_dir):
     e = vx.doubles(F.col("embedding"))
-    f = table(spark, sf_dir, "embeddings").select("label", F.round(vx.norm(e), 3).alias("n"), vx.argmax(e).alias("t0"))
-    c = f.agg(F.count_distinct("label").alias("ids"), F.count_distinct("n").alias("norms"), F.count_distinct("t0").alias("tops"))
+    f = table(spark, sf_dir, "embeddings").select("label", F.round(vx.norm(e), 3).alias("n"), vx.argmax(e).alias("t0"), vx.argmax(F.slice(e, 2, 1 << 30)).alias("t1"))
+    c = f.agg(F.count_distinct("label").alias("ids"), F.count_distinct("n").alias("norms"), F.count_distinct("t0").alias("tops"), F.count_distinct("t1").alias("next_tops"))
     verdict = F.when((F.col("ids") > 1) & (F.col("norms") == 1), "reads are broken").when((F.col("norms") > 1) & (F.col("tops") == 1), "argmax is broken").when((F.col("norms") > 1) & (F.col("tops") > 1), "fine").otherwise("inconclusive")
     return c.withColumn("verdict", verdict)

@@ -10,6 +10,7 @@ from loomspark.operators import payload
 from loomspark.operators.nearest import nearest_by_cosine
 from loomspark.operators.readbench import read_list
 from loomspark.runtime import table
+from loomspark.sources import jsonl
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,18 +56,39 @@ def _pairs(spark, sf_dir):
 
 
 _PAIR_SQL = f"""{_E_SQL}, pr AS (SELECT a.vec_id, a.label, a.x AS d, b.x AS t FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
- sm AS (SELECT *, list_sum(list_transform(d, lambda v: exp(v))) AS zd, list_sum(list_transform(t, lambda v: exp(v))) AS zt, list_position(d, list_max(d)) AS ad, list_position(t, list_max(t)) AS at_ FROM pr),
- loss AS (SELECT vec_id, label, ad = at_ AS hit, ln(zd) - d[at_] AS argmax_ce, list_sum(list_transform(range(1, len(d) + 1), lambda i: exp(t[i]) / zt * (ln(zd) - d[i]))) AS soft_ce, list_sum(list_transform(range(1, len(d) + 1), lambda i: abs(exp(d[i]) / zd - exp(t[i]) / zt))) AS l1 FROM sm)"""
+ sm AS (SELECT *, list_sum(list_transform(d, lambda v: exp(v))) AS zd, list_sum(list_transform(t, lambda v: exp(v))) AS zt, list_position(d, list_max(d)) AS ad, list_position(t, list_max(t)) AS at_, list_sum(list_transform(d, lambda v: exp(v / 2))) AS zd2, list_sum(list_transform(t, lambda v: exp(v / 2))) AS zt2 FROM pr),
+ loss AS (SELECT vec_id, label, ad = at_ AS hit, ln(zd) - d[at_] AS argmax_ce, ln(zd) - d[label % 64 + 1] AS hard_ce, 4 * list_sum(list_transform(range(1, len(d) + 1), lambda i: exp(t[i] / 2) / zt2 * (ln(zd2) - d[i] / 2))) AS soft_ce_2, list_sum(list_transform(range(1, len(d) + 1), lambda i: exp(t[i]) / zt * (ln(zd) - d[i]))) AS soft_ce, list_sum(list_transform(range(1, len(d) + 1), lambda i: abs(exp(d[i]) / zd - exp(t[i]) / zt))) AS l1 FROM sm)"""
 
 
 def _losses(spark, sf_dir):
+    """Loss terms of each pair; the label, within the width, stands for the token that was said."""
     d, t = F.col("d"), F.col("t")
-    return _pairs(spark, sf_dir).select("vec_id", "label", (vx.argmax(d) == vx.argmax(t)).alias("hit"), vx.nll(d, vx.argmax(t)).alias("argmax_ce"), vx.soft_cross_entropy(d, t).alias("soft_ce"), vx.l1(d, t).alias("l1"))
+    said = F.pmod("label", F.lit(64)).cast("int")
+    terms = [vx.nll(d, vx.argmax(t)).alias("argmax_ce"), vx.nll(d, said).alias("hard_ce"), vx.soft_cross_entropy(d, t).alias("soft_ce"), vx.soft_cross_entropy(d, t, 2.0).alias("soft_ce_2"), vx.l1(d, t).alias("l1")]
+    return _pairs(spark, sf_dir).select("vec_id", "label", (vx.argmax(d) == vx.argmax(t)).alias("hit"), *terms)
 
 
-@query(f"WITH {_PAIR_SQL} SELECT vec_id, hit, round(argmax_ce, 6) AS argmax_ce, round(soft_ce, 6) AS soft_ce, round(l1, 6) AS l1 FROM loss")
+@query(f"WITH {_PAIR_SQL} SELECT vec_id, hit, round(argmax_ce, 6) AS argmax_ce, round(hard_ce, 6) AS hard_ce, round(soft_ce, 6) AS soft_ce, round(l1, 6) AS l1 FROM loss")
 def vec_losses(spark, sf_dir):
-    return _losses(spark, sf_dir).select("vec_id", "hit", *[F.round(c, 6).alias(c) for c in ("argmax_ce", "soft_ce", "l1")])
+    return _losses(spark, sf_dir).select("vec_id", "hit", *[F.round(c, 6).alias(c) for c in ("argmax_ce", "hard_ce", "soft_ce", "l1")])
+
+
+@query(f"""WITH {_PAIR_SQL} SELECT count(*) AS supervised, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS greedy_accept, round(avg(argmax_ce), 5) AS argmax_ce, round(avg(soft_ce_2), 5) AS soft_ce, round(avg(l1), 5) AS l1,
+ round(coalesce(avg(argmax_ce + 0.5 * soft_ce_2 + 0.2 * l1 + 0.1 * hard_ce), 0), 5) AS loss FROM loss WHERE label % 2 = 0""")
+def loss_full_sequence(spark, sf_dir):
+    """The loss of one aligned step over whole sequences: the mean over supervised places, at temperature 2; 0 without any."""
+    s = _losses(spark, sf_dir).where(F.pmod("label", F.lit(2)) == 0)
+    loss = F.avg(F.col("argmax_ce") + 0.5 * F.col("soft_ce_2") + 0.2 * F.col("l1") + 0.1 * F.col("hard_ce"))
+    means = [F.round(F.avg(c), 5).alias(n) for c, n in (("argmax_ce", "argmax_ce"), ("soft_ce_2", "soft_ce"), ("l1", "l1"))]
+    return s.agg(F.count("*").alias("supervised"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("greedy_accept"), *means, F.round(F.coalesce(loss, F.lit(0.0)), 5).alias("loss"))
+
+
+@query(f"""WITH {_PAIR_SQL} SELECT ad = at_ AS hit, count(*) AS n, round(avg(sqrt({_DOT.format(a='d', b='d')})), 6) AS draft_norm, round(avg(sqrt({_DOT.format(a='t', b='t')})), 6) AS target_norm FROM sm GROUP BY 1""")
+def norms_by_hit(spark, sf_dir):
+    """Mean norms of both sides, where they agree on the next token and where they don't."""
+    d, t = F.col("d"), F.col("t")
+    p = _pairs(spark, sf_dir).select((vx.argmax(d) == vx.argmax(t)).alias("hit"), vx.norm(d).alias("dn"), vx.norm(t).alias("tn"))
+    return p.groupBy("hit").agg(F.count("*").alias("n"), F.round(F.avg("dn"), 6).alias("draft_norm"), F.round(F.avg("tn"), 6).alias("target_norm"))
 
 
 @query(f"WITH {_PAIR_SQL} SELECT CAST(label % 5 AS INT) AS step, count(*) AS num, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS accept, round(avg(argmax_ce), 5) AS argmax_ce, round(avg(soft_ce), 5) AS soft_ce, round(avg(l1), 5) AS l1 FROM loss GROUP BY 1")
@@ -87,11 +109,11 @@ def loss_total(spark, sf_dir):
 
 @query(f"""WITH {_PAIR_SQL}, c AS (SELECT vec_id, {_DOT.format(a='d', b='t')} / (greatest(sqrt({_DOT.format(a='d', b='d')}), 1e-6) * greatest(sqrt({_DOT.format(a='t', b='t')}), 1e-6)) AS cos, list_max(list_transform(range(1, len(d) + 1), lambda i: abs(d[i] - t[i]))) AS diff, list_position(d, list_max(d)) <> list_position(t, list_max(t)) AS flip,
   sqrt({_DOT.format(a='d', b='d')}) / sqrt({_DOT.format(a='t', b='t')}) AS ratio FROM pr)
- SELECT round(min(cos), 6) AS least_cosine, round(avg(cos), 6) AS mean_cosine, round(max(diff), 6) AS most_diff, count(*) FILTER (flip) AS flips, round(avg(ratio), 6) AS mean_ratio, CASE WHEN count(*) FILTER (flip) = 0 THEN 'harmless' ELSE 'changes decisions' END AS verdict FROM c""")
+ SELECT round(min(cos), 6) AS least_cosine, round(avg(cos), 6) AS mean_cosine, round(max(diff), 6) AS most_diff, count(*) FILTER (diff = 0) AS exact, count(*) FILTER (flip) AS flips, round(avg(ratio), 6) AS mean_ratio, CASE WHEN count(*) FILTER (flip) = 0 THEN 'harmless' ELSE 'changes decisions' END AS verdict FROM c""")
 def vec_agreement(spark, sf_dir):
     d, t = F.col("d"), F.col("t")
     c = _pairs(spark, sf_dir).select(vx.cosine(d, t).alias("cos"), vx.max_abs_diff(d, t).alias("diff"), (vx.argmax(d) != vx.argmax(t)).alias("flip"), (vx.norm(d) / vx.norm(t)).alias("ratio"))
-    return c.agg(F.round(F.min("cos"), 6).alias("least_cosine"), F.round(F.avg("cos"), 6).alias("mean_cosine"), F.round(F.max("diff"), 6).alias("most_diff"), F.count_if("flip").alias("flips"), F.round(F.avg("ratio"), 6).alias("mean_ratio"),
+    return c.agg(F.round(F.min("cos"), 6).alias("least_cosine"), F.round(F.avg("cos"), 6).alias("mean_cosine"), F.round(F.max("diff"), 6).alias("most_diff"), F.count_if(F.col("diff") == 0).alias("exact"), F.count_if("flip").alias("flips"), F.round(F.avg("ratio"), 6).alias("mean_ratio"),
                  F.when(F.count_if("flip") == 0, "harmless").otherwise("changes decisions").alias("verdict"))
 
 
@@ -186,11 +208,11 @@ def hit_agreement(spark, sf_dir):
 # ---------------------------------------------------------------- schedules
 
 
-@query("""WITH b AS (SELECT source AS layer, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1), s AS (SELECT layer, n, greatest(1, 64 // (2 * 8)) AS accum, CAST(ceil(n / 64.0) AS BIGINT) AS per_epoch FROM b)
+@query("""WITH b AS (SELECT source AS layer, count(*) AS n FROM documents GROUP BY 1), s AS (SELECT layer, n, greatest(1, 64 // (2 * 8)) AS accum, CAST(ceil(n / 64.0) AS BIGINT) AS per_epoch FROM b)
  SELECT layer, CAST(accum AS INT) AS accum, (greatest(1, n // 16) // accum) * 3 AS optimiser_steps, CAST(greatest(1, round_even(greatest(1, per_epoch) * 3 * 0.04, 0)) AS BIGINT) AS warmup, printf('%d:%02d:%02d', n * 7 // 3600, (n * 7 % 3600) // 60, n * 7 % 60) AS eta FROM s""")
 def training_schedule(spark, sf_dir):
     """Accumulation, steps, warm-up and time left for so many samples per layer."""
-    b = table(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy(F.col("source").alias("layer")).agg(F.count("*").alias("n"))
+    b = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("layer")).agg(F.count("*").alias("n"))
     accum = F.greatest(F.lit(1), F.expr("64 div (2 * 8)")).cast("int")
     steps = F.expr("greatest(1, n div 16)")
     sec = F.col("n") * 7
@@ -247,15 +269,25 @@ def key_classes(spark, sf_dir):
     return _keys(spark, sf_dir)[0].groupBy(kind.alias("kind")).agg(F.count("*").alias("keys"), verdict.alias("verdict"))
 
 
+@query("""SELECT n_nationkey, k.unnest AS key, CASE WHEN k.unnest = 'absent' THEN '(absent)' WHEN k.unnest = 'width' AND n_nationkey % 2 = 0 THEN CAST(n_regionkey AS VARCHAR) WHEN k.unnest = 'width' THEN CAST(n_nationkey AS VARCHAR) WHEN n_nationkey % 2 = 0 THEN '(absent)' ELSE n_name END AS value
+ FROM nation, unnest(['width', 'name', 'absent']) AS k""")
+def config_nested(spark, sf_dir):
+    """Configurations that have a ``text_config`` and some that don't: where there is one, only its keys count."""
+    top = [F.col("n_nationkey").alias("width"), F.col("n_name").alias("name")]
+    nested = F.struct(*top, F.struct(F.col("n_regionkey").alias("width")).alias("text_config"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.when(F.pmod("n_nationkey", F.lit(2)) == 0, F.to_json(nested)).otherwise(F.to_json(F.struct(*top))).alias("config"))
+    return jsonl.config_values(n, "config", ["width", "name", "absent"])
+
+
 @query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 5")
 def slowest_five(spark, sf_dir):
     """The five slowest reads of a log: a top-k report."""
     return table(spark, sf_dir, "events").select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(5)
 
 
-@query("SELECT shard_id, count(*) AS samples, CAST(sum(seq_len) AS BIGINT) AS tokens, round(avg(seq_len), 6) AS mean_tokens, min(seq_len) AS least, max(seq_len) AS most FROM sample_index GROUP BY shard_id")
+@query("SELECT shard_id, count(*) AS samples, CAST(sum(seq_len) AS BIGINT) AS tokens, round(avg(seq_len), 6) AS mean_tokens, min(seq_len) AS least, max(seq_len) AS most, CAST(floor(quantile_cont(seq_len, 0.5)) AS BIGINT) AS p50, CAST(floor(quantile_cont(seq_len, 0.9)) AS BIGINT) AS p90, CAST(floor(quantile_cont(seq_len, 0.99)) AS BIGINT) AS p99 FROM sample_index GROUP BY shard_id")
 def sample_lengths(spark, sf_dir):
-    return table(spark, sf_dir, "sample_index").groupBy("shard_id").agg(F.count("*").alias("samples"), F.sum(F.col("seq_len").cast("bigint")).alias("tokens"), F.round(F.avg("seq_len"), 6).alias("mean_tokens"), F.min("seq_len").alias("least"), F.max("seq_len").alias("most"))
+    return table(spark, sf_dir, "sample_index").groupBy("shard_id").agg(F.count("*").alias("samples"), F.sum(F.col("seq_len").cast("bigint")).alias("tokens"), F.round(F.avg("seq_len"), 6).alias("mean_tokens"), F.min("seq_len").alias("least"), F.max("seq_len").alias("most"), *[F.percentile("seq_len", F.lit(q)).cast("bigint").alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))])
 
 
 @query("""SELECT s.sample_id, r.regen_id, CAST(len(r.conversations) AS INT) AS messages, s.seq_len FROM sample_index s JOIN regen_rows r ON s.regen_id = r.regen_id""")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -56,10 +56,26 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_counted(df: DataFrame, path: str) -> int:
+    """Write ``df`` as Parquet and hold what is read back against what was written; rows lost on the way are an error."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    wrote, there = seen.get["rows"], df.sparkSession.read.parquet(path).count()
+    if wrote != there:
+        raise RuntimeError(f"{path}: {wrote} rows were written, {there} are there")
+    return there
+
+
 #: Tables this process has written and not removed.
 _WRITTEN: list[str] = []
 
 
+def written(path: str) -> str:
+    """Notes a folder that :func:`clear` removes."""
+    _WRITTEN.append(path)
+    return path
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -5,10 +5,14 @@ Lines are read as text and parsed as VARIANT: a JSON reader would flatten an arr
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loomspark.functions.text import layer_of_file
-from loomspark.operators.profile import first_nonempty
 
 MESSAGES = "array<struct<role:string,content:string>>"
 _LISTS = ("prompt_messages", "conversations", "messages")
@@ -18,13 +22,14 @@ def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     """``(line, file, file_layer)`` of the non-blank lines. An empty glob is an error."""
     reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
     df = reader.text(path)
-    name = F.col("_metadata.file_name")
+    # The name comes as part of a URL.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     return df.select(F.trim("value").alias("line"), name.alias("file"), layer_of_file(name).alias("file_layer")).where("line <> ''")
 
 
 def read_split_files(spark: SparkSession, folder: str) -> DataFrame:
     """The files of a split folder, ``train_layer*.jsonl`` and ``eval_datasets/*.jsonl``, with their ``split``."""
-    train = read_lines(spark, folder, "train_layer*.jsonl").withColumn("split", F.lit("train"))
+    train = read_lines(spark, folder, "train_layer*.jsonl").withColumn("file_layer", F.regexp_replace("file_layer", "^train_", "")).withColumn("split", F.lit("train"))
     return train.unionByName(read_lines(spark, f"{folder}/eval_datasets", "*.jsonl").withColumn("split", F.lit("eval")))
 
 
@@ -83,8 +88,42 @@ def write(records: DataFrame, path: str, by: str | None = None, overwrite_parts:
     writer.option("ignoreNullFields", "false").json(path)
 
 
-def resolved_messages(*lists: Column) -> Column:
-    return first_nonempty(*lists)
+def write_files(records: DataFrame, path: str, by: str, name: str = "{}.jsonl", parts: int = 1) -> list[str]:
+    """One JSON Lines file per value of ``by``, named after it, and the names. Files appear whole or not at all.
+
+    A value's rows are written by ``parts`` tasks, as many files then, so that no task need hold the largest value's; each is
+    written aside and renamed when all are there. ``by`` must have few values: the driver renames the files.
+    """
+    spark = records.sparkSession
+    aside = f"{path}/_tmp-{uuid.uuid4().hex}"
+    salted = records.withColumn("_value", F.coalesce(F.col(by).cast("string"), F.lit("unknown"))).withColumn("_part", F.floor(F.rand(7) * parts).cast("int"))
+    salted.repartition("_value", "_part").drop(by).write.partitionBy("_value", "_part").option("ignoreNullFields", "false").json(aside)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(aside)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = []
+    for i, f in enumerate(sorted(str(s.getPath()) for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{aside}/_value=*/_part=*/part-*")))):
+        value = unquote(f.split("/_value=")[1].split("/")[0])
+        stem = name.format(value)
+        target = stem if parts == 1 else re.sub(r"(\.jsonl)$", rf"-{i:05d}\1", stem)
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(f), jvm.org.apache.hadoop.fs.Path(f"{path}/{target}")):
+            raise FileExistsError(target)
+        names.append(target)
+    fs.delete(place, True)
+    return names
+
+
+def write_object(spark: SparkSession, path: str, value: dict) -> None:
+    """A small JSON object as a file: written aside and renamed, so a reader sees the old one or the new one."""
+    jvm = spark.sparkContext._jvm
+    target, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.tmp-{uuid.uuid4().hex}")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(aside, True)
+    out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=2).encode()))
+    out.close()
+    fs.delete(target, False)
+    if not fs.rename(aside, target):
+        raise OSError(path)
 
 
 def config_values(documents: DataFrame, text: str, keys: list[str]) -> DataFrame:

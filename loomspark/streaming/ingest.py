@@ -1,4 +1,4 @@
-"""Streaming ingest: new JSON Lines files are parsed, repeated ids dropped, and rows routed by status."""
+"""Streaming ingest: new JSON Lines files are parsed and rows routed by status. Repeated ids all stay, as in a batch."""
 
 from __future__ import annotations
 

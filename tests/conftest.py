@@ -16,6 +16,9 @@ def spark():
     s = local_session(4, 4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from loomspark.runtime import clear
+
+    clear(s)
     s.stop()
 
 

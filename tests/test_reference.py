@@ -3,13 +3,16 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import stats, text as tx, vectors as vx
 from loomspark.functions.messages import first_content, last_content
 from loomspark.operators import accept, anchors, cache, complete, payload, profile, routing
-from loomspark.plans.stages import Stage, run_stages
+from loomspark.operators.nearest import nearest_by_cosine
+from loomspark.plans.stages import Stage, run_layers, run_stages
+from loomspark.runtime import write_counted
 from loomspark.sources import jsonl
 from loomspark.streaming.ingest import route_by_status, stream_records
 
@@ -167,7 +170,7 @@ def test_skeleton_and_regeneration(spark):
 
     got = {r["r"]: r for r in complete.regenerate(df, "r", "m", completer).collect()}
     assert [m["content"] for m in got[1]["conversations"]] == ["s", "q", "new 1", "q", "new 2"] and got[1]["status"] == "success"
-    assert {k: got[k]["error"] for k in (2, 3, 4, 5, 6)} == {2: "missing conversations", 3: "missing conversations", 4: "conversation begins with an assistant", 5: "invalid role: tool", 6: "invalid role: ?"}
+    assert {k: got[k]["error"] for k in (2, 3, 4, 5, 6)} == {2: "missing conversations", 3: "missing conversations", 4: "conversation starts with assistant", 5: "invalid role: tool", 6: "invalid role: ?"}
 
     def failing(messages):
         raise TimeoutError("timed out")
@@ -238,7 +241,7 @@ def test_greedy_shards_and_index(spark):
     assert [r["shard_id"] for r in rows] == [0, 0, 1, 2, 2, 3, 4] and [r["sample_id"] for r in rows] == list(range(7))
     assert (rows[1]["off_input_ids"], rows[1]["off_loss_mask"], rows[1]["off_last_hidden"], rows[1]["off_k"]) == (40, 52, 55, 79)
     m = cache.manifest(index).first()
-    assert m["num_samples"] == 7 and m["num_shards"] == 5 and m["shards"][4]["file_name"] == "shard_00004.bin"
+    assert m["num_samples"] == 7 and m["num_shards"] == 5 and m["shards"][4]["file_name"] == "shard-00004.bin"
 
 
 def test_checks_find_faults(spark):
@@ -337,3 +340,102 @@ def test_stages_are_skipped_where_done(spark, tmp_path):
     assert run_stages(spark, stages, only="a") == {"a": "ran", "b": "left out"}
     assert run_stages(spark, stages) == {"a": "there", "b": "ran"}
     assert spark.read.parquet(f"{tmp_path}/b").count() == 2
+
+
+def test_files_named_by_value_appear_whole(spark, tmp_path):
+    df = spark.createDataFrame([(i, "a b" if i % 3 else None) for i in range(30)], "n long, part string")
+    assert sorted(jsonl.write_files(df, str(tmp_path / "one"), "part", "{}_regen.jsonl")) == ["a b_regen.jsonl", "unknown_regen.jsonl"]
+    assert sorted(x.name for x in (tmp_path / "one").iterdir() if x.suffix == ".jsonl") == ["a b_regen.jsonl", "unknown_regen.jsonl"]
+    names = jsonl.write_files(df, str(tmp_path / "many"), "part", "{}_regen.jsonl", parts=3)
+    got = jsonl.read_lines(spark, str(tmp_path / "many"), "*_regen*.jsonl").groupBy("file_layer").count().collect()
+    assert len(names) > 2 and {r["file_layer"]: r["count"] for r in got} == {"a b": 20, "unknown": 10}
+    with pytest.raises(Exception):
+        jsonl.write_files(df, str(tmp_path / "one"), "part", "{}_regen.jsonl")
+
+
+def test_objects_are_replaced_whole(spark, tmp_path):
+    for value in ({"a": 1}, {"a": "ü"}):
+        jsonl.write_object(spark, str(tmp_path / "m.json"), value)
+        assert json.loads((tmp_path / "m.json").read_text(encoding="utf-8")) == value
+    assert [x.name for x in tmp_path.iterdir() if not x.name.startswith(".")] == ["m.json"]
+
+
+def test_layers_are_run_one_by_one(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines(tmp_path / "in", [{"id": "a"}, {"id": "b"}], "l1.jsonl")
+    (tmp_path / "in" / "l2.jsonl").write_text("")
+    run = lambda rows, layer: jsonl.parse(rows).select("id", F.lit(layer).alias("of"))
+    said = run_layers(spark, str(tmp_path / "in"), str(tmp_path / "out"), run, ["l1", "l2", "l3"], str(tmp_path / "final"))
+    assert said == {"l1": "ran", "l2": "empty file", "l3": "no input file"}
+    assert (tmp_path / "out" / "l1_regen.jsonl").read_text() == (tmp_path / "final" / "l1_regen.jsonl").read_text() != ""
+    assert run_layers(spark, str(tmp_path / "in"), str(tmp_path / "all"), run) == {"l1": "ran", "l2": "empty file"}
+
+
+def test_written_rows_are_counted(spark, tmp_path):
+    assert write_counted(spark.range(10).repartition(3), str(tmp_path / "t")) == 10
+    assert write_counted(spark.range(0), str(tmp_path / "none")) == 0
+
+
+def _cache(spark):
+    samples = spark.createDataFrame([(i, 40 + i) for i in range(6)], "ordinal long, seq_len int")
+    rolled = cache.roll_shards(samples.select(F.lit(0).alias("writer"), "ordinal", F.col("seq_len").cast("long").alias("nbytes")), 100)
+    return cache.merged_index(rolled, samples)
+
+
+def test_index_records_have_72_bytes_and_come_back(spark):
+    index = _cache(spark)
+    records = cache.index_records(index)
+    assert {len(r["record"]) for r in records.collect()} == {cache.INDEX_RECORD}
+    columns = [c for c in index.columns if c != "ordinal"]
+    assert sorted(map(tuple, cache.decoded_index(records).select(columns).collect())) == sorted(map(tuple, index.select(columns).collect()))
+    with pytest.raises(Exception):
+        cache.decoded_index(records.withColumn("record", F.substring("record", 1, 71))).collect()
+
+
+def test_manifest_checks_find_each_fault(spark):
+    index = _cache(spark)
+    m, records = cache.manifest(index), cache.index_records(index)
+    files = m.select(F.explode("shards.file_name").alias("file_name"))
+    ok = {"version", "record_size", "index_exists", "index_bytes", "shards_in_a_row", "shard_files", "num_samples"}
+
+    def failed(m_=m, r=records, f=files):
+        return {x["check_name"] for x in cache.manifest_checks(m_, r, f).collect() if not x["ok"]}
+
+    assert failed() == set() and {x["check_name"] for x in cache.manifest_checks(m, records, files).collect()} == ok
+    assert failed(m.withColumn("version", F.lit(2))) == {"version"} and failed(m.withColumn("index_record_size", F.lit(64))) == {"record_size"}
+    assert failed(r=records.where("false")) == {"index_exists", "index_bytes", "num_samples"}
+    assert failed(r=records.withColumn("record", F.substring("record", 1, 71))) == {"index_bytes"}
+    assert failed(m.withColumn("shards", F.reverse("shards"))) == {"shards_in_a_row"} and failed(f=files.where("file_name <> 'shard-00001.bin'")) == {"shard_files"}
+    assert [tuple(r) for r in cache.missing_shards(m, files.where("file_name <> 'shard-00001.bin'")).collect()] == [(1, "shard-00001.bin")]
+
+
+def test_lookups_and_limits(spark):
+    index = _cache(spark)
+    asked = spark.createDataFrame([(5,), (0,), (5,), (99,)], "sample_id long")
+    assert sorted(r["seq_len"] for r in cache.looked_up(index, asked).collect()) == [40, 45, 45]
+    assert cache.limited(index, "sample_id", 2).count() == 2 and cache.limited(index, "sample_id", 0).count() == 6
+
+
+def test_anchor_positions(spark):
+    mask = [0, 1, 1, 1, 1, 0, 1, 1, 1, 1]
+    assert one(spark, mask, "array<int>", lambda m: anchors.valid_anchors(m)) == [1, 2, 3, 6, 7, 8]
+    assert one(spark, mask, "array<int>", lambda m: anchors.anchors_for(m, 2, 2)) == [3, 6] and one(spark, [], "array<int>", lambda m: anchors.anchors_for(m, 2, 2)) == []
+
+
+def test_supervised_steps_without_anchors(spark):
+    df = spark.createDataFrame([(1, [0, 1, 1, 1]), (2, [0, 0]), (3, [])], "i long, m array<int>")
+    assert {(r["step"], r["n"]) for r in anchors.supervised_steps(df, "i", "m", 4).collect()} == {(0, 2), (1, 1)}
+    assert anchors.supervised_steps(df.where("false"), "i", "m", 4).count() == 0
+
+
+@pytest.mark.parametrize("query_block, block", [(4096, 65_536), (3, 5)])
+def test_nearest_in_blocks(spark, query_block, block):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4)).round(1)
+    x[7] = x[9]  # ties go to the smaller id
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    got = {r["i"]: r["near"] for r in nearest_by_cosine(df.where("i % 4 = 0"), df, "i", "v", query_block, block).collect()}
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
+    c = u @ u.T
+    np.fill_diagonal(c, -np.inf)
+    assert set(got) == set(range(0, 60, 4)) and all(np.isclose(c[i, j], c[i].max()) for i, j in got.items())
