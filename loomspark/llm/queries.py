@@ -117,3 +117,8 @@ QUERIES = linking.QUERIES | {f.__name__: f for f in (p1_found, p1_report, p4_bud
 
 #: Tokenisers and trained models have no SQL; tests hold them against public implementations and brute force.
 ORACLE_SQL: dict[str, str] = {**linking.ORACLE_SQL}
+
+from loomspark.llm import checked  # noqa: E402 - it uses the queries above
+
+QUERIES |= checked.QUERIES
+ORACLE_SQL |= checked.ORACLE_SQL
