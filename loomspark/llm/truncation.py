@@ -132,7 +132,8 @@ _INSIDE[[ord(c) for c in "{}[],:\" \n\t0123456789"]] = True
 def states(codes: np.ndarray) -> np.ndarray:
     """Of each character of texts joined by zeros: 1 inside an object or list, 2 inside one of its strings, else 0.
 
-    Only what may stand there is inside: a brace in prose opens nothing, as words follow.
+    Only what may stand there is inside: a brace in prose opens nothing, as words follow. Texts without an object at all
+    aren't asked: their brackets are punctuation.
     """
     nul = codes == 0
     quote = codes == 34
@@ -148,17 +149,18 @@ def states(codes: np.ndarray) -> np.ndarray:
 
 
 def final_states(texts: list[str]) -> np.ndarray:
-    out, part, size, at = [], ["\0"], 1, [0]
+    """The state of each text's last character."""
+    out = np.zeros(len(texts), np.int8)
+    part, size, at, of = ["\0"], 1, [], []
     for i, t in enumerate([*texts, None]):
-        if t is not None:
+        if t is not None and "{" in t:
             part += [t, "\0"]
             size += len(t) + 1
-            at.append(size - 2)
-        if len(part) > 1 and (t is None or size > _AT_A_TIME):
-            # An empty text has the zero before it.
-            out.append(states(_codes("".join(part)))[at[1:]])
-            part, size, at = ["\0"], 1, [0]
-    return np.concatenate(out) if out else np.zeros(0, np.int8)
+            at.append(size - 2), of.append(i)
+        if at and (t is None or size > _AT_A_TIME):
+            out[of] = states(_codes("".join(part)))[at]
+            part, size, at, of = ["\0"], 1, [], []
+    return out
 
 
 def _final_shape(text: str) -> str:
@@ -231,11 +233,14 @@ def _count(bits: np.ndarray, part_: int = 0, parts: int = 1):
     """All contexts (of one part) of all texts that pass the filter, with what follows them."""
     mask = np.uint64(len(bits) * 64 - 1)
 
-    def hits(codes: np.ndarray, which: str):
-        follow, state = _following(codes), states(codes)
-        follow[(state > 0) & (follow == END)] = MORE
+    def hits(codes: np.ndarray, which: str, objects: bool):
+        follow = _following(codes)
+        inside = np.uint64(0)
+        if objects:
+            state = states(codes)
+            follow[(state > 0) & (follow == END)] = MORE
+            inside = state.astype(np.uint64) * _STATE
         known = follow >= 0
-        inside = state.astype(np.uint64) * _STATE
         contexts = _Contexts(codes)
         for k, (w, n) in enumerate(_KINDS):
             if w == which:
@@ -249,16 +254,20 @@ def _count(bits: np.ndarray, part_: int = 0, parts: int = 1):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, part, size = [], [_PADDING], 0
+            found = []
+            parts_, sizes = ([_PADDING], [_PADDING]), [0, 0]  # of texts without objects, and with
             texts = (t for v in batch.column(0).to_pylist() for t in v or () if t)
             for text in (*texts, None):
                 if text is not None:
-                    part += [_cleaned(text), _PADDING]
-                    size += len(text)
-                if size > _AT_A_TIME or (text is None and size):
-                    joined = "".join(part)
-                    found += [*hits(_zeros(_codes(joined)), "raw"), *hits(_codes(shape(joined)), "shape")]
-                    part, size = [_PADDING], 0
+                    which = "{" in text
+                    parts_[which].extend((_cleaned(text), _PADDING))
+                    sizes[which] += len(text)
+                for which in (False, True):
+                    if sizes[which] > _AT_A_TIME or (text is None and sizes[which]):
+                        joined = "".join(parts_[which])
+                        found += [*hits(_zeros(_codes(joined)), "raw", which), *hits(_codes(shape(joined)), "shape", which)]
+                        parts_[which][1:] = []
+                        sizes[which] = 0
                 if found and (text is None or len(found) > 256):
                     both, n = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.record_batch(

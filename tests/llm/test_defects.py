@@ -177,7 +177,7 @@ def test_asked_languages():
     assert asked_languages("Merci de répondre en espagnol.") == {"es"} and asked_languages("What is new?") == set()
 
 
-@pytest.mark.parametrize("text, want", [('{"a": 1', 1), ('{"a": "b', 2), ('{"a": 1}', 0), ("plain", 0), ('[{"a": [1]}]\nSay', 0), ('[{"a": "}"}, {"b"', 1), ("", 0), ("a { stands alone, they say", 0), ("a { stands alone.", 0), ('{"a": "say \\"x', 2), ("[2026-01-02 13:4", 1), ("[2026-01-02] x", 0)])
+@pytest.mark.parametrize("text, want", [('{"a": 1', 1), ('{"a": "b', 2), ('{"a": 1}', 0), ("plain", 0), ('[{"a": [1]}]\nSay', 0), ('[{"a": "}"}, {"b"', 1), ("", 0), ("a { stands alone, they say", 0), ("a { stands alone.", 0), ('{"a": "say \\"x', 2), ("[2026-01-02 13:4", 0), ("[2026-01-02] {", 1), ("[2026-01-02] x", 0)])
 def test_states(text, want):
     assert final_states(["x" * 70_000, text, '{"other": [', text]).tolist() == [0, want, 1, want]
 
