@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomspark.llm.components import SMALL_GRAPH_EDGES, connected_components
 from loomspark.llm.forest import NARROW, Forest, links_between, links_within
 from loomspark.llm.tokens import Hashes, tokens
-from loomspark.runtime import materialize
+from loomspark.runtime import discard, materialize
 
 WORDS = 4
 ROUTE_WORDS = 6
@@ -216,8 +216,10 @@ def near_duplicate_classes(
         texts.select("row", "text", F.unhex(digest).alias("digest")).mapInArrow(_describe, "row long, digest binary, route array<long>, sig binary")
     )
     copies = materialize(described.groupBy("digest").agg(F.min("row").alias("rep"), F.count("*").alias("n")))
-    pairs = similar_links(described, copies.select(F.col("rep").alias("row")), threshold, least, tile)
-    comps = connected_components(pairs, small_graph_edges)
+    pairs, used = similar_links(described, copies.select(F.col("rep").alias("row")), threshold, least, tile)
+    comps = connected_components(pairs, small_graph_edges)  # a written table
+    for table in used:
+        discard(table)
     grouped = (
         copies.join(comps.withColumnRenamed("vertex", "rep"), "rep", "left")
         .withColumn("component", F.coalesce("component", "rep"))
@@ -227,8 +229,8 @@ def near_duplicate_classes(
     return described.select("row", "digest").join(of_digest, "digest").select(F.col("row").alias(row), "class_row", "size")
 
 
-def similar_links(described: DataFrame, reps: DataFrame, threshold: float, least: float, tile: int) -> DataFrame:
-    """``(src, dst)``: links that span the components of ``described(row, route, sig)``; all come from node pairs.
+def similar_links(described: DataFrame, reps: DataFrame, threshold: float, least: float, tile: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``(src, dst)``: links that span the components of ``described(row, route, sig)``; all come from node pairs. And the tables they read.
 
     ``reps(row)`` is one of each set of copies, the smallest; no other is compared.
     """
@@ -257,7 +259,7 @@ def similar_links(described: DataFrame, reps: DataFrame, threshold: float, least
         there = theirs.select("center", "row", n.alias("n"), every.alias("i"), F.col("tile").alias("j"), F.lit(False).alias("flag"))
         again = here.unionByName(there).select("center", "row", "flag", (F.col("i") * F.col("n") + F.col("j")).alias("tile")).join(sigs, "row")
         pairs = pairs.unionByName(_run(again, threshold, True).select("src", "dst"))
-    return pairs
+    return pairs, [member, links, outside]
 
 
 def _tiled(members: DataFrame, tile: int) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomspark.llm.defects import FENCE, INVISIBLE, MARKER
 from loomspark.llm.lang import LanguageModel
-from loomspark.runtime import materialize
+from loomspark.runtime import discard, materialize
 
 ORDERS = (1, 2, 3, 4, 5)
 #: Occurrences of a context at which the longer order counts half.
@@ -355,8 +355,11 @@ def reading_levels(documents: DataFrame, labels: DataFrame, row: str, text: str,
     ``row`` must be unique. With no usable label every level is 3.
     """
     texts = materialize(prepared(documents, row, text, model))
-    known = materialize(word_surprisals(materialize(word_counts(texts))))
+    words = materialize(word_counts(texts))
+    known = materialize(word_surprisals(words))
     described = materialize(with_features(texts, row, known, model.languages, most_known))
+    for table in (texts, words, known):
+        discard(table)
     grader = fit_grader(described, labels.select(row, "level"), row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomspark.functions.text import LOSS_PREFIX
-from loomspark.runtime import materialize
+from loomspark.runtime import discard, materialize
 
 FILTER_BITS = 2**28
 #: Bits of the filters for each context.
@@ -405,6 +405,8 @@ def truncated_values(
         "odds": F.when(F.col("contexts").isNotNull(), F.log(odds / (1 - odds + 1e-9) + 1e-9)), "ended": ended, "in_word": often & (within > WITHIN) & ~F.col("cjk") & ~stop & ~whole
     })
     scored = materialize(scored.select("row", "pos", "column", "lang", "single", "ending", "inside", "limit", "odds", "ended", "in_word"))
+    for table in (described, lengths):
+        discard(table)
     # The threshold of a language and column moves with how common cut values are in it, within one nat of the column's.
     decided = scored.where("ending = 'open' AND NOT inside AND odds IS NOT NULL")
     share = F.log((F.count_if(F.col("odds") > 0) + 1) / (F.count_if(F.col("odds") <= 0) + 1))
