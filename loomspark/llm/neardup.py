@@ -230,7 +230,7 @@ def near_duplicate_classes(
 
 
 def similar_links(described: DataFrame, reps: DataFrame, threshold: float, least: float, tile: int) -> tuple[DataFrame, list[DataFrame]]:
-    """``(src, dst)``: links that span the components of ``described(row, route, sig)``; all come from node pairs. And the tables they read.
+    """``(src, dst)``: links that span the components of ``described(row, route, sig)``; and the tables they read.
 
     ``reps(row)`` is one of each set of copies, the smallest; no other is compared.
     """
