@@ -3,21 +3,20 @@
 Strings are the token sequences of texts, as lists of entries (lines, sentences, objects). The steps:
 
 1. Exact copies on one side are one class; equal classes of both sides are pairs at once.
-2. Each evaluation string of n tokens is cut, within its entries, into disjoint segments of ``q`` tokens, of which the
-   ``k + matches`` that the fewest train strings hold are kept, with ``k = spoilt * n``. There are always as many: an entry
-   gives one for every ``2q - 1`` tokens at least. An edit spoils one segment at most, and an entry left out or moved only its
-   own or none, so a train string that spoils k of them still holds ``matches`` of them whole. The method's k + 1 segments
-   are the case of one match; two keep chance pairs from being verified.
-3. Strings of up to ``SHORT`` tokens are cut into segments of one or two tokens, of which k + 1 are kept with k all the edits
-   that the verification allows, and one must match. So no pair of short strings is lost.
-4. Train strings give all their substrings of a segment's width, at their places within the entry. One matches a segment
-   where the lengths of the strings differ by the allowed edits at most, and the places by k at most.
-5. Matched pairs are verified by banded dynamic programming over the whole strings, vectorised over pairs, after the
-   train string's entries have been put in the evaluation string's order. It allows ``edits`` of the longer one's tokens.
-
-What step 2 guarantees are pairs of long strings with up to k spoilt segments. Others are found as long as ``matches`` of
-those segments are whole.
-A filter of the segments, of bounded size, keeps train substrings that can't match from being shuffled.
+2. Strings within the allowed edits have all but so many tokens in common, whatever the order of their entries and wherever
+   they are cut into entries. So each string is its bag of tokens, as bits: one for each of the ``FREQUENT`` most frequent
+   elements of all bags, and hashed ones for the rest, more of them the longer the string.
+3. Evaluation and train strings are dealt into blocks, and each block of the one side meets each of the other in a cell.
+   There the train strings are ordered into groups of like strings. What the common bits, and the tokens without a bit of
+   their own, leave of a possible bag in common is held against groups first and then against the strings of those groups
+   that are left. These are bounds from above, so no pair within the edits is lost.
+4. Pairs that are left are verified by their bags and then by banded dynamic programming over the whole strings, vectorised
+   over pairs, after the train string's entries have been put in the evaluation string's order, or as they stand. It allows
+   ``edits`` of the longer one's tokens.
+
+Nothing but the edits decides, so all pairs within them are found. Cells look at all pairs of groups: the time of step 3
+grows with the product of both sides, at a few nanoseconds for a pair of strings.
+:func:`kept_segments` and what it needs are the segments by which candidates were found before: no query uses them.
 """
 
 from __future__ import annotations
@@ -39,7 +38,12 @@ SPOILT = 0.1
 MATCHES = 2
 Q = 4
 SHORT = 64
-FILTER_BITS = 2**28
+#: Elements of bags with a bit of their own; bits of the others, for strings of up to ``BASE`` tokens.
+FREQUENT, WIDTH, BASE = 512, 1024, 256
+#: Train strings of a group, and strings (evenly taken) by whose likeness they are ordered before.
+GROUP, CENTRES = 64, 64
+#: Bytes of a block of one side of a cell; groups and strings, or strings and strings, that are looked at together.
+BLOCK_BYTES, LOOKED_AT = 2**25, 2**19
 #: Cells of the dynamic programme, of many pairs, that are worked out together.
 CELLS = 4_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -101,26 +105,197 @@ def _bag(codes: np.ndarray) -> np.ndarray:
     return c << 16 | np.minimum(at - np.maximum.accumulate(np.where(first, at, 0)), 0xFFFF)
 
 
-def _bitmap(codes: np.ndarray) -> bytes:
-    """512 bits of the bag of tokens."""
-    bag = _bag(codes)
-    bits = np.zeros(512, np.uint8)
-    bits[(((bag >> 16) * 7919 + (bag & 0xFFFF) * 104729) >> 3) & 511] = 1
-    return np.packbits(bits).tobytes()
-
-
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, held, text, digest) -> token sequences of 16 bits with 0 between entries, lengths and bitmaps."""
+    """(row, held, text, digest) -> token sequences of 16 bits with 0 between entries, and lengths."""
     codes = _Codes()
     for batch in batches:
-        seqs, sizes, maps = [], [], []
+        seqs, sizes = [], []
         for text in batch.column(2).to_pylist():
             seq = encode(text, codes)
-            seqs.append(seq.tobytes()), sizes.append(np.count_nonzero(seq)), maps.append(_bitmap(seq))
-        yield pa.record_batch(
-            [batch.column(0), batch.column(1), batch.column(3), pa.array(seqs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary())],
-            names=["row", "held", "digest", "seq", "n", "bitmap"],
-        )
+            seqs.append(seq.tobytes()), sizes.append(np.count_nonzero(seq))
+        yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), pa.array(seqs, pa.binary()), pa.array(sizes, pa.int32())], names=["row", "held", "digest", "seq", "n"])
+
+
+def _bags(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bags of many sequences: which sequence an element is of, rising, and the elements as in :func:`_bag`."""
+    codes = np.frombuffer(b"".join(seqs), np.uint16)
+    of = np.repeat(np.arange(len(seqs)), np.fromiter((len(s) // 2 for s in seqs), np.int64, len(seqs)))
+    key = np.sort((of << 16 | codes)[codes != 0])
+    at = np.arange(len(key))
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    return key >> 16, (key & 0xFFFF) << 16 | np.minimum(at - np.maximum.accumulate(np.where(first, at, 0)), 0xFFFF)
+
+
+def _frequent(seqs: DataFrame) -> np.ndarray:
+    """The ``FREQUENT`` elements that most bags have, rising."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                element, n = np.unique(_bags(batch.column(0).slice(at, 2048).to_pylist())[1], return_counts=True)
+                yield pa.record_batch([pa.array(element), pa.array(n)], names=["element", "n"])
+
+    counts = seqs.select("seq").mapInArrow(count, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "element").limit(FREQUENT).collect()
+    return np.sort(np.array([r["element"] for r in top], np.int64))
+
+
+def _level(n: int) -> int:
+    """Strings of up to ``BASE`` tokens have level 0; each level allows twice as many."""
+    return (max(n - 1, 0) // BASE).bit_length()
+
+
+def _signatures(frequent: np.ndarray, edits: float):
+    """(row, held, seq, n) -> bits for each level at which the string may meet others: those of the shorter ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                n = part.column(3).to_pylist()
+                of, element = _bags(part.column(2).to_pylist())
+                own = np.minimum(np.searchsorted(frequent, element), max(len(frequent) - 1, 0))
+                known = frequent[own] == element if len(frequent) else np.zeros(len(element), bool)
+                hashed = (element.astype(np.uint64) * _MIX) >> np.uint64(24)
+                bound = np.searchsorted(of, np.arange(len(n) + 1))
+                index, levels, bits = [], [], []
+                for i, m in enumerate(n):
+                    mine = slice(bound[i], bound[i + 1])
+                    k = known[mine]
+                    # The longer one of two strings allows the edits, so this is the shortest that m tokens can meet.
+                    for level in range(_level(m - int(edits * m)), _level(m) + 1):
+                        b = np.zeros(FREQUENT + (WIDTH << level), bool)
+                        b[own[mine][k]] = True
+                        b[FREQUENT + (hashed[mine][~k] & np.uint64((WIDTH << level) - 1)).astype(np.int64)] = True
+                        index.append(i), levels.append(level), bits.append(np.packbits(b).tobytes())
+                take = pa.array(index, pa.int64())
+                yield pa.record_batch(
+                    [part.column(0).take(take), part.column(1).take(take), part.column(3).take(take), pa.array(levels, pa.int32()), pa.array(bits, pa.binary())], names=["row", "held", "n", "level", "bits"]
+                )
+
+    return run
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common bits of all pairs of bitmaps of up to 65,535 bits, whose words are the rows of ``a`` and ``b``."""
+    out = np.zeros((a.shape[1], b.shape[1]), np.uint16)
+    both, count = np.empty(out.shape, np.uint64), np.empty(out.shape, np.uint8)
+    for x, y in zip(a, b):
+        np.bitwise_and(x[:, None], y[None, :], out=both)
+        np.bitwise_count(both, out=count)
+        out += count
+    return out
+
+
+def candidates(held: tuple[np.ndarray, np.ndarray], train: tuple[np.ndarray, np.ndarray], edits: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the strings of both sides whose bags may be within the edits. A side is its lengths and its bitmaps."""
+    (ne, be), (nt, bt) = held, train
+    f = FREQUENT // 64
+    # What strings within the edits have in common at least, as the longer one of them allows it.
+    need_e, need_t = (n - np.floor(edits * n).astype(np.int32) for n in (ne, nt))
+    own_t = np.bitwise_count(bt[:, :f]).sum(1, dtype=np.int32)
+    centres = bt[:: -(-len(bt) // CENTRES), :f]
+    like = np.empty(len(bt), np.int64)
+    for at in range(0, len(bt), 4096):
+        both = _common(bt[at : at + 4096, :f].T, centres.T)
+        like[at : at + 4096] = (both / np.maximum(own_t[at : at + 4096, None] + np.bitwise_count(centres).sum(1, dtype=np.int64) - both, 1)).argmax(1)
+    order = np.lexsort((nt, like))
+    nt, bt, need_t, own_t, like = nt[order], bt[order], need_t[order], own_t[order], like[order]
+    new = np.ones(len(like), bool)
+    new[1:] = like[1:] != like[:-1]
+    place = np.arange(len(like))
+    starts = np.flatnonzero((place - np.maximum.accumulate(np.where(new, place, 0))) % GROUP == 0)
+    ends = np.append(starts[1:], len(like))
+    own_e = np.bitwise_count(be[:, :f]).sum(1, dtype=np.int32)
+    rest_e, rest_t = ne - own_e, nt - own_t
+    spare_e, spare_t = rest_e - np.bitwise_count(be[:, f:]).sum(1, dtype=np.int32), rest_t - np.bitwise_count(bt[:, f:]).sum(1, dtype=np.int32)
+    any_bits = np.ascontiguousarray(np.bitwise_or.reduceat(bt[:, :f], starts, 0).T)
+    most_rest, most_n, least_need = np.maximum.reduceat(rest_t, starts), np.maximum.reduceat(nt, starts), np.minimum.reduceat(need_t, starts)
+    own_words_e, own_words_t = np.ascontiguousarray(be[:, :f].T), np.ascontiguousarray(bt[:, :f].T)
+    # What the bits of frequent elements leave, until it is held against the others: pairs and their common frequent elements.
+    left: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    most_left, waiting = max(1, 2**22 // be.shape[1]), 0
+
+    def look_closer():
+        e, t, both = (np.concatenate(c) for c in zip(*left))
+        left.clear()
+        for i in range(0, len(e), most_left):
+            x, y = e[i : i + most_left], t[i : i + most_left]
+            common = np.bitwise_count(be[x, f:] & bt[y, f:]).sum(1, dtype=np.int64) + np.minimum(spare_e[x], spare_t[y]) + both[i : i + most_left]
+            near = common >= np.maximum(need_e[x], need_t[y])
+            found.append((x[near], order[y[near]]))
+
+    step = max(1, LOOKED_AT // len(starts))
+    for at in range(0, len(ne), step):
+        part = slice(at, at + step)
+        n, need = ne[part, None], need_e[part, None]
+        possible = _common(own_words_e[:, part], any_bits) + np.minimum(rest_e[part, None], most_rest) >= np.maximum(need, least_need)
+        possible &= (n >= least_need) & (most_n >= need)
+        for g in np.flatnonzero(possible.any(0)):
+            of_group, t = at + np.flatnonzero(possible[:, g]), slice(starts[g], ends[g])
+            for i in range(0, len(of_group), LOOKED_AT // GROUP):
+                e = of_group[i : i + LOOKED_AT // GROUP]
+                both = _common(own_words_t[:, t], own_words_e[:, e])
+                y, x = np.nonzero(both + np.minimum(rest_e[e], rest_t[t, None]) >= np.maximum(need_e[e], need_t[t, None]))
+                left.append((e[x], starts[g] + y, both[y, x]))
+                waiting += len(x)
+                if waiting > most_left:
+                    look_closer()
+                    waiting = 0
+    if left:
+        look_closer()
+    x, y = (np.concatenate(c) for c in zip(*found))
+    return x, y
+
+
+def _cell(edits: float):
+    """A block of evaluation strings and one of train strings -> the pairs that may be within the edits."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        row, n, is_held = (cell.column(c).to_numpy() for c in ("row", "n", "held"))
+        level = cell.column("level")[0].as_py()
+        bits = np.frombuffer(b"".join(cell.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
+        e, t = np.flatnonzero(is_held), np.flatnonzero(~is_held)
+        if len(e) and len(t):
+            x, y = candidates((n[e], bits[e]), (n[t], bits[t]), edits)
+            e, t = e[x], t[y]
+            # Two strings that both have a higher level meet there.
+            here = np.minimum(n[e], n[t]) <= BASE << level
+            e, t = e[here], t[here]
+        else:
+            e = t = e[:0]
+        return pa.table({"held": row[e], "train": row[t]})
+
+    return run
+
+
+def _blocks(strings: dict[bool, int], width: int, cells: int) -> dict[bool, int]:
+    """In how many blocks each side is dealt: of bounded size, and ``cells`` cells at least where there is work for them."""
+    blocks = {side: -(-n * width // BLOCK_BYTES) for side, n in strings.items()}
+    while blocks[True] * blocks[False] < min(cells, strings[True] * strings[False] // 2**18):
+        blocks[max(blocks, key=lambda side: strings[side] / blocks[side])] += 1
+    return blocks
+
+
+def near_bags(strings: DataFrame, edits: float) -> DataFrame:
+    """``(held, train)``: rows of both sides whose bags of tokens may be within the edits, from ``(row, held, seq, n)``."""
+    spark = strings.sparkSession
+    strings = strings.where("n > 0")
+    signatures = materialize(strings.select("row", "held", "seq", "n").mapInArrow(_signatures(_frequent(strings), edits), "row long, held boolean, n int, level int, bits binary"))
+    counts: dict[int, dict[bool, int]] = {}
+    for r in signatures.groupBy("level", "held").count().collect():  # two rows for each doubling of the length
+        counts.setdefault(r["level"], {})[r["held"]] = r["count"]
+    cells = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = [(level, *(_blocks(c, (FREQUENT + (WIDTH << level)) // 8, cells)[side] for side in (True, False))) for level, c in counts.items() if len(c) == 2]
+    blocks = F.broadcast(spark.createDataFrame(dealt, "level int, held_blocks int, train_blocks int"))
+    mine, others = (F.when(F.col("held") == side, F.col("held_blocks")).otherwise(F.col("train_blocks")) for side in (True, False))
+    met = signatures.join(blocks, "level").select(
+        "row", "held", "n", "level", "bits", F.pmod(F.xxhash64("row"), mine).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other")
+    )
+    cell = [F.when(F.col("held") == side, F.col("mine")).otherwise(F.col("other")).alias(name) for side, name in ((True, "held_block"), (False, "train_block"))]
+    return met.select("row", "held", "n", "level", "bits", *cell).groupBy("level", "held_block", "train_block").applyInArrow(_cell(edits), "held long, train long")
 
 
 def _window_hashes(codes: np.ndarray, w: int) -> np.ndarray:
@@ -206,19 +381,6 @@ def _probe(held: bool, q: int, edits: float, bits: np.ndarray | None = None):
     return run
 
 
-def _segment_filter(segments: DataFrame, most_bits: int) -> np.ndarray:
-    """A bitmap of the segments' hashes. It reaches the driver, so its size is bounded: ``most_bits`` / 8 bytes."""
-    n = segments.count()
-    bits = 1 << 16
-    while bits < min(most_bits, 16 * n):
-        bits *= 2
-    low = F.col("h").bitwiseAND(F.lit(bits - 1))
-    words = segments.groupBy(F.shiftright(low, 6).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("w")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[words["i"].to_numpy(np.int64)] = words["w"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
 def aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both sequences without separators, b's entries in the order of the entries of a that they resemble most."""
     ea = [e[e != 0] for e in np.split(a, np.flatnonzero(a == 0))]
@@ -305,7 +467,7 @@ def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray, beyo
 
 
 def _verify(edits: float):
-    """Pairs with their sequences, lengths and bitmaps -> those within the edits."""
+    """Pairs with their sequences and lengths -> those within the edits."""
     bags: dict[bytes, np.ndarray] = {}
 
     def bag(seq: bytes) -> np.ndarray:
@@ -317,22 +479,21 @@ def _verify(edits: float):
         return b
 
     def flush(cols):
-        held, train, seq_e, seq_t, ne, nt, map_e, map_t = cols
+        held, train, seq_e, seq_t, ne, nt = cols
         todo = []
         for i in range(len(held)):
             k = int(edits * max(ne[i], nt[i]))
-            # A token that only one side has costs an edit. Common bits bound the common tokens from above.
-            a, b = int.from_bytes(map_e[i], "big"), int.from_bytes(map_t[i], "big")
-            common = (a & b).bit_count() + min(ne[i] - a.bit_count(), nt[i] - b.bit_count())
-            if max(ne[i], nt[i]) - common <= k:
-                x, y = bag(seq_e[i]), bag(seq_t[i])
-                both = np.concatenate([x, y])
-                both.sort()
-                if max(len(x), len(y)) - np.count_nonzero(both[1:] == both[:-1]) > k:
-                    continue
-                todo.append((i, k, *aligned(np.frombuffer(seq_e[i], np.uint16), np.frombuffer(seq_t[i], np.uint16))))
+            # A token that only one side has costs an edit.
+            x, y = bag(seq_e[i]), bag(seq_t[i])
+            both = np.concatenate([x, y])
+            both.sort()
+            if max(len(x), len(y)) - np.count_nonzero(both[1:] == both[:-1]) <= k:
+                todo.append((i, k, *(np.frombuffer(seq[i], np.uint16) for seq in (seq_e, seq_t))))
         limits = np.array([t[1] for t in todo], np.int64)
-        good = [todo[i][0] for i in np.flatnonzero(banded_distances([(t[2], t[3]) for t in todo], limits) <= limits)]
+        near = banded_distances([aligned(a, b) for *_, a, b in todo], limits) <= limits
+        far = np.flatnonzero(~near)
+        near[far] = banded_distances([tuple(s[s != 0] for s in todo[i][2:]) for i in far], limits[far]) <= limits[far]
+        good = [todo[i][0] for i in np.flatnonzero(near)]
         return pa.record_batch([pa.array([held[i] for i in good], pa.int64()), pa.array([train[i] for i in good], pa.int64())], names=["held", "train"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,34 +504,19 @@ def _verify(edits: float):
     return run
 
 
-def class_overlaps(
-    records: DataFrame, row: str, text: str, held: str, edits: float = EDITS, spoilt: float = SPOILT, matches: int = MATCHES, q: int = Q, filter_bits: int = FILTER_BITS
-) -> tuple[DataFrame, DataFrame]:
+def class_overlaps(records: DataFrame, row: str, text: str, held: str, edits: float = EDITS) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes of exact copies, ``(held_class, train_class)``, and the classes: ``(row, held, class)``.
 
     A class is named by its smallest row and has the rows of one side only. See :func:`split_overlaps`.
     """
     texts = records.select(F.col(row).cast("long").alias("row"), F.col(held).alias("held"), F.col(text).alias("text")).where("text IS NOT NULL AND held IS NOT NULL")
     digest = F.unhex(F.md5(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")).cast("binary")))
-    coded = materialize(texts.select("row", "held", "text", digest.alias("digest")).mapInArrow(
-        _encode, "row long, held boolean, digest binary, seq binary, n int, bitmap binary"
-    ))
+    coded = materialize(texts.select("row", "held", "text", digest.alias("digest")).mapInArrow(_encode, "row long, held boolean, digest binary, seq binary, n int"))
     reps = materialize(coded.groupBy("digest", "held").agg(F.min("row").alias("class")))
-
-    def side(is_held: bool) -> DataFrame:
-        mine = reps.where(F.col("held") == is_held).select(F.col("class").alias("row"))
-        return coded.where(F.col("held") == is_held).join(mine, "row", "left_semi").select("row", "seq", "n", "bitmap")
-
-    found = "h long, row long, n int, off int"
-    segments = materialize(side(True).select("row", "seq", "n").mapInArrow(_probe(True, q, edits), found))
-    windows = materialize(side(False).select("row", "seq", "n").mapInArrow(_probe(False, q, edits, _segment_filter(segments, filter_bits)), found))
-    e = kept_segments(segments, windows, edits, spoilt, matches).select("h", F.col("row").alias("held"), F.col("n").alias("ne"), F.col("off").alias("oe"), "k", "need")
-    t = windows.select("h", F.col("row").alias("train"), F.col("n").alias("nt"), F.col("off").alias("ot"))
-    allowed = F.floor(F.greatest("ne", "nt") * edits)
-    met = e.join(t, "h").where((F.abs(F.col("ne") - F.col("nt")) <= allowed) & (F.abs(F.col("oe") - F.col("ot")) <= F.col("k")))
-    near = met.groupBy("held", "train").agg(F.count("*").alias("met"), F.first("need").alias("need")).where("met >= need").select("held", "train")
-    of = {name: side(is_held).toDF(name, *[f"{c}_{name}" for c in ("seq", "n", "bitmap")]) for name, is_held in (("held", True), ("train", False))}
-    both = [f"{c}_{side_}" for c in ("seq", "n", "bitmap") for side_ in ("held", "train")]
+    strings = coded.join(reps.select(F.col("class").alias("row")), "row", "left_semi").select("row", "held", "seq", "n")
+    near = near_bags(strings, edits)
+    of = {name: coded.where(F.col("held") == is_held).select(F.col("row").alias(name), F.col("seq").alias(f"seq_{name}"), F.col("n").alias(f"n_{name}")) for name, is_held in (("held", True), ("train", False))}
+    both = [f"{c}_{side}" for c in ("seq", "n") for side in ("held", "train")]
     verified = near.join(of["held"], "held").join(of["train"], "train").select("held", "train", *both).mapInArrow(_verify(edits), "held long, train long")
     same = reps.where("held").select("digest", F.col("class").alias("held")).join(reps.where("NOT held").select("digest", F.col("class").alias("train")), "digest")
     pairs = verified.unionByName(same.select("held", "train")).distinct().toDF("held_class", "train_class")

@@ -1,11 +1,15 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from hypothesis import given, settings, strategies as st
 
 from pyspark.sql import functions as F
 
-from loomspark.llm.overlap import EDITS, MATCHES, Q, SHORT, SPOILT, _probe, aligned, banded_distances, class_overlaps, kept_segments, split_overlaps
+from loomspark.llm import overlap
+from loomspark.llm.overlap import EDITS, MATCHES, Q, SHORT, SPOILT, _bags, _cell, _probe, _signatures, aligned, banded_distances, class_overlaps, kept_segments, split_overlaps
 from tests.llm.test_neardup import WORDS
 
 
@@ -179,3 +183,72 @@ def test_long_strings_and_pairs_by_classes(spark):
 
 def test_no_rows(spark):
     assert split_overlaps(spark.createDataFrame([], "row long, held boolean, text string"), "row", "text", "held").count() == 0
+
+
+def test_edits_scattered_over_all_segments(spark):
+    """Up to the allowed edits, wherever they are: replaced, left out (so that lengths differ), and entries cut otherwise."""
+    rng = random.Random(15)
+    rows = []
+    for i in range(60):
+        n = (70, 100, 250, 300, 700)[i % 5]
+        base = [rng.choice(WORDS) for _ in range(n)]
+        near = list(base)
+        kind = i // 5 % 3
+        if kind == 0:
+            for k, at in enumerate(range(0, n, 3 if i % 2 else 4)):
+                if k < int(EDITS * n):
+                    near[at] = f"own{i}x{k}"
+        elif kind == 1:
+            near = [w for at, w in enumerate(base) if at % 4]
+        sides = [" ".join(base), ("\n" if kind == 2 else " ").join(near)]
+        if i % 2:
+            sides.reverse()
+        rows += [(2 * i, True, sides[0]), (2 * i + 1, False, sides[1])]
+    df = spark.createDataFrame(rows, "row long, held boolean, text string")
+    got = {(r["held_row"], r["train_row"]) for r in split_overlaps(df, "row", "text", "held").collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(60)}
+
+
+def test_edits_within_entries_too_unlike_to_be_ordered(spark):
+    """The whole strings are near as they stand, though two entries that were written anew are no counterparts."""
+    rng = random.Random(16)
+    lines = [[rng.choice(WORDS) for _ in range(12)] for _ in range(9)]
+    near = [[f"own{i}x{k}" for k in range(12)] if i in (1, 4, 7) else line for i, line in enumerate(lines)]
+    df = spark.createDataFrame([(1, True, "\n".join(map(" ".join, lines))), (2, False, "\n".join(map(" ".join, near)))], "row long, held boolean, text string")
+    assert [tuple(r) for r in split_overlaps(df, "row", "text", "held").collect()] == [(1, 2)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**9), st.sampled_from([0.1, EDITS, 0.6]), st.sampled_from([0, 5, 512]))
+def test_no_pair_of_near_bags_is_lost(seed, edits, known):
+    """Against all pairs of bags: each pair that may be within the edits comes from one cell, few others do."""
+    rng = np.random.default_rng(seed)
+    bases = [rng.integers(1, rng.integers(3, 4000), rng.integers(1, 1200)) for _ in range(6)]
+    seqs = []
+    for _ in range(80):
+        seq = bases[rng.integers(6)].copy()
+        seq[rng.random(len(seq)) < rng.random() * 0.7] = rng.integers(1, 60_000)
+        seqs.append(np.insert(seq[rng.random(len(seq)) > rng.random() * 0.5], 0, 7).astype(np.uint16))
+    held = rng.random(80) < 0.4
+    frequent = np.sort(np.unique(_bags([s.tobytes() for s in seqs])[1])[:known])
+    batch = pa.record_batch([pa.array(range(80), pa.int64()), pa.array(held), pa.array([s.tobytes() for s in seqs]), pa.array([len(s) for s in seqs], pa.int32())], names=["row", "held", "seq", "n"])
+    table = pa.Table.from_batches(_signatures(frequent, edits)([batch]))
+    got = []
+    for level in set(table.column("level").to_pylist()):
+        found = _cell(edits)(table.filter(pc.equal(table.column("level"), level)))
+        got += zip(found.column("held").to_pylist(), found.column("train").to_pylist())
+    assert len(got) == len(set(got))
+    bags = [Counter(s.tolist()) for s in seqs]
+    for i in np.flatnonzero(held):
+        for j in np.flatnonzero(~held):
+            longer = max(len(seqs[i]), len(seqs[j]))
+            assert longer - (bags[i] & bags[j]).total() > int(edits * longer) or (i, j) in got
+
+
+def test_blocks_of_both_sides_meet_once(spark, monkeypatch):
+    """Many blocks, as of large tables, give what one does."""
+    rows = texts(3)
+    df = spark.createDataFrame(rows, "row long, held boolean, text string")
+    want = {tuple(r) for r in split_overlaps(df, "row", "text", "held").collect()}
+    monkeypatch.setattr(overlap, "BLOCK_BYTES", 1000)
+    assert want and {tuple(r) for r in split_overlaps(df, "row", "text", "held").collect()} == want
