@@ -10,9 +10,9 @@ Strings are the token sequences of texts, as lists of entries (lines, sentences,
    There the train strings are ordered into groups of like strings. What the common bits, and the tokens without a bit of
    their own, leave of a possible bag in common is held against groups first and then against the strings of those groups
    that are left. These are bounds from above, so no pair within the edits is lost.
-4. Pairs that are left are verified by their bags and then by banded dynamic programming over the whole strings, vectorised
-   over pairs, after the train string's entries have been put in the evaluation string's order, or as they stand. It allows
-   ``edits`` of the longer one's tokens.
+4. Pairs that are left are verified by their bags and then by dynamic programming over the whole strings, as they stand or
+   after the train string's entries have been put in the evaluation string's order. It is done by bits, vectorised over
+   pairs, or in bands for very long strings, and allows ``edits`` of the longer one's tokens.
 
 Nothing but the edits decides, so all pairs within them are found. Cells look at all pairs of groups: the time of step 3
 grows with the product of both sides, at a few nanoseconds for a pair of strings.
@@ -46,6 +46,10 @@ GROUP, CENTRES = 64, 64
 BLOCK_BYTES, LOOKED_AT = 2**25, 2**19
 #: Cells of the dynamic programme, of many pairs, that are worked out together.
 CELLS = 4_000_000
+#: Tokens of the longest strings whose dynamic programme is worked out by bits, without bands; bits of many pairs that are worked out together.
+WHOLE, BITS = 1024, 2**18
+#: Tokens of pairs that are verified together.
+VERIFIED = 2**20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = re.compile(r"\{[^{}]*\}?|[^{}]+")
 _LINE = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[。！？])")
@@ -61,14 +65,16 @@ def entries(text: str) -> list[str]:
 
 
 class _Codes(dict):
-    """Token -> 16 bits of its hash; never 0, which stands between entries."""
+    """Token -> 16 bits of its hash; never 0, which stands between entries: separators have it."""
 
     def __init__(self):
+        super().__init__(_SEPARATORS)
         self.hashes = Hashes()
 
     def __missing__(self, token: str) -> int:
         if len(self) > 500_000:
             self.clear()
+            self.update(_SEPARATORS)
         h = self.hashes[token]
         v = self[token] = max((h ^ (h >> 16)) & 0xFFFF, 1)
         return v
@@ -85,7 +91,8 @@ def encode(text: str, codes: _Codes) -> np.ndarray:
         text = text.lower()
         if "{" in text:
             text = _OBJECT.sub(lambda m: m.group().replace("\n", " ").replace(". ", "  "), text)
-        seq = np.array([codes[t] if (z := _SEPARATORS.get(t)) is None else z for t in _PIECES(text)], np.uint16)
+        pieces = _PIECES(text)
+        seq = np.fromiter(map(codes.__getitem__, pieces), np.uint16, len(pieces))
     else:
         seq = np.array([c for e in entries(text) for c in (*map(codes.__getitem__, tokens(e)), 0)], np.uint16)
     full = seq != 0
@@ -95,16 +102,6 @@ def encode(text: str, codes: _Codes) -> np.ndarray:
     return seq[:-1] if len(seq) and seq[-1] == 0 else seq
 
 
-def _bag(codes: np.ndarray) -> np.ndarray:
-    """The bag of tokens as rising numbers: the second occurrence of a token has a number of its own."""
-    c = np.sort(codes).astype(np.int64)
-    c = c[np.searchsorted(c, 1) :]
-    at = np.arange(len(c))
-    first = np.ones(len(c), bool)
-    first[1:] = c[1:] != c[:-1]
-    return c << 16 | np.minimum(at - np.maximum.accumulate(np.where(first, at, 0)), 0xFFFF)
-
-
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, held, text, digest) -> token sequences of 16 bits with 0 between entries, and lengths."""
     codes = _Codes()
@@ -117,7 +114,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bags(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The bags of many sequences: which sequence an element is of, rising, and the elements as in :func:`_bag`."""
+    """The bags of many sequences: which sequence an element is of, rising, and the elements: the second occurrence of a token has a number of its own."""
     codes = np.frombuffer(b"".join(seqs), np.uint16)
     of = np.repeat(np.arange(len(seqs)), np.fromiter((len(s) // 2 for s in seqs), np.int64, len(seqs)))
     key = np.sort((of << 16 | codes)[codes != 0])
@@ -381,31 +378,97 @@ def _probe(held: bool, q: int, edits: float, bits: np.ndarray | None = None):
     return run
 
 
+def _entries(seq: np.ndarray) -> list[list[int]]:
+    """The codes of each entry."""
+    codes = seq.tolist()
+    out, begin = [], 0
+    for _ in range(codes.count(0)):
+        end = codes.index(0, begin)
+        out.append(codes[begin:end])
+        begin = end + 1
+    return [*out, codes[begin:]]
+
+
 def aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both sequences without separators, b's entries in the order of the entries of a that they resemble most."""
-    ea = [e[e != 0] for e in np.split(a, np.flatnonzero(a == 0))]
-    eb = [e[e != 0] for e in np.split(b, np.flatnonzero(b == 0))]
-    free: dict[bytes, list[int]] = {}
-    for j, e in enumerate(eb):
-        free.setdefault(e.tobytes(), []).append(j)
-    match = [-1] * len(ea)
-    used: set[int] = set()
+    ea, eb = _entries(a), _entries(b)
+    free: dict[tuple[int, ...], list[int]] = {}
+    for j in range(len(eb) - 1, -1, -1):
+        free.setdefault(tuple(eb[j]), []).append(j)
+    match = [js.pop() if (js := free.get(tuple(e))) else -1 for e in ea]
+    sets = {j: set(eb[j]) for j in sorted(j for js in free.values() for j in js)}
     for i, e in enumerate(ea):
-        if js := free.get(e.tobytes()):
-            match[i] = js.pop(0)
-            used.add(match[i])
-    if len(used) < len(eb):
-        sets = {j: set(eb[j].tolist()) for j in range(len(eb)) if j not in used}
-        for i, e in enumerate(ea):
-            if match[i] < 0 and sets:
-                s = set(e.tolist())
-                j = max(sets, key=lambda j: len(s & sets[j]) / (len(s | sets[j]) or 1))
-                if 3 * len(s & sets[j]) >= len(s | sets[j]):
-                    match[i] = j
-                    del sets[j]
-        match += sorted(sets)
-    order = [j for j in match if j >= 0]
-    return np.concatenate(ea), np.concatenate([eb[j] for j in order]) if order else np.zeros(0, np.uint16)
+        if match[i] < 0 and sets:
+            s = set(e)
+            best, n = -1.0, len(s)
+            for j, t in sets.items():
+                both = len(s & t)
+                like = both / (n + len(t) - both or 1)
+                if like > best:
+                    best, at, least = like, j, 3 * both >= n + len(t) - both
+            if least:
+                match[i] = at
+                del sets[at]
+    return a[a != 0], np.array([c for j in [*(j for j in match if j >= 0), *sets] for c in eb[j]], np.uint16)
+
+
+def distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray) -> np.ndarray:
+    """Edit distances of pairs of sequences where they are at most their limits, else something greater."""
+    out = np.asarray(limits, np.int64) + 1
+    size = np.array([max(len(a), len(b)) for a, b in pairs], np.int64) if pairs else np.zeros(0, np.int64)
+    long_ = np.flatnonzero(size > WHOLE)
+    out[long_] = banded_distances([pairs[i] for i in long_], limits[long_])
+    todo = np.argsort(size, kind="stable")[: len(size) - len(long_)]
+    at = 0
+    while at < len(todo):
+        part = todo[at : at + max(1, int(np.searchsorted(np.arange(1, len(todo) - at + 1) * size[todo[at:]], BITS, "right")))]
+        out[part] = _by_bits([pairs[i] for i in part], limits[part])
+        at += len(part)
+    return out
+
+
+def _by_bits(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray) -> np.ndarray:
+    """As :func:`distances`: the differences down a column of the dynamic programme are two bits for a token (Myers 1999, Hyyrö 2003)."""
+    na, nb = (np.array([len(x) for x in side], np.int64) for side in zip(*pairs))
+    words = max(1, -(-int(na.max()) // 64))
+    A, B = np.zeros((len(pairs), words * 64), np.uint16), np.zeros((int(nb.max()), len(pairs)), np.uint16)
+    for i, (a, b) in enumerate(pairs):
+        A[i, : len(a)] = a
+        B[: len(b), i] = b
+    counted = np.packbits(np.arange(words * 64) < na[:, None], axis=1, bitorder="little").view(np.uint64).T.copy()
+    one, top = np.uint64(1), np.uint64(63)
+    more, less = np.full(counted.shape, ~np.uint64(0)), np.zeros(counted.shape, np.uint64)
+    out, left = np.where(nb == 0, na, limits + 1), np.flatnonzero(nb)
+    A, B, more, less, counted = A[left], B[:, left], more[:, left], less[:, left], counted[:, left]
+    for j in range(1, len(B) + 1):
+        same = np.packbits(A == B[j - 1][:, None], axis=1, bitorder="little").view(np.uint64).T.copy()
+        up, down = one, np.uint64(0)  # what the row above a word adds and takes off
+        for x, p, m in zip(same, more, less):
+            v = x | m
+            x |= down
+            h = x & p
+            h += p
+            h ^= p
+            h |= x
+            right, back = ~(h | p) | m, h & p
+            next_up, next_down = right >> top, back >> top
+            right <<= one
+            right |= up
+            back <<= one
+            back |= down
+            np.bitwise_and(right, v, out=m)
+            np.bitwise_or(back, ~(right | v), out=p)
+            up, down = next_up, next_down
+        ends = nb[left] == j
+        if j % 16 == 0 or ends.any():
+            now = j + np.bitwise_count(more & counted).sum(0, dtype=np.int64) - np.bitwise_count(less & counted).sum(0, dtype=np.int64)
+            out[left[ends]] = now[ends]
+            # A column changes the distance by one at most.
+            if not (on := ~ends & (now - (nb[left] - j) <= limits[left])).all():
+                left, A, B, more, less, counted = left[on], A[on], B[:, on], more[:, on], less[:, on], counted[:, on]
+                if not len(left):
+                    break
+    return out
 
 
 def banded_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray, cells: int = CELLS) -> np.ndarray:
@@ -468,38 +531,40 @@ def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray, beyo
 
 def _verify(edits: float):
     """Pairs with their sequences and lengths -> those within the edits."""
-    bags: dict[bytes, np.ndarray] = {}
-
-    def bag(seq: bytes) -> np.ndarray:
-        b = bags.get(seq)
-        if b is None:
-            if len(bags) > 20_000:
-                bags.clear()
-            b = bags[seq] = _bag(np.frombuffer(seq, np.uint16))
-        return b
-
-    def flush(cols):
-        held, train, seq_e, seq_t, ne, nt = cols
-        todo = []
-        for i in range(len(held)):
-            k = int(edits * max(ne[i], nt[i]))
-            # A token that only one side has costs an edit.
-            x, y = bag(seq_e[i]), bag(seq_t[i])
-            both = np.concatenate([x, y])
-            both.sort()
-            if max(len(x), len(y)) - np.count_nonzero(both[1:] == both[:-1]) <= k:
-                todo.append((i, k, *(np.frombuffer(seq[i], np.uint16) for seq in (seq_e, seq_t))))
-        limits = np.array([t[1] for t in todo], np.int64)
-        near = banded_distances([aligned(a, b) for *_, a, b in todo], limits) <= limits
-        far = np.flatnonzero(~near)
-        near[far] = banded_distances([tuple(s[s != 0] for s in todo[i][2:]) for i in far], limits[far]) <= limits[far]
-        good = [todo[i][0] for i in np.flatnonzero(near)]
-        return pa.record_batch([pa.array([held[i] for i in good], pa.int64()), pa.array([train[i] for i in good], pa.int64())], names=["held", "train"])
+
+    def near(seq_e: list[bytes], seq_t: list[bytes]) -> np.ndarray:
+        """Which pairs are."""
+        place: dict[bytes, int] = {}
+        e, t = (np.array([place.setdefault(s, len(place)) for s in seqs], np.int64) for seqs in (seq_e, seq_t))
+        seqs = list(place)
+        of, element = _bags(seqs)
+        bound = np.searchsorted(of, np.arange(len(seqs) + 1))
+        n, element = np.diff(bound), element.tolist()
+        bags = [set(element[x:y]) for x, y in zip(bound[:-1].tolist(), bound[1:].tolist())]
+        longer = np.maximum(n[e], n[t])
+        limits = np.floor(edits * longer).astype(np.int64)
+        out = np.zeros(len(e), bool)
+        # A token that only one side has costs an edit.
+        todo = np.flatnonzero(longer - np.array([len(bags[x] & bags[y]) for x, y in zip(e.tolist(), t.tolist())], np.int64) <= limits)
+        del element, bags
+        codes = {i: np.frombuffer(seqs[i], np.uint16) for i in {*e[todo].tolist(), *t[todo].tolist()}}
+        plain = {i: c[c != 0] for i, c in codes.items()}
+        out[todo] = distances([(plain[e[i]], plain[t[i]]) for i in todo], limits[todo]) <= limits[todo]
+        todo = todo[~out[todo]]
+        ordered = [aligned(codes[e[i]], codes[t[i]]) for i in todo]
+        moved = np.array([not np.array_equal(b, plain[t[i]]) for i, (_, b) in zip(todo, ordered)], bool)
+        out[todo[moved]] = distances([pair for pair, is_moved in zip(ordered, moved) if is_moved], limits[todo[moved]]) <= limits[todo[moved]]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                yield flush([c.to_pylist() for c in batch.slice(at, 4096).columns])
+            tokens_until, at = np.cumsum(batch.column("n_held").to_numpy().astype(np.int64) + batch.column("n_train").to_numpy()), 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(tokens_until, (tokens_until[at - 1] if at else 0) + VERIFIED, "right")))
+                part = batch.slice(at, end - at)
+                seq_e, seq_t = (part.column(c).to_pylist() for c in ("seq_held", "seq_train"))
+                yield pa.record_batch([part.column(c) for c in ("held", "train")], names=["held", "train"]).filter(pa.array(near(seq_e, seq_t)))
+                at = end
 
     return run
 

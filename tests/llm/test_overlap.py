@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from loomspark.llm import overlap
-from loomspark.llm.overlap import EDITS, MATCHES, Q, SHORT, SPOILT, _bags, _cell, _probe, _signatures, aligned, banded_distances, class_overlaps, kept_segments, split_overlaps
+from loomspark.llm.overlap import EDITS, MATCHES, Q, SHORT, SPOILT, _bags, _cell, _probe, _signatures, _verify, aligned, banded_distances, class_overlaps, distances, kept_segments, split_overlaps
 from tests.llm.test_neardup import WORDS
 
 
@@ -252,3 +253,69 @@ def test_blocks_of_both_sides_meet_once(spark, monkeypatch):
     want = {tuple(r) for r in split_overlaps(df, "row", "text", "held").collect()}
     monkeypatch.setattr(overlap, "BLOCK_BYTES", 1000)
     assert want and {tuple(r) for r in split_overlaps(df, "row", "text", "held").collect()} == want
+
+
+def edited(rng, n, edits):
+    """A sequence and another of it by so many edits of all kinds."""
+    a = [rng.randrange(1, 300) for _ in range(n)]
+    b = list(a)
+    for _ in range(edits):
+        at = rng.randrange(len(b) + 1)
+        b[at : at + rng.randrange(2)] = [rng.randrange(1, 300)] * rng.randrange(2)
+    return np.array(a, np.uint16), np.array(b, np.uint16)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**9), st.sampled_from([0, 3, 100, 1024]), st.sampled_from([1, 3000, 2**18]))
+def test_distances(seed, whole, bits):
+    """Of lengths about a word's 64 bits, by bits and by bands, alone and many together, on both sides of the limits."""
+    rng = random.Random(seed)
+    pairs = [edited(rng, rng.choice([0, 1, 2, 30, 63, 64, 65, 127, 128, 129, 150]), rng.choice([0, 1, 5, 20, 60])) for _ in range(12)]
+    true = [distance(a.tolist(), b.tolist()) for a, b in pairs]
+    limits = np.array([max(0, d + rng.choice([-20, -1, 0, 1, 20])) for d in true], np.int64)
+    was = overlap.WHOLE, overlap.BITS
+    overlap.WHOLE, overlap.BITS = whole, bits
+    try:
+        got = distances(pairs, limits)
+    finally:
+        overlap.WHOLE, overlap.BITS = was
+    assert all(x == d if d <= k else x > k for x, d, k in zip(got, true, limits))
+
+
+def test_distances_cost_a_fraction_of_bands():
+    """For texts of usual lengths, a third of them edited, which need the widest bands."""
+    rng = random.Random(17)
+    pairs = [edited(rng, n, n // 2) for n in [rng.randrange(80, 270) for _ in range(600)]]
+    limits = np.array([int(EDITS * max(len(a), len(b))) for a, b in pairs], np.int64)
+
+    def seconds(f):
+        began = time.thread_time()
+        return f(pairs, limits), time.thread_time() - began
+
+    (got, fast), (want, slow) = min((seconds(distances) for _ in range(3)), key=lambda x: x[1]), seconds(banded_distances)
+    assert ((got <= limits) == (want <= limits)).all() and (got <= limits).any() and not (got <= limits).all()
+    assert 3 * fast < slow
+
+
+def test_verification_by_all_pairs(monkeypatch):
+    """Pairs within the edits, as they stand or with their entries in order, and no others; bands aren't needed."""
+    rng = random.Random(18)
+    pairs = []
+    for i in range(90):
+        entries = [[rng.randrange(1, 60) for _ in range(rng.randrange(1, 14))] for _ in range(rng.randrange(1, 12))]
+        share = (0.1, 0.3, 0.4, 0.6)[i // 2 % 4]
+        near = [[rng.randrange(1, 60) if rng.random() < share else c for c in e] for e in entries]
+        if i % 2:
+            rng.shuffle(near)
+        pairs.append([np.array([c for e in x for c in [*e, 0]][:-1], np.uint16) for x in (entries, near)])
+    want = []
+    for a, b in pairs:
+        limit = int(EDITS * max(np.count_nonzero(a), np.count_nonzero(b)))
+        want.append(min(distance(a[a != 0].tolist(), b[b != 0].tolist()), distance(*(x.tolist() for x in aligned(a, b)))) <= limit)
+    monkeypatch.setattr(overlap, "_banded", None)
+    monkeypatch.setattr(overlap, "VERIFIED", 1000)
+    n = [pa.array([np.count_nonzero(x) for x in side], pa.int32()) for side in zip(*pairs)]
+    seqs = [pa.array([x.tobytes() for x in side], pa.binary()) for side in zip(*pairs)]
+    ids = pa.array(range(90), pa.int64())
+    got = [i for b in _verify(EDITS)([pa.record_batch([ids, ids, *seqs, *n], names=["held", "train", "seq_held", "seq_train", "n_held", "n_train"])]) for i in b.column(0).to_pylist()]
+    assert got == [i for i, w in enumerate(want) if w] and 10 < len(got) < 80
