@@ -3,14 +3,16 @@
 Two texts are linked when the Jaccard similarity of their sets of ``WORDS``-word tokens is ``threshold`` or more; groups are
 the connected components of the links. Links are found by a forest of signature trees (:mod:`loomspark.llm.forest`):
 
-1. One pass over the texts gives each a digest, its set of tokens (16 bits each, 32 in long texts) and its *routing tokens*: those of its
+1. One pass over the texts gives each a digest, its set of tokens (16 bits each, 32 in long texts; sets of 16 bits are
+   written in about 11 bits a token, without loss) and its *routing tokens*: those of its
    ``ROUTE_WORDS``-word tokens whose hashes end in as many zeros as leave about ``ROUTE`` to a text. Long and short texts
    keep them by the same rule, so what two texts share is kept by both. Exact copies are one class with one representative.
 2. The root of the forest has a child for each routing token. A text hangs below its rarest ones only: with those sorted by
    the number of texts that have them, two texts that share ``least`` of their routing tokens share one of the first
    ``(1 - least) * n + 1``. Children of different tokens are node pairs that can't reach the overlap and aren't visited.
    The numbers are exact and come with the join, so there is no list of frequent tokens, and what only one text has,
-   or what every text of a wording has, costs nothing.
+   or what every text of a wording has, costs nothing. Tokens in equally many texts are ordered by their smallest text, which
+   names the child, so the token itself needn't travel: which of those with the same child comes first makes no difference.
 3. Children are named by their smallest text, so those with the same texts are one, and are trees over the bitmaps and
    sizes of their texts. A dual traversal of all trees of a task at once prunes node pairs by their greatest possible
    overlap and compares what is left exactly.
@@ -45,6 +47,10 @@ TILE = 4096
 #: Texts whose trees are traversed together.
 _TOGETHER = 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Sets of up to so many 16-bit tokens are written as they are; larger ones, up to NARROW, by their low bytes and, as a bit
+#: each, their rising high bytes. The bytes that takes for each size: more than 2 * PLAIN, and never two sizes alike.
+PLAIN = 36
+_CODED = np.arange(NARROW + 1) + (np.arange(NARROW + 1) + 263) // 8
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -75,7 +81,7 @@ def _distinct(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(h: np.ndarray, of: np.ndarray, n: int) -> list[bytes]:
-    """Sets of 16-bit tokens; of 32-bit ones for texts of more than ``NARROW``, where 16 bits would often coincide."""
+    """Sets of 16-bit tokens; of 32-bit ones for texts of more than ``NARROW``, where 16 bits would often coincide. :func:`unpacked` reads them."""
     wide = np.zeros(n, bool)
     if np.bincount(of, minlength=n).max(initial=0) > NARROW:
         h, of = _distinct(h, of)
@@ -87,20 +93,45 @@ def _signatures(h: np.ndarray, of: np.ndarray, n: int) -> list[bytes]:
     both = np.sort(of.astype(np.uint64) << np.uint64(32) | h)
     both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
     h, of = both.astype(np.uint32), (both >> np.uint64(32)).astype(np.int64)
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
-    high = (h >> np.uint32(16)).astype(np.uint16).tobytes()
-    full = h.tobytes() if wide.any() else b""
-    return [full[4 * a : 4 * b] if w else high[2 * a : 2 * b] for w, a, b in zip(wide.tolist(), cuts[:-1].tolist(), cuts[1:].tolist())]
+    sizes = np.bincount(of, minlength=n)
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    high = (h >> np.uint32(16)).astype(np.uint16)
+    coded = ~wide & (sizes > PLAIN)
+    # The k-th token of a set has the bit (high byte + k) of its bits, which fill whole bytes.
+    held = np.where(coded, _CODED[np.minimum(sizes, NARROW)] - sizes, 0)
+    at = np.concatenate([[0], np.cumsum(held)])
+    bits = np.zeros(8 * at[-1], bool)
+    mine = coded[of]
+    bits[(8 * at[of] + (high >> np.uint16(8)) + np.arange(len(h)) - cuts[of])[mine]] = True
+    bits, low, high, full = np.packbits(bits).tobytes(), high.astype(np.uint8).tobytes(), high.tobytes(), h.tobytes() if wide.any() else b""
+    return [
+        full[4 * a : 4 * b] if w else low[a:b] + bits[c:d] if d > c else high[2 * a : 2 * b]
+        for w, a, b, c, d in zip(wide.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), at[:-1].tolist(), at[1:].tolist())
+    ]
 
 
 def unpacked(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of signatures in the high bits of uint32, joined, and the sizes of the sets."""
+    """The tokens of signatures in the high bits of uint32, joined, and the sizes of the sets. The length says how a set is written."""
     lengths = np.fromiter(map(len, sigs), np.int64, len(sigs))
-    wide = lengths > 2 * NARROW
-    if not wide.any():
-        return np.frombuffer(b"".join(sigs), np.uint16).astype(np.uint32) << np.uint32(16), lengths // 2
-    parts = [np.frombuffer(s, np.uint32) if w else np.frombuffer(s, np.uint16).astype(np.uint32) << np.uint32(16) for s, w in zip(sigs, wide)]
-    return np.concatenate(parts), np.where(wide, lengths // 4, lengths // 2)
+    plain, wide = lengths <= 2 * PLAIN, lengths > _CODED[-1]
+    coded = ~plain & ~wide
+    sizes = np.where(plain, lengths // 2, lengths // 4)
+    sizes[coded] = np.searchsorted(_CODED, lengths[coded])
+    out = np.empty(sizes.sum(), np.uint32)
+
+    def joined(which: np.ndarray, kind) -> np.ndarray:
+        return np.frombuffer(b"".join(s for s, w in zip(sigs, which.tolist()) if w), kind)
+
+    out[np.repeat(plain, sizes)] = joined(plain, np.uint16).astype(np.uint32) << np.uint32(16)
+    if wide.any():
+        out[np.repeat(wide, sizes)] = joined(wide, np.uint32)
+    if coded.any():
+        raw, n, size = joined(coded, np.uint8), sizes[coded], lengths[coded]
+        low = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(n, size)
+        begin = 8 * (np.cumsum(size - n) - (size - n)) - (np.cumsum(n) - n)
+        high = np.flatnonzero(np.unpackbits(raw[~low])) - np.arange(len(raw[low])) - np.repeat(begin, n)
+        out[np.repeat(coded, sizes)] = (high.astype(np.uint32) << np.uint32(8) | raw[low]) << np.uint32(16)
+    return out, sizes
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,10 +265,11 @@ def similar_links(described: DataFrame, reps: DataFrame, threshold: float, least
 
     ``reps(row)`` is one of each set of copies, the smallest; no other is compared.
     """
-    posted = described.select("row", F.explode("route").alias("token"))
+    # Shuffled once, for the numbers and the join; a filter that only the join's side got would keep Spark from reusing it.
+    posted = described.select("row", F.explode("route").alias("token")).where("row IS NOT NULL AND token IS NOT NULL").repartition("token")
     shared = posted.groupBy("token").agg(F.count("*").alias("n"), F.min("row").alias("center")).where("n > 1")
     # Tokens of no other text come first in the order, so each text hangs below what is left of its prefix.
-    hits = posted.join(shared, "token").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "token", "center"))).alias("hits"))
+    hits = posted.join(shared, "token").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "center"))).alias("hits"))
     of = described.select("row", F.size("route").alias("all")).join(reps, "row", "left_semi").join(hits, "row")
     prefix = F.floor(F.col("all") * (1 - least)) + 1 - (F.col("all") - F.size("hits"))
     below = of.where(prefix > 0).select("row", F.explode(F.array_distinct(F.transform(F.slice("hits", F.lit(1), prefix.cast("int")), lambda h: h["center"]))).alias("center"))

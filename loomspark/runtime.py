@@ -44,16 +44,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Whether Spark removes the shuffle files of an execution at its end.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     Cuts the lineage: a lost executor costs at most the stages since the last written table, and a step that feeds
     several later ones runs once. Parquet keeps column pruning and size statistics, which an RDD checkpoint loses.
+    What was shuffled for the table is removed when it is written, not when the driver happens to collect its garbage.
     """
-    path = f"{shared_dir(df.sparkSession)}/loom-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_RELEASE, before) if before is not None else spark.conf.unset(_RELEASE)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def write_counted(df: DataFrame, path: str) -> int:
